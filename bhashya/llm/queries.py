@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, pieces
 from .common import table
 
 
@@ -12,6 +12,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), want_ids=False, decode=True).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op8_decontaminate": op8_decontaminate,
+    "op2_sentencepiece": op2_sentencepiece,
 }
