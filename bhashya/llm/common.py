@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +57,16 @@ def ids_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what one Arrow batch holds: texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Join Arrow batches until they hold ``size`` bytes."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)

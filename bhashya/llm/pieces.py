@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -355,22 +354,10 @@ def load(spark: SparkSession, path: str = MODEL):
     return spark.sparkContext.broadcast((model.key, model))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[pa.Table]:
-    held, size = [], 0
-    for b in batches:
-        held.append(b)
-        size += b.nbytes
-        if size >= chars:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _encoder(handle, chars: int, decode: bool, want_ids: bool):
     def run(batches):
         model, seen = _model(handle)
-        for t in _groups(batches, chars):
+        for t in common.groups(batches, chars):
             texts = t.column("text").to_pylist()
             ids = model.encode(texts, seen)
             cols = {"id": t.column("id"), "n_tokens": pa.array([len(x) for x in ids], pa.int64())}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pieces
+from . import decontaminate, langid, pieces
 from .common import table
 
 
@@ -16,7 +16,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), want_ids=False, decode=True).withColumnRenamed("id", "doc_id")
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_langid": op3_langid,
 }
