@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, pieces
+from . import decontaminate, editsketch, langid, pieces
 from .common import table
 
 
@@ -20,8 +20,13 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
 
+def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editsketch.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_langid": op3_langid,
+    "op10_edit_fingerprints": op10_edit_fingerprints,
 }
