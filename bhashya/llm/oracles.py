@@ -22,6 +22,16 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN ids ON d.doc_id = ids.doc_id
 """
 
+OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS n, sha256(h) AS g FROM p),
+r AS (SELECT page_id, n, g, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY g) ELSE page_id END AS f FROM d)
+SELECT page_id, n AS payload_bytes, g AS payload_digest, CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN f <> page_id THEN f END AS refers_to
+FROM r
+"""
+
 ORACLES = {
+    "op7_warc": OP7,
     "op8_decontaminate": OP8,
 }

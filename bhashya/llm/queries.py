@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, editsketch, langid, pieces
+from . import decontaminate, editsketch, langid, pieces, warc
 from .common import table
 
 
@@ -24,9 +24,14 @@ def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editsketch.report(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_langid": op3_langid,
     "op10_edit_fingerprints": op10_edit_fingerprints,
+    "op7_warc": op7_warc,
 }
