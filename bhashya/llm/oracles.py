@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import pii
+
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 OP8 = rf"""
@@ -32,6 +34,7 @@ FROM r
 """
 
 ORACLES = {
+    "op9_pii": pii.oracle(),
     "op7_warc": OP7,
     "op8_decontaminate": OP8,
 }

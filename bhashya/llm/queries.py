@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, editsketch, langid, pieces, warc
+from . import decontaminate, editsketch, langid, pieces, pii, warc
 from .common import table
 
 
@@ -28,10 +28,15 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_langid": op3_langid,
     "op10_edit_fingerprints": op10_edit_fingerprints,
     "op7_warc": op7_warc,
+    "op9_pii": op9_pii,
 }
