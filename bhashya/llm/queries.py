@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, editsketch, langid, pieces, pii, warc
+from . import decontaminate, editsketch, langid, licenses, pieces, pii, warc
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op2_sentencepiece": op2_sentencepiece,
@@ -39,4 +43,5 @@ QUERIES = {
     "op10_edit_fingerprints": op10_edit_fingerprints,
     "op7_warc": op7_warc,
     "op9_pii": op9_pii,
+    "op1_licenses": op1_licenses,
 }
