@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, pii
+from . import chat, licenses, pii
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
@@ -34,6 +34,7 @@ FROM r
 """
 
 ORACLES = {
+    "op5_chat": chat.ORACLE,
     "op1_licenses": licenses.oracle(),
     "op9_pii": pii.oracle(),
     "op7_warc": OP7,

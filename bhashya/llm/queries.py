@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, editsketch, langid, licenses, pieces, pii, warc
+from . import chat, decontaminate, editsketch, langid, licenses, pieces, pii, warc
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op2_sentencepiece": op2_sentencepiece,
@@ -44,4 +48,5 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op9_pii": op9_pii,
     "op1_licenses": op1_licenses,
+    "op5_chat": op5_chat,
 }
