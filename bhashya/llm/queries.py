@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, editsketch, langid, licenses, pieces, pii, warc
+from . import chat, decontaminate, editsketch, langid, licenses, pieces, pii, simhash, warc
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(table(spark, sf_dir, "conversations"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op2_sentencepiece": op2_sentencepiece,
@@ -49,4 +53,5 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op1_licenses": op1_licenses,
     "op5_chat": op5_chat,
+    "op6_simhash": op6_simhash,
 }
