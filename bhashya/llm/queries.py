@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, editsketch, langid, licenses, pieces, pii, simhash, warc
+from . import chat, decontaminate, editsketch, extract, langid, licenses, pieces, pii, simhash, warc
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op2_sentencepiece": op2_sentencepiece,
@@ -54,4 +58,5 @@ QUERIES = {
     "op1_licenses": op1_licenses,
     "op5_chat": op5_chat,
     "op6_simhash": op6_simhash,
+    "op4_extract": op4_extract,
 }
