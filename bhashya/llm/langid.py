@@ -208,6 +208,12 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAI
 
 def predict(docs: DataFrame, parser: CrossParser, *, id_col: str = "doc_id", text_col: str = "text", chars: int = 8 << 20) -> DataFrame:
     """``id, lang_pred, score, match_len``: by the text alone."""
+    df = common.ids_and_text(docs, id_col, text_col)
+    schema = f"id {df.schema['id'].dataType.simpleString()}, lang_pred string, score double, match_len double"
+    return df.mapInArrow(_runner(docs, parser, chars, "id"), schema)
+
+
+def _runner(docs: DataFrame, parser: CrossParser, chars: int, keep: str):
     spark = docs.sparkSession
     common.small_batches(spark)
     handle = spark.sparkContext.broadcast(parser)
@@ -216,11 +222,26 @@ def predict(docs: DataFrame, parser: CrossParser, *, id_col: str = "doc_id", tex
         model = handle.value
         for t in common.groups(batches, chars):
             got = model.predict(t.column("text").to_pylist())
-            out = pa.table({"id": t.column("id"), "lang_pred": pa.array([g[0] for g in got], pa.string()), "score": pa.array([g[1] for g in got], pa.float64()), "match_len": pa.array([g[2] for g in got], pa.float64())})
+            out = pa.table({keep: t.column(keep), "lang_pred": pa.array([g[0] for g in got], pa.string()), "score": pa.array([g[1] for g in got], pa.float64()), "match_len": pa.array([g[2] for g in got], pa.float64())})
             yield from out.combine_chunks().to_batches()
 
-    df = common.ids_and_text(docs, id_col, text_col)
-    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, lang_pred string, score double, match_len double")
+    return run
+
+
+def accepted(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", **kw) -> DataFrame:
+    """The rows whose text has a language, all columns kept; null labels are filled in.
+
+    Rejected are ``und`` texts and those that every one of several languages
+    parses equally well, which thus show no trace of any of them.
+    """
+    parser, names = train(docs, text_col=text_col, lang_col=lang_col, **kw), docs.columns
+    packed = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[text_col].cast("string").alias("text"))
+    schema = f"row {packed.schema['row'].dataType.simpleString()}, lang_pred string, score double, match_len double"
+    got = packed.mapInArrow(_runner(docs, parser, 8 << 20, "row"), schema)
+    even = 1 / max(1, len(parser.langs)) + 1e-9
+    got = got.filter((F.col("lang_pred") != "und") & (F.lit(len(parser.langs) < 2) | (F.col("score") > even)))
+    field = lambda c: F.col("row").getField(c)
+    return got.select(*[(F.coalesce(field(c), F.col("lang_pred")) if c == lang_col else field(c)).alias(c) for c in names])
 
 
 def report(docs: DataFrame, **kw) -> DataFrame:
