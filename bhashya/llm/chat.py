@@ -79,26 +79,43 @@ def argument_errors(name: Column, arguments: Column, tools: dict[str, dict[str,
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """``conv_id, call_id, level``: one more than the highest level waited for.
 
-    ``edges``: ``conv_id, call_id, after``. One round for each level; in every
-    round only the calls not yet placed are joined. What is left in the end waits
-    in a circle and gets a null level.
+    ``edges``: ``conv_id, call_id, after``. Runs of calls that each wait for one
+    other are jumped over by pointer doubling, in rounds of the logarithm of their
+    length. Only calls that wait for several are then placed level by level, over
+    edges that lead from such a call to the head of a run. What waits in a circle,
+    or for such a call, gets a null level.
     """
     edges = edges.distinct()
     waits = edges.join(calls.select("conv_id", F.col("call_id").alias("after")), ["conv_id", "after"], "left_semi")
-    waits = common.materialise(waits.select("conv_id", "call_id", "after"), "waits")
-    placed = common.materialise(calls.join(waits, KEY, "left_anti").select(*KEY).withColumn("level", F.lit(0)), "level")
-    done, n = placed, 0
-    while not waits.isEmpty():
-        n += 1
-        freed = placed.select("conv_id", F.col("call_id").alias("after"))
-        still = common.materialise(waits.join(freed, ["conv_id", "after"], "left_anti").select("conv_id", "call_id", "after"), "waits")
-        placed = waits.select(*KEY).distinct().join(still, KEY, "left_anti").withColumn("level", F.lit(n))
-        placed = common.materialise(placed, "level")
+    waits = common.materialise(waits.groupBy(*KEY).agg(F.collect_set("after").alias("after")), "waits")
+    none = F.lit(None).cast("int")
+    level = calls.join(waits, KEY, "left_anti").select(*KEY, F.lit(0).alias("level"))
+    if waits.isEmpty():
+        return level
+    # head and distance of every call that waits for one other
+    run = common.materialise(waits.filter(F.size("after") == 1).select(*KEY, F.col("after")[0].alias("head"), F.lit(1).alias("far")), "run")
+    for _ in range(run.count().bit_length() + 1):
+        nxt = run.select("conv_id", F.col("call_id").alias("head"), F.col("head").alias("head2"), F.col("far").alias("far2"))
+        if run.join(nxt, ["conv_id", "head"], "left_semi").isEmpty():
+            break
+        moved = run.join(nxt, ["conv_id", "head"], "left")
+        run = common.materialise(moved.select(*KEY, F.coalesce("head2", "head").alias("head"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far")), "run")
+    many = waits.filter(F.size("after") > 1).select(*KEY, F.explode("after").alias("to"))
+    far = run.select("conv_id", F.col("call_id").alias("to"), "head", "far")
+    many = many.join(far, ["conv_id", "to"], "left").groupBy(*KEY, F.coalesce("head", "to").alias("head")).agg(F.max(F.coalesce("far", F.lit(0)) + 1).alias("far"))
+    many = common.materialise(many, "many")
+    level = common.materialise(level, "level")
+    while not many.isEmpty():
+        known = level.select("conv_id", F.col("call_id").alias("head"), F.col("level").alias("at"))
+        by = many.join(known, ["conv_id", "head"], "left").groupBy(*KEY).agg(F.max(F.col("at") + F.col("far")).alias("level"), F.count_if(F.col("at").isNull()).alias("open"))
+        placed = common.materialise(by.filter("open = 0").select(*KEY, "level"), "placed")
         if placed.isEmpty():
-            done = done.unionByName(waits.select(*KEY).distinct().withColumn("level", F.lit(None).cast("int")))
+            level = level.union(many.select(*KEY).distinct().select("*", none))
             break
-        done, waits = done.unionByName(placed), still
-    return done
+        level = common.materialise(level.union(placed), "level")
+        many = common.materialise(many.join(placed, KEY, "left_anti").select("conv_id", "call_id", "head", "far"), "many")
+    known = level.select("conv_id", F.col("call_id").alias("head"), F.col("level").alias("at"))
+    return level.union(run.join(known, ["conv_id", "head"], "left").select(*KEY, F.col("at") + F.col("far")))
 
 
 def link(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str, Param]]) -> DataFrame:

@@ -111,8 +111,11 @@ class CrossParser:
                     t[s, c] = n
             t[:, 1] = -1  # letters not told apart and the cuts never match
             root = np.where(t[0] >= 0, t[0], 0)
-            # where no match goes on, the sign says that a phrase ended; the new one starts with the symbol
-            t = np.where(t >= 0, (t + base) * self.width, -1 - (root + base) * self.width)
+            # the sign says that a phrase starts: where no match goes on, and always from the start
+            # state, to which a symbol that the sample lacks (a phrase of its own) leads back
+            on = t >= 0
+            on[0] = False
+            t = np.where(on, (t + base) * self.width, -1 - (root + base) * self.width)
             self.roots.append(base * self.width)
             tables.append(t.astype(np.int32).ravel())
             base += len(to)
@@ -149,7 +152,7 @@ class CrossParser:
         length, owner = length[order], owner[order]
         k = len(self.langs)
         state = np.repeat(np.array(self.roots, np.int32)[:, None], len(owner), axis=1)
-        ended = np.zeros((k, len(owner)), np.int32)
+        begun = np.zeros((k, len(owner)), np.int32)
         active = np.searchsorted(-length, -np.arange(b), "left")  # blocks longer than the step
         for j in range(b):
             m = active[j]
@@ -157,10 +160,10 @@ class CrossParser:
                 break
             nxt = self.table[state[:, :m] + grid[j, :m]]
             fail = nxt < 0
-            ended[:, :m] += fail
+            begun[:, :m] += fail
             state[:, :m] = np.where(fail, -1 - nxt, nxt)
         for q in range(k):
-            out[q] = np.bincount(owner, ended[q] + 1, n).astype(np.int64)
+            out[q] = np.bincount(owner, begun[q], n).astype(np.int64)
         return out, letters
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:

@@ -315,13 +315,22 @@ class PieceModel:
 
     # -- texts ----------------------------------------------------------------
 
-    def encode(self, texts: list[str | None], seen: dict[str, bytes] | None = None, memory: int = 300_000) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None], seen: dict[str, bytes] | None = None, memory: int = 150_000, span: int = 200_000) -> list[np.ndarray]:
         """Ids of each text; ``seen`` remembers segments between calls."""
         seen = {} if seen is None else seen
         find = self.segment.findall
         cut = [find(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         new = list({w for ws in cut for w in ws if w not in seen})
-        ids = dict(zip(new, self.encode_segments(new), strict=True)) if new else {}
+        ids: dict[str, bytes] = {}
+        held, size = [], 0
+        for w in new:  # one suffix array for every ``span`` characters bounds its memory
+            held.append(w)
+            size += len(w) + 1
+            if size >= span:
+                ids.update(zip(held, self.encode_segments(held), strict=True))
+                held, size = [], 0
+        if held:
+            ids.update(zip(held, self.encode_segments(held), strict=True))
         if len(seen) + len(new) <= memory:
             seen.update(ids)
             look = seen.__getitem__
@@ -374,10 +383,10 @@ def _encoder(handle, chars: int, decode: bool, want_ids: bool):
     return run
 
 
-def encode(docs: DataFrame, *, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", want_ids: bool = True, decode: bool = False, chars: int = 8 << 20) -> DataFrame:
+def encode(docs: DataFrame, *, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", want_ids: bool = True, decode: bool = False, chars: int = 4 << 20) -> DataFrame:
     """``id, n_tokens, ids_sha256[, ids][, n_chars_decoded, round_trip]`` for each row.
 
-    ``chars`` bounds the text that one suffix array covers, not what is encoded.
+    ``chars`` bounds the text that is held at once, not what is encoded.
     """
     spark = docs.sparkSession
     common.small_batches(spark)

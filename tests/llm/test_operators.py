@@ -1,0 +1,416 @@
+"""The training-data operators against brute force, round trips and edge cases."""
+
+import glob
+import hashlib
+import os
+import random
+import re
+
+import numpy as np
+import pytest
+
+pytest.importorskip("bhashya.llm")
+sentencepiece = pytest.importorskip("sentencepiece")
+xxhash = pytest.importorskip("xxhash")
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from bhashya.llm import chat, components, decontaminate, editsketch, extract, langid, licenses, pieces, pii, simhash, warc  # noqa: E402
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
+
+
+EDGE = [None, "", "   ", "\n", "one", "two words", "é ß 日本 😀", "x" * 5000, "a b c d e f g h i j k l " * 400]
+
+
+# -- decontamination -------------------------------------------------------------
+
+
+def plain_words(t):
+    t = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
+
+
+def brute_decontaminate(docs, items):
+    out = {}
+    for d, t in docs:
+        w, hit, names = plain_words(t), set(), set()
+        for i, it in items:
+            p = plain_words(it)
+            m = min(10, len(p))
+            for k in range(len(p) - m + 1) if m else ():
+                for j in range(len(w) - m + 1):
+                    if w[j : j + m] == p[k : k + m]:
+                        hit |= set(range(j, j + m))
+                        names.add(str(i))
+        out[d] = (len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit))
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
+def test_decontamination_equals_brute_force(spark, block_bytes):
+    rng = random.Random(3)
+    items = [(i, prose(rng, n)) for i, n in enumerate([10, 14, 3, 1, 25, 9, 10])] + [(20, None), (21, ""), (22, "--- !"), (23, "zeta-zeta Zeta")]
+    texts = EDGE + [prose(rng, 60) for _ in range(20)] + [prose(rng, 5) + " " + items[1][1].upper().replace(" ", ", ") + " " + prose(rng, 9)] * 2
+    got = decontaminate.report(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes).collect()
+    want = brute_decontaminate(list(enumerate(texts)), items)
+    assert {r[0]: tuple(r[1:]) for r in got} == want and any(v[4] for v in want.values())
+
+
+def test_clean_keeps_columns_and_clean_rows(spark):
+    docs = frame(spark, ["a b c", None]).withColumn("id", F.lit("clash")).withColumn("row", F.lit(1))
+    out = decontaminate.clean(docs, spark.createDataFrame([(1, "a b")], "item_id long, text string"))
+    assert out.columns == docs.columns and [r["doc_id"] for r in out.collect()] == [1]
+    assert decontaminate.report(docs.limit(0), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+# -- SentencePiece ------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def model():
+    if not os.path.exists(pieces.MODEL):
+        pytest.skip("no vocabulary file")
+    with open(pieces.MODEL, "rb") as f:
+        return pieces.PieceModel(f.read())
+
+
+def test_encoding_is_the_librarys(model):
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(5)
+    texts = [t for t in EDGE if t is not None] + ["▁x ▁▁y", "    def f():\n\treturn 1", "<s>hi</s> <0x41>", "\x00", "ﬁ é", "the.\nThe,the"]
+    texts += ["".join(rng.choice("abcdethrn \n▁éß.,'1-") for _ in range(rng.randint(1, 200))) for _ in range(500)]
+    got = model.encode(texts)
+    assert [g.tolist() for g in got] == [sp.encode(t) for t in texts]
+    assert [model.decode(g) for g in got] == [t.replace("▁", " ") for t in texts]
+
+
+def test_small_spans_and_no_memory_change_nothing(model):
+    texts = ["hello world foo bar", "hello again " * 50, "zażółć gęślą"]
+    a, b = model.encode(texts), model.encode(texts, {}, memory=0, span=5)
+    assert all((x == y).all() for x, y in zip(a, b))
+
+
+def test_unigram_takes_the_best_path(model):
+    m = pieces.PieceModel.__new__(pieces.PieceModel)
+    m.__dict__ |= model.__dict__ | {"bpe": False}
+    text = "▁the▁cat"
+    ids = np.frombuffer(m.encode_segments([text])[0], np.int32)
+    best = {0: 0.0}
+    of = {m.strings[i]: m.score[i] for i in m.plain}
+    for e in range(1, len(text) + 1):
+        best[e] = max(best[s] + of[text[s:e]] for s in range(e) if text[s:e] in of and s in best)
+    assert "".join(m.strings[i] for i in ids) == text and sum(m.score[i] for i in ids) == best[len(text)]
+
+
+def test_encode_and_decode_frames(spark, model):
+    docs = frame(spark, EDGE)
+    out = pieces.encode(docs, decode=True)
+    assert all(r["round_trip"] for r in out.collect())
+    back = {r["id"]: r["text"] for r in pieces.decode(out.select(F.col("id").alias("doc_id"), "ids")).collect()}
+    assert back == {i: t or "" for i, t in enumerate(EDGE)}
+    assert pieces.encode(docs.limit(0)).count() == 0
+
+
+# -- language ID ---------------------------------------------------------------------
+
+
+def brute_phrases(sample, text, span, block):
+    """Longest matches by plain search."""
+    known = [sample[i : i + span] for i in range(0, len(sample), span)]
+    n = 0
+    for b in range(0, len(text), block):
+        part, i = text[b : b + block], 0
+        while i < len(part):
+            k = 0
+            while i + k < len(part) and any(part[i : i + k + 1] in s for s in known):
+                k += 1
+            i += max(k, 1)
+            n += 1
+    return n
+
+
+def test_phrases_equal_plain_search():
+    rng = random.Random(7)
+    a, b = prose(rng, 60), " ".join("le la et un des".split()[rng.randrange(5)] for _ in range(80))
+    p = langid.CrossParser({"a": a, "b": b}, block=64, span=16)
+    texts = [prose(rng, 40), b[10:90], "zzz qqq", "", None, "12 3!"]
+    got, letters = p.phrases(texts)
+    fold = lambda t: re.sub("[^a-z]+", " ", (t or "").lower()).lstrip(" ")  # noqa: E731  a gap in front is left out
+    for i, t in enumerate(texts):
+        assert [got[k, i] for k in (0, 1)] == [brute_phrases(fold(s), fold(t), 16, 64) for s in (a, b)]
+        assert letters[i] == len(re.findall("[a-z]", fold(t)))
+    assert [x[0] for x in p.predict(texts)] == ["a", "b", p.predict(texts)[2][0], "und", "und", "und"]
+
+
+def test_language_frames(spark):
+    docs = frame(spark, EDGE)
+    out = {r["doc_id"]: r for r in langid.report(docs).collect()}
+    assert len(out) == len(EDGE) and out[0]["lang_pred"] == "und" and out[2]["score"] == 0.0
+    kept = langid.accepted(docs.withColumn("row", F.lit(1)))
+    assert kept.columns == [*docs.columns, "row"] and {r["doc_id"] for r in kept.collect()} == {4, 5, 6, 7, 8}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["lang_pred"] for r in langid.report(unlabelled).collect()} == {"und"}
+    assert langid.report(docs.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables")
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    d = langid.report(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id")
+    assert d.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.95
+
+
+# -- SimHash ----------------------------------------------------------------------------
+
+
+def plain_fingerprint(t):
+    t = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    if not w:
+        return 0
+    parts = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [" ".join(w)]
+    h = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprint_is_the_definition():
+    rng = random.Random(1)
+    for t in [t for t in EDGE if t is not None] + [prose(rng, n) for n in range(1, 40)] + ["A b\x0bC\x85d"]:
+        assert simhash.fingerprint(t.encode()) & (1 << 64) - 1 == plain_fingerprint(t)
+
+
+def plain_components(values, bits):
+    root = {v: v for v in values}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    vs = sorted(root)
+    for i, a in enumerate(vs):
+        for b in vs[i + 1 :]:
+            if bin((a ^ b) & (1 << 64) - 1).count("1") <= bits:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {v: find(v) for v in vs}
+
+
+@pytest.mark.parametrize("heavy", [1, 3, 10_000])
+@pytest.mark.parametrize("bits", [1, 3])
+def test_links_connect_what_brute_force_connects(spark, heavy, bits):
+    rng, values = random.Random(9), set()
+    for _ in range(12):  # clusters, dense in one half and in both
+        c = rng.getrandbits(64)
+        values.add(c)
+        for _ in range(12):
+            v = rng.choice(sorted(values)) if rng.random() < 0.5 else c
+            for _ in range(rng.randint(1, 4)):
+                v ^= 1 << rng.choice(range(64) if rng.random() < 0.5 else range(32))
+            values.add(v)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    edges = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), bits, heavy).collect()
+    assert all(bin((a ^ b) & (1 << 64) - 1).count("1") <= bits for a, b in edges)
+    got = components.components(spark.createDataFrame([tuple(e) for e in edges] or [(0, 0)], "a long, b long"))
+    got = {r["node"]: r["label"] for r in got.collect()}
+    want = plain_components(signed, bits)
+    assert all(got.get(v, v) == want[v] for v in signed)
+
+
+def test_components_of_a_chain_and_loops(spark):
+    e = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
+    got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(e, "x long, y long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_one_document_of_each_group_stays(spark):
+    rng = random.Random(4)
+    base = prose(rng, 300)
+    docs = frame(spark, [base, base, prose(rng, 200), None, "", "zz"]).union(frame(spark, [base]))  # doc 0 twice
+    out = simhash.deduplicated(docs)
+    assert sorted(r["doc_id"] for r in out.collect()) == [0, 2, 3, 5] and out.columns == docs.columns
+    assert simhash.report(docs.limit(0)).count() == 0
+
+
+# -- edit embedding ------------------------------------------------------------------------
+
+
+def test_edit_report_equals_the_definition(spark):
+    rng = random.Random(2)
+    texts = EDGE + [prose(rng, rng.randint(1, 400)) for _ in range(40)]
+    got = {r["doc_id"]: r for r in editsketch.report(frame(spark, texts), partitions=5).collect()}
+    e = editsketch.embedding()
+    for i, t in enumerate(texts):
+        t, nxt = t or "", texts[(i + 1) % len(texts)] or ""
+        k = len(t) // 2
+        new = t[: len(t) - k] + nxt[:k]
+        a, b, c = (e.fingerprints([x])[0] for x in (t, new, nxt))
+        assert got[i]["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest() and got[i]["n_chars"] == len(t)
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (a, b)
+        assert (got[i]["near_edited"], got[i]["near_next"]) == (editsketch.likeness(a, b), editsketch.likeness(a, c))
+
+
+def test_edits_stay_near_and_strangers_far():
+    rng, e = random.Random(6), editsketch.embedding()
+    texts = [prose(rng, 400) for _ in range(30)]
+    edited = [t[:700] + "x" + t[700:] for t in texts]
+    a, b = e.fingerprints(texts), e.fingerprints(edited)
+    assert np.mean([editsketch.likeness(x, y) for x, y in zip(a, b)]) > 0.8
+    strangers = ["".join(rng.choice("qwertyuiop ") for _ in range(2000)) for _ in range(30)]
+    assert np.mean([editsketch.likeness(x, y) for x, y in zip(a, e.fingerprints(strangers))]) < 0.1
+
+
+def test_edit_frames_of_odd_tables(spark):
+    one = frame(spark, ["abc def"])
+    r = editsketch.report(one, partitions=3).collect()
+    assert len(r) == 1 and r[0]["near_next"] == 1.0
+    assert editsketch.report(one.limit(0), partitions=3).count() == 0
+    twice = one.union(one).withColumn("part", F.lit("x"))
+    assert editsketch.report(twice, partitions=3).count() == 2
+    nulls = spark.createDataFrame([(None, "a b"), (1, "c"), (2, None)], "doc_id long, text string")
+    assert editsketch.report(nulls, partitions=2).count() == 3
+    assert editsketch.fingerprint(nulls).count() == 3
+
+
+# -- personal data -----------------------------------------------------------------------------
+
+
+def test_values_keep_format_validity_and_links(spark):
+    t = 'a 4785380592391139, +1 (743) 555-3824; 10.0.0.7 2024-02-29 31/12/1999 b.c@d.org k="24be64439e3e49cf46b2d7c90f3602a3d0b907ff" 4785 3805 9239 1139'
+    r = {x["doc_id"]: x for x in pii.report(frame(spark, [t, "x 4785380592391139 y", None, "", "no data 12 4785380592391138 999.1.1.1 2023-02-30"])).collect()}
+    card = re.findall(r"\b\d{16}\b", r[0]["text"])[0]
+    assert card != "4785380592391139" and card in r[1]["text"] and card == re.search(r"(\d{4} ){3}\d{4}", r[0]["text"])[0].replace(" ", "")
+    digits = [int(c) for c in card][::-1]
+    assert sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4};", r[0]["text"]) and "743) 555" not in r[0]["text"] and "b.c@d.org" not in r[0]["text"] and "24be64" not in r[0]["text"]
+    assert (r[0]["n_found"], r[2]["text"], r[2]["n_found"], r[3]["text"]) == (8, None, 0, "")
+    assert r[4]["text"] == "no data 12 4785380592391138 999.1.1.1 2023-02-30"
+
+
+def test_permutation_is_one_to_one_and_keyed(spark):
+    days = [f"{y}-{m:02d}-15" for y in range(1950, 2050) for m in range(1, 13)]
+    docs = frame(spark, days)
+    a = [r["text"] for r in pii.report(docs).orderBy("doc_id").collect()]
+    b = [r["text"] for r in pii.report(docs, key="other").orderBy("doc_id").collect()]
+    assert len(set(a)) == len(days) and a != b and all(re.fullmatch(r"\d{4}-\d\d-\d\d", x) for x in a)
+    kept = pii.apply(docs.withColumn("row", F.lit(2)).withColumn("t", F.lit(1)), found_col=None)
+    assert kept.columns == [*docs.columns, "row", "t"] and pii.report(docs.limit(0)).count() == 0
+
+
+# -- licences ---------------------------------------------------------------------------------------
+
+
+def test_every_sentence_has_a_trigger_and_a_rule_or_says_unknown():
+    for name, p in licenses.SENTENCES.items():
+        assert any(t in p for t in licenses.TRIGGERS), name
+    assert {i for _, _, ids in licenses.RULES for i in ids} <= set(licenses.SENTENCES)
+
+
+def test_sequences_match_ordered_rules(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software. The above copyright notice and this permission notice shall be included in all copies.
+    THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED. In no event shall the authors or copyright holders be liable."""
+    texts = [mit, "# Licensed under the Apache Licence, Version 2.0.\ntext", "Released under the MIT License. Also: Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: X", None, "", "plain", mit + "\n" + mit]
+    r = {x["doc_id"]: x for x in licenses.report(frame(spark, texts)).collect()}
+    assert (r[0]["rules"], r[0]["licenses"], r[0]["n_sentences"]) == ("mit-full", "MIT", 4)
+    assert [r[i]["licenses"] for i in range(1, 7)] == ["Apache-2.0", "CC-BY-NC-4.0,MIT", "unknown:spdx", "", "", ""]
+    assert r[7]["rules"] == "mit-full,mit-full" and licenses.report(frame(spark, texts).limit(0)).count() == 0
+
+
+# -- chat --------------------------------------------------------------------------------------------------
+
+
+def test_linking_ordering_validation(spark):
+    tools = {"add": {"a": chat.Param("integer"), "b": chat.Param("integer", required=False)}}
+    calls = [(1, 0, "x", "add", '{"b": 2, "a": 1}', None), (1, 0, "y", "add", '{"a": "1"}', ["x"]), (1, 2, "z", "add", '{"a": 1, "c": 0}', ["y", "x"]), (1, 3, "p", "add", "[", ["q"]), (1, 3, "q", "sub", "{}", ["p"]), (1, 4, None, "add", '{"a": 1}', ["gone"]), (1, 9, "x", "add", '{"a": 7}', None)]
+    results = [(1, 1, "x", "three"), (1, 1, "x", "three"), (1, 5, "lost", None)]
+    d = chat.link(spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, after array<string>"), spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string"), tools)
+    r = {x["call_id"]: x for x in d.collect()}
+    assert {k: (v["level"], v["status"], v["errors"]) for k, v in r.items()} == {
+        "x": (0, "linked", ""), "y": (1, "no result", "a: not integer"), "z": (2, "no result", "c: unknown"), "p": (None, "no result", "arguments: no object; cycle"),
+        "q": (None, "no result", "unknown tool; cycle"), "turn:4": (0, "no result", ""), "lost": (None, "orphan result", ""),
+    }
+    assert r["x"]["json"] == '{"arguments":{"a":1,"b":2},"id":"x","level":0,"name":"add","result":"three"}' and r["x"]["repeats"] == 2
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.report(empty).count() == 0
+
+
+# -- extraction ---------------------------------------------------------------------------------------------
+
+
+def test_blocks_and_branches():
+    page = """<html><head><title>t</title></head><body><header>H</header><nav><a>n</a></nav><article><h1>A &amp; <i>b</i></h1><p>one<br>two &#8212; x<p>three <span class="ad">buy</span>four
+    <div class="comments"><p>c</p></div><ul><li>u<li>v</ul><script>var a="</p>";</script><form>f</form></article><aside>s</aside><footer>z</footer>"""
+    assert extract.Page(page).text().split("\n\n")[:2] == ["A & b", "one two — x"]
+    assert not {"H", "n", "buy", "c", "f", "s", "z", "t"} & set(extract.Page(page).text().split())
+    assert [extract.Page(x).text() for x in ("", "plain  text", "<p>a<p>b", "<!-- <p>x</p> -->y", "a < b")] == ["", "plain text", "a\n\nb", "y", "a < b"]
+
+
+def test_style_tree_drops_what_a_site_repeats(spark):
+    rng = random.Random(8)
+    rows = [(i, f"http://a.example/{i}", f"<body><div class=top><p>Welcome to our pages</p></div><div class=text><p>{prose(rng, 20)} {i}</p></div></body>") for i in range(12)]
+    rows += [(100 + i, "http://copies.example/", "<body><article><p>same text</p></article></body>") for i in range(12)] + [(200, None, None), (201, "http://a.example/", "")]
+    r = {x["page_id"]: x for x in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("Welcome" not in r[i]["text"] and r[i]["text"].endswith(str(i)) for i in range(12))
+    assert all(r[100 + i]["text"] == "same text" for i in range(12)) and (r[200]["text"], r[201]["n_chars"]) == ("", 0)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no test tables")
+def test_articles_of_the_pages(spark):
+    import html
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in extract.extract(pages).collect()}
+    for p in pages.collect():
+        body = re.search(r"<article>(.*?)</article>", p["html"], re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub("<[^>]+>", "", b.replace("<br>", " "))).split()) for b in re.split("</?(?:p|h1)>", body)]
+        assert got[p["page_id"]] == "\n\n".join(b for b in blocks if b)
+
+
+# -- WARC -----------------------------------------------------------------------------------------------------
+
+
+def test_archives_round_trip_and_lookup(spark, tmp_path):
+    big = "<p>é" + "x" * 200
+    rows = [(1, "http://b.example/q?x=1#f", big), (2, "https://A.example:443/", big), (3, "http://b.example/q?x=1", None), (4, None, "short"), (5, "http://b.example/", "short"), (6, "http://b.example/", big)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    r = {x["page_id"]: tuple(x)[1:] for x in warc.report(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()}
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    assert r == {i: (len((h or "").encode()), sha(h), "revisit" if i in (2, 6) else "response", 1 if i in (2, 6) else None) for i, _, h in rows}
+    folder = f"file://{tmp_path}"
+    directory = sorted(tuple(x)[:4] for x in warc.archive(pages, folder=folder).collect())
+    found = warc.lookup("http://b.example/q?x=1", directory)
+    assert sorted((h["x-page-id"], p) for h, p in found) == [("1", big.encode()), ("3", b"")]
+    assert warc.lookup("http://none.example/", directory) == [] and warc.url_key("http://u@www.B.example:8080/p#x") == "example,b,www:8080)/p"
+    files = glob.glob(f"{tmp_path}/archive/*.warc.gz")
+    back = [warc.parse(m)[0]["x-page-id"] for f in files for _, m in warc.members(open(f, "rb").read())]
+    assert sorted(back) == ["1", "2", "3", "4", "5", "6"] and not glob.glob(f"{tmp_path}/archive/*.open")
+    assert warc.report(pages.limit(0)).count() == 0
+
+
+# -- pipeline -------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_equals_plain_python(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    item = prose(rng, 30)
+    texts = ["12 34", None, prose(rng, 120), prose(rng, 90) + " " + item + " end", "mail a.b@c.org " + prose(rng, 100), prose(rng, 150)]
+    texts += [texts[2], texts[5]]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(out) == {2, 4, 5} and all(r["round_trip"] for r in out.values())
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    assert list(out[5]["ids"]) == sp.encode(texts[5]) and "a.b@c.org" not in sp.decode(list(out[4]["ids"]))
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "pii", "sentencepiece"]
