@@ -9,8 +9,9 @@ made anew), a date a date, an address an address. The permutation depends on the
 key, the kind and the value only, so equal values stay linked across documents
 and different values stay different. Country codes and separators are kept.
 
-Mail addresses and secrets (runs of 32 or more letters and digits with both)
-have no digits to permute; they become a keyed hash, linked alike.
+Mail addresses and secrets (passwords behind ``password=``, access keys, runs of
+32 or more letters and digits with both) have no digits to permute; they become a
+keyed hash, linked alike.
 
 Dates lie between 1900-01-01 and 73,169 days later; others are left. Null texts
 stay null with 0 found; an empty text stays empty. Whole texts are treated, and
@@ -24,10 +25,14 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 KEY = "a key that a deployment replaces"
+#: Every candidate has one of these.
+SOME = "[0-9@=]"
 CANDIDATE = "|".join(
     [
         r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        r"(?:password|passwd|pwd)=[0-9A-Za-z]{6,}",
         r"[0-9A-Za-z]{32,}",
+        r"AKIA[0-9A-Z]{16}",
         r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]+",
         r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
         r"[0-9]{2}/[0-9]{2}/[0-9]{4}",
@@ -110,6 +115,8 @@ def pseudonyms(found: str, key: str = KEY, q=_Spark) -> str:
       WHEN {q.regex('x.m', phone)} THEN 'phone'
       WHEN {q.regex('x.m', '^[0-9]{3}-[0-9]{2}-[0-9]{4}$')} THEN 'ssn'
       WHEN {q.regex('x.m', '^[0-9 -]+$')} AND x.n BETWEEN 13 AND 19 THEN CASE WHEN {_luhn(q, 'x.d', 'x.n', 0)} % 10 = 0 THEN 'card' END
+      WHEN x.m LIKE '%=%' THEN 'password'
+      WHEN {q.regex('x.m', '^AKIA[0-9A-Z]{16}$')} THEN 'secret'
       WHEN {q.regex('x.m', '^[0-9A-Za-z]{32,}$')} AND {q.regex('x.m', '[0-9]')} AND {q.regex('x.m', '[A-Za-z]')} THEN 'secret' END"""
     e = q.each(e, "x", q.struct(keep | {"z": "x.z", "k": kind}))
     # u digits are permuted from the (p + 1)-th on, in halves of h and u - h
@@ -137,10 +144,12 @@ def pseudonyms(found: str, key: str = KEY, q=_Spark) -> str:
     filled = q.join(q.each(q.upto("length(x.m)"), "i", f"CASE WHEN {q.regex(c, '[0-9]')} THEN substr(x.w, {at}, 1) ELSE {c} END"))
     new_day = q.day("x.a * 270 + x.b")
     ip = ", '.', ".join(q.text(v) for v in (q.div("x.a", "256"), "x.a % 256", q.div("x.b", "256"), "x.b % 256"))
+    sign = "CAST(instr(x.m, '=') AS INT)"
     keyed = q.hash(f"concat('{safe}|', x.k, '|', lower(x.m))")
     out = f"""CASE WHEN x.k IS NULL THEN x.m
       WHEN x.k = 'mail' THEN concat('p', substr({keyed}, 1, 16), '@pseudonym.invalid')
       WHEN x.k = 'secret' THEN substr({q.hash(f"concat('{safe}|', x.k, '|', x.m)")}, 1, least(64, CAST(length(x.m) AS INT)))
+      WHEN x.k = 'password' THEN concat(substr(x.m, 1, {sign}), substr({q.hash(f"concat('{safe}|', x.k, '|', substr(x.m, {sign} + 1))")}, 1, least(64, CAST(length(x.m) AS INT) - {sign})))
       WHEN x.k = 'ip' THEN concat({ip})
       WHEN x.k = 'date' AND substr(x.m, 3, 1) = '/' THEN concat(substr({new_day}, 9, 2), '/', substr({new_day}, 6, 2), '/', substr({new_day}, 1, 4))
       WHEN x.k = 'date' THEN {new_day} ELSE {filled} END"""
@@ -154,7 +163,7 @@ def apply(docs: DataFrame, *, key: str = KEY, text_col: str = "text", found_col:
     """
     names = docs.columns
     text = docs[text_col].cast("string")
-    some = F.when(text.rlike("[0-9@]"), text)
+    some = F.when(text.rlike(SOME), text)
     df = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), text.alias("t"), F.regexp_extract_all(some, F.lit(CANDIDATE), F.lit(0)).alias("found"))
     df = df.withColumn("new", F.expr(pseudonyms("found", key)))
     gaps = F.split("t", CANDIDATE, -1)
@@ -173,7 +182,7 @@ def oracle(key: str = KEY) -> str:
     """The same in DuckDB."""
     c = CANDIDATE.replace("'", "''")
     return f"""
-WITH f AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, '[0-9@]') THEN regexp_extract_all(text, '{c}') END AS found FROM documents),
+WITH f AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, '{SOME}') THEN regexp_extract_all(text, '{c}') END AS found FROM documents),
 n AS (SELECT doc_id, text, {pseudonyms('found', key, Duck)} AS new FROM f),
 g AS (SELECT doc_id, text, new, list_filter(new, lambda x: x.k IS NOT NULL) AS hit, string_split_regex(text, '{c}') AS gaps FROM n)
 SELECT doc_id, CASE WHEN len(hit) > 0 THEN array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: concat(gaps[i], coalesce(new[i].o, ''))), '') ELSE text END AS text,
