@@ -48,7 +48,7 @@ def calibrated_similarity(
 
     Gold is embedded as a passage, the response as a query. A blank text is
     ``empty`` before the language is looked at; other languages than the three
-    raise, and so does a NaN cosine.
+    raise, and so do a NaN cosine and a missing vector.
     """
     check_encoder(encoder, allow_muril)
     table = calibration_table(df.sparkSession).filter(F.col("encoder") == encoder).select(F.struct(*[c.split()[0] for c in TABLE_SCHEMA.split(", ")]).alias("_cell"), F.col("language").alias("_lang"))
@@ -59,9 +59,10 @@ def calibrated_similarity(
     raw = cosine_similarity(gold_vector, response_vector)
     known = F.col("_l").isin(*LANGUAGES)
     raw = F.when(~F.coalesce(known, F.lit(False)), F.raise_error(F.concat(F.lit("unsupported language: "), F.coalesce("_l", F.lit("null")))).cast("double")).otherwise(raw)
+    raw = F.when(raw.isNull(), F.raise_error(F.lit("a text has no vector")).cast("double")).otherwise(raw)
     raw = F.when(blank, F.lit(None).cast("double")).otherwise(raw)
     raw = F.when(F.isnan(raw), F.raise_error(F.lit("cosine is NaN")).cast("double")).otherwise(raw)
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
+    score = F.when(raw.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))  # both skip nulls
     limit = F.coalesce(cell["threshold"], F.lit(DEFAULT_THRESHOLD))
     low = cell["roc_auc"] < min_auc
     above = score >= limit

@@ -558,9 +558,9 @@ def cache_stats(spark, sf_dir):
 
 @query("load_alias", f"SELECT row_number() OVER (ORDER BY u.conv_id, u.turn) AS ord, u.conv_id || '-' || u.turn AS id, coalesce(CASE WHEN NOT {d_blank('u.text')} THEN u.text END, '') AS prompt, coalesce(CASE WHEN NOT {d_blank('a.text')} THEN a.text END, '') AS response, '' AS gold, '' AS trace, '' AS language FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'")
 def load_alias(spark, sf_dir):
-    p = E.conversation_pairs(table(spark, sf_dir, "conversations")).orderBy("conv_id", "turn")
-    p = p.select(F.concat_ws("-", "conv_id", "turn").alias(" Case_ID "), F.col("prompt").alias("Question"), F.col("response").alias("completion"), F.lit(" ").alias("gold"), F.lit(5).alias("trace"))
-    return D.cases_from_columns(p)
+    p = E.conversation_pairs(table(spark, sf_dir, "conversations"))
+    p = p.select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias(" Case_ID "), F.col("prompt").alias("Question"), F.col("response").alias("completion"), F.lit(" ").alias("gold"), F.lit(5).alias("trace"))
+    return D.cases_from_columns(p, ["conv_id", "turn"])
 
 
 def _cases(spark, sf_dir):

@@ -7,7 +7,7 @@ import os
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +23,8 @@ ALIASES: dict[str, tuple[str, ...]] = {
     "trace": ("trace", "reasoning", "judge_reasoning"),
     "language": ("language", "lang"),
 }
-#: Where a line ends, as Python's ``splitlines`` has it.
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+#: Where a line ends beside CR and LF, which the reader sees to, as Python's ``splitlines`` has it.
+LINE_END = "[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 SIMILARITY_SCHEMA = "case_id string, task_id string, language string, label string, gold_text string, answer string"
 JUDGE_SCHEMA = (
     "trace_id string, question string, answer string, trap_word string, correct_meaning string, wrong_meaning string, ground_truth_answer_type string, "
@@ -33,15 +33,16 @@ JUDGE_SCHEMA = (
 CASE_FIELDS = ("id", "prompt", "response", "gold", "trace", "language")
 
 
-def cases_from_columns(df: DataFrame, order: str | None = None) -> DataFrame:
+def cases_from_columns(df: DataFrame, order: str | list[str] | None = None) -> DataFrame:
     """Cases out of any table by column aliases.
 
     The first alias whose column is a string and not blank counts; names are
     compared in lower case without outer blanks, the later of two equal ones
-    wins. A missing id becomes the row's number in ``order``, or in the table's own.
+    wins. A missing id becomes the row's number: by ``order`` (a column that holds
+    the numbers, or the columns to number by), else as the table is scanned.
     """
     named: dict[str, str] = {f.name.strip().lower(): f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
-    d = _numbered(df, order)
+    d = df.withColumn("_ord", F.col(order).cast("long")) if isinstance(order, str) else _numbered_by(df, order) if order else _numbered(df)
 
     def pick(key: str) -> Column:
         found = [F.when(~is_blank(F.col(f"`{named[a]}`")), F.col(f"`{named[a]}`")) for a in ALIASES[key] if a in named]
@@ -51,20 +52,59 @@ def cases_from_columns(df: DataFrame, order: str | None = None) -> DataFrame:
     return d.select(F.col("_ord").alias("ord"), ident.alias("id"), *[pick(k).alias(k) for k in CASE_FIELDS[1:]])
 
 
-def _numbered(df: DataFrame, order: str | None) -> DataFrame:
-    """``_ord`` from 1. Partition counts are prefix-summed: no partition is moved."""
-    if order:
-        return df.withColumn("_ord", F.col(order).cast("long"))
-    d = df.withColumn("_mono", F.monotonically_increasing_id())
-    counts = d.groupBy(F.shiftright("_mono", 33).alias("_p")).count().collect()  # a number for each partition
-    at, base = 0, {}
-    for p, n in sorted((r[0], r[1]) for r in counts):
-        base[p] = at
-        at += n
-    if not base:
-        return d.withColumn("_ord", F.col("_mono")).drop("_mono")
-    to = F.create_map(*[F.lit(x) for kv in base.items() for x in kv])
-    return d.withColumn("_ord", F.element_at(to, F.shiftright("_mono", 33)) + F.col("_mono").bitwiseAND((1 << 33) - 1) + 1).drop("_mono")
+_PLACE = (1 << 33) - 1
+
+
+def _bases(spark: SparkSession, counts: list[tuple[int, ...]]) -> DataFrame:
+    """Per part, how much lies in the parts before it; a row for each part."""
+    rows, at = [], [0] * (len(counts[0]) - 1 if counts else 2)
+    for p, *n in sorted(counts):
+        rows.append((p, *at))
+        at = [a + k for a, k in zip(at, n, strict=True)]
+    return F.broadcast(spark.createDataFrame(rows, "_p long" + "".join(f", _b{k} long" for k in range(len(at)))))
+
+
+def _numbered(df: DataFrame, keep: Column | None = None) -> DataFrame:
+    """``_ord`` from 1, in the order of a scan; of the rows to ``keep`` only, whose number among all is ``_no``.
+
+    Counts of the scan's partitions are prefix-summed: no row is moved. A table
+    that was shuffled may lie otherwise the next time, so it is refused.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        raise ValueError("a shuffled table has no order of its own: name the columns to number by")
+    keep = F.lit(True) if keep is None else keep
+    part = lambda c: F.shiftright(c, 33)
+    d = df.withColumn("_m", F.monotonically_increasing_id())
+    counts = [tuple(r) for r in d.groupBy(part("_m").alias("_p")).agg(F.count("*"), F.count_if(keep)).collect()]
+    d = d.filter(keep).withColumn("_k", F.monotonically_increasing_id()).withColumn("_p", part("_m"))
+    d = d.join(_bases(df.sparkSession, counts), "_p")
+    place = lambda c: F.col(c).bitwiseAND(_PLACE) + 1
+    return d.withColumn("_no", F.col("_b0") + place("_m")).withColumn("_ord", F.col("_b1") + place("_k")).drop("_p", "_m", "_k", "_b0", "_b1")
+
+
+def _numbered_by(df: DataFrame, cols: list[str], parts: int = 64) -> DataFrame:
+    """``_ord`` from 1 by the columns' order.
+
+    Cut points come from the rows of smallest hash (a few for each part); rows are
+    numbered within a part and the parts' counts are prefix-summed, so that no
+    task sees more than a share of the rows, whatever one column's values are.
+    """
+    key = F.struct(*cols)
+    some = df.select(*cols).orderBy(F.xxhash64(*cols), *cols).limit(16 * parts)
+    some = some.distinct().orderBy(*cols).collect()
+    cuts = some[:: max(1, len(some) // parts)][1:]
+    literal = lambda r: F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(cols, r, strict=True)])
+
+    def bucket(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low).cast("long")
+        mid = (low + high) // 2
+        return F.when(key < literal(cuts[mid]), bucket(low, mid)).otherwise(bucket(mid + 1, high))
+
+    d = df.withColumn("_p", bucket(0, len(cuts)))
+    base = _bases(df.sparkSession, [tuple(r) for r in d.groupBy("_p").count().collect()])
+    nth = F.row_number().over(Window.partitionBy("_p").orderBy(*cols))
+    return d.withColumn("_n", nth).join(base, "_p").withColumn("_ord", F.col("_b0") + F.col("_n")).drop("_p", "_n", "_b0")
 
 
 def _cases_from_variants(rows: DataFrame, where: str) -> DataFrame:
@@ -102,21 +142,22 @@ def load_cases(spark: SparkSession, path: str) -> DataFrame:
         df = spark.read.options(header=True, multiLine=True, escape='"', enforceSchema=False, encoding="UTF-8").csv(path)
         df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
         return cases_from_columns(df)
-    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("value"))
     if suffix == ".json":
+        text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
         doc = text.select(F.try_parse_json("value").alias("doc"))
-        lists = [F.col("doc"), *[F.try_variant_get("doc", f"$.{k}", "variant") for k in ("cases", "data", "tests")]]
-        truthy = lambda c: F.schema_of_variant(c).startswith("ARRAY") & (F.to_json(c) != "[]")
-        whole = F.when(F.schema_of_variant("doc").startswith("ARRAY"), F.col("doc"))
-        rows = F.coalesce(whole, *[F.when(F.coalesce(truthy(c), F.lit(False)), c) for c in lists[1:]])
+        lists = [F.try_variant_get("doc", f"$.{k}", "variant") for k in ("cases", "data", "tests")]
+        is_list = lambda c: F.coalesce(F.schema_of_variant(c).startswith("ARRAY"), F.lit(False))
+        rows = F.when(is_list(F.col("doc")), F.col("doc"))
+        rows = F.coalesce(rows, *[F.when(is_list(c) & (F.to_json(c) != "[]"), c) for c in lists])
         checked = F.when(rows.isNull(), F.raise_error(F.lit(f"{path}: expected a JSON list of objects")).cast("string")).otherwise(F.to_json(rows))
         each = doc.select(F.posexplode(F.from_json(checked, "array<variant>")).alias("pos", "v"))
         return _cases_from_variants(each.select((F.col("pos") + 1).cast("long").alias("ord"), "v"), path)
-    lines = text.select(F.posexplode(F.split("value", LINE_END, -1)).alias("pos", "line")).filter(~is_blank("line"))
-    lines = lines.select((F.col("pos") + 1).alias("no"), F.try_parse_json("line").alias("v"))
-    bad = F.raise_error(F.concat(F.lit(f"{path}:"), F.col("no").cast("string"), F.lit(": invalid JSON")))
-    lines = lines.select("no", F.when(F.col("v").isNull(), F.try_parse_json(bad.cast("string"))).otherwise(F.col("v")).alias("v"))
-    return _cases_from_variants(_numbered(lines.orderBy("no"), None).select(F.col("_ord").alias("ord"), "v"), path)
+    lines = spark.read.text(path).select(F.explode(F.split("value", LINE_END, -1)).alias("line"))
+    lines = _numbered(lines, ~is_blank("line"))
+    text = F.when(F.col("_no") == 1, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line"))
+    lines = lines.withColumn("v", F.try_parse_json(text))
+    bad = F.raise_error(F.concat(F.lit(f"{path}:"), F.col("_no").cast("string"), F.lit(": invalid JSON")))
+    return _cases_from_variants(lines.select(F.col("_ord").alias("ord"), F.when(F.col("v").isNull(), F.try_parse_json(bad.cast("string"))).otherwise(F.col("v")).alias("v")), path)
 
 
 def load_terms(spark: SparkSession, path: str | None = None, sep: str = ",") -> DataFrame:
