@@ -13,6 +13,13 @@ slot takes, of all positions the text has, the one of smallest random priority.
 The choice thus changes little as texts grow. Likeness is the share of equal
 slots, corrected for chance.
 
+Near-duplicates: distinct fingerprints are dealt into ``BANDS`` bands, each a sample
+of ``ROWS`` slots; what shares a band's slots is verified over all slots. A bucket
+of more than ``heavy`` fingerprints isn't paired up: its members are first verified
+against its smallest one. Only where that leaves a bucket in more than one class
+are its members compared, block by block, so that no task holds more than two
+blocks and no link is lost.
+
 Null texts count as empty; an empty text has the fingerprint of zeros, and two
 equal fingerprints have likeness 1. Whole texts are walked.
 """
@@ -28,11 +35,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
+from .components import components
 
 SLOTS = 128
 STRIDE = 512
 STEPS = 2 * STRIDE + 96
 SEED = 20231
+#: A pair of likeness 0.8 agrees in a band with probability 0.19, and in none of 32 with 0.001.
+BANDS = 32
+ROWS = 8
+LIKENESS = 0.8
+HEAVY = 64
 _EMPTY = "0" * SLOTS
 
 
@@ -149,6 +162,82 @@ def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, fingerprint string")
 
 
+def most_unlike(likeness_at_least: float = LIKENESS, slots: int = SLOTS) -> int:
+    """The number of slots in which two fingerprints of that likeness may differ."""
+    return int(slots * (1 - likeness_at_least) * 15 / 16 + 1e-9)
+
+
+_WORDS = "transform(sequence(0, {n} - 1), i -> CAST(conv(substr({c}, i * 8 + 1, 8), 16, 10) AS BIGINT))"
+_DIFFER = "aggregate(zip_with({a}, {b}, (x, y) -> bit_count((x ^ y | shiftright(x ^ y, 1) | shiftright(x ^ y, 2) | shiftright(x ^ y, 3)) & 286331153)), 0, (s, n) -> s + n)"
+
+
+def _differ(a: str, b: str) -> Column:
+    """In how many of the hex digits two fingerprints differ."""
+    words = lambda c: _WORDS.format(c=c, n=SLOTS // 8)
+    return F.expr(_DIFFER.format(a=words(a), b=words(b)))
+
+
+def band_keys(fps: DataFrame, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
+    """``band, key, fp``: the sampled slots of each band."""
+    rng = np.random.default_rng(seed)
+    keys = [F.concat(*[F.substring("fp", int(p) + 1, 1) for p in sorted(rng.choice(SLOTS, rows, replace=False))]) for _ in range(bands)]
+    return fps.select(F.posexplode(F.array(*keys)).alias("band", "key"), "fp")
+
+
+def _blocks(most: int):
+    """Of the fingerprints of two blocks, one verified link for each two classes."""
+
+    def run(pdf):
+        import pandas as pd
+
+        raw = np.frombuffer("".join(pdf["fp"]).encode(), np.uint8).reshape(len(pdf), -1)
+        label, fp = pdf["label"].to_numpy(), pdf["fp"].to_numpy()
+        found: dict[tuple[str, str], tuple[str, str]] = {}
+        for i in range(len(pdf)):
+            near = np.flatnonzero(((raw[i + 1 :] != raw[i]).sum(axis=1) <= most) & (label[i + 1 :] != label[i])) + i + 1
+            for j in near.tolist():
+                found.setdefault((label[i], label[j]), (fp[i], fp[j]))
+        return pd.DataFrame(list(found.values()), columns=["a", "b"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", likeness_at_least: float = LIKENESS, bands: int = BANDS, rows: int = ROWS, heavy: int = HEAVY) -> DataFrame:
+    """``id, fingerprint, component_id``: the smallest id reachable over verified links.
+
+    Equal fingerprints are always of one class. A class without an id has none.
+    """
+    most = most_unlike(likeness_at_least)
+    own = common.materialise(fingerprint(docs, id_col=id_col, text_col=text_col), "edit-fingerprints")
+    firsts = common.materialise(own.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("id").alias("first")), "edit-distinct")
+    place = ["band", "key"]
+    keyed = common.materialise(band_keys(firsts.filter(F.col("fp") != _EMPTY).select("fp"), bands, rows), "edit-bands")
+    bucket = keyed.groupBy(place).agg(F.count("*").alias("n"), F.min("fp").alias("hub")).filter("n > 1")
+    member = common.materialise(keyed.join(bucket, place), "edit-members")
+    light = member.filter(F.col("n") <= heavy)
+    other = light.select(*place, F.col("fp").alias("b"))
+    pairs = light.select(*place, F.col("fp").alias("a")).join(other, place).filter("a < b").select("a", "b").distinct()
+    large = member.filter(F.col("n") > heavy)
+    stars = large.filter("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
+    edges = common.materialise(pairs.union(stars).filter(_differ("a", "b") <= most), "edit-links")
+    label = common.materialise(components(edges).withColumnRenamed("node", "fp"), "edit-labels")
+    if not large.isEmpty():
+        named = large.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        split = named.groupBy(place).agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select(*place)
+        named = common.materialise(named.join(split, place, "left_semi"), "edit-split")
+        if not named.isEmpty():
+            k = F.ceil(F.col("n") / heavy).cast("long")
+            named = named.withColumn("k", k).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("k")))
+            units = named.select(*place, "fp", "label", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
+            units = units.select(*place, "fp", "label", F.least("c", "j").alias("c"), F.greatest("c", "j").alias("j"))
+            more = units.groupBy(*place, "c", "j").applyInPandas(_blocks(most), "a string, b string").distinct()
+            label = common.materialise(components(edges.union(more)).withColumnRenamed("node", "fp"), "edit-labels")
+    labelled = common.materialise(firsts.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "edit-classes")
+    least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
+    of = labelled.join(least, "label").select(F.col("fp").alias("fingerprint"), "component_id")
+    return own.join(of, "fingerprint").select("id", "fingerprint", "component_id")
+
+
 def with_next(docs: DataFrame, partitions: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows dealt out by ranges of the id, each range followed by a copy of the
     row that comes after it (``extra``): the next document is then the next row.

@@ -270,6 +270,32 @@ def test_edits_stay_near_and_strangers_far():
     assert np.mean([editsketch.likeness(x, y) for x, y in zip(a, e.fingerprints(strangers))]) < 0.1
 
 
+@pytest.mark.parametrize("heavy", [2, 5, 64])
+def test_banded_classes_are_those_of_all_pairs(spark, heavy):
+    rng = random.Random(heavy)
+    texts = []
+    for _ in range(4):  # chains of edits: the ends are far apart
+        t = prose(rng, 250)
+        for _ in range(9):
+            texts.append(t)
+            at = rng.randrange(len(t) - 60)
+            t = t[:at] + prose(rng, 8) + t[at + 40 :]
+    texts += [texts[0], "", None, "short"]
+    got = {r["id"]: r for r in editsketch.near_duplicates(frame(spark, texts), heavy=heavy).collect()}
+    e = editsketch.embedding()
+    fp = [e.fingerprints([t or ""])[0] for t in texts]
+    root = list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i in range(len(texts)):
+        for j in range(i):
+            if editsketch.likeness(fp[i], fp[j]) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert [got[i]["component_id"] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+    assert [got[i]["fingerprint"] for i in range(len(texts))] == fp and len(set(root)) < len(texts)
+    assert editsketch.near_duplicates(frame(spark, texts).limit(0)).count() == 0
+
+
 def test_edit_frames_of_odd_tables(spark):
     one = frame(spark, ["abc def"])
     r = editsketch.report(one, partitions=3).collect()
