@@ -121,11 +121,14 @@ def report(docs: DataFrame, **kw) -> DataFrame:
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", **kw) -> DataFrame:
     """One document of each component, that of the smallest id; rows of one id count once.
 
+    The ids kept grow with the documents, so they are never broadcast: each
+    partition of the documents meets the ids of its own.
+
     Documents without an id can't be told apart by it; they stay.
     """
     kept = classes(docs, id_col=id_col, **kw).groupBy("id").agg(F.count("*").alias("count"), F.max(F.col("id") == F.col("component_id")).alias("keep"))
     kept = common.materialise(kept.filter("keep").select("id", "count"), "kept")
-    out = docs.join(kept.select(F.col("id").alias(id_col)), id_col, "left_semi").select(docs.columns)
+    out = docs.join(kept.select(F.col("id").alias(id_col)).hint("shuffle_hash"), id_col, "left_semi").select(docs.columns)
     if not kept.filter("count > 1").isEmpty():
         out = out.dropDuplicates([id_col])
     return out.unionByName(docs.filter(F.col(id_col).isNull()))
