@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,7 +36,8 @@ TARGETS = {"devanagari": 0, "bengali": 0x80, "gurmukhi": 0x100, "gujarati": 0x18
 _TAMIL = {"ख": "क", "ग": "क", "घ": "क", "छ": "च", "झ": "ज", "ठ": "ट", "ड": "ट", "ढ": "ट", "थ": "त", "द": "त", "ध": "त", "फ": "प", "ब": "प", "भ": "प"}
 
 
-def _to_devanagari(text: str) -> str:
+@lru_cache(maxsize=1 << 16)
+def _run_to_devanagari(text: str) -> str:
     out: list[str] = []
     i, bare = 0, False  # bare: the last sign is a consonant without a vowel yet
     while i < len(text):
@@ -61,6 +63,14 @@ def _to_devanagari(text: str) -> str:
     return "".join(out) + "्" * bare
 
 
+#: Runs of what romanised signs are made of; nothing reaches from one run into the next.
+_RUN = re.compile(r"[A-Za-z~^.|]+")
+
+
+def _to_devanagari(text: str) -> str:
+    return _RUN.sub(lambda m: _run_to_devanagari(m[0]), text)
+
+
 def romanised_to(text: str, script: str = "devanagari") -> str:
     """ITRANS text in one of nine scripts; known loanwords first, for Devanagari only."""
     script = script.lower()
@@ -78,31 +88,59 @@ def romanised_to(text: str, script: str = "devanagari") -> str:
     return "".join(chr(ord(c) + shift) if 0x900 <= ord(c) <= 0x963 or 0x966 <= ord(c) <= 0x96F else c for c in text)
 
 
+def _class_of(points: list[int]) -> str:
+    """A regular expression's character class, by ranges."""
+    out, k = [], 0
+    while k < len(points):
+        first = k
+        while k + 1 < len(points) and points[k + 1] == points[k] + 1:
+            k += 1
+        out.append(f"\\U{points[first]:08x}-\\U{points[k]:08x}")
+        k += 1
+    return "[" + "".join(out) + "]"
+
+
+@cache
+def _tables() -> tuple[re.Pattern, re.Pattern, dict[int, str | None]]:
+    """Accents behind ASCII, the signs of numbers that go, and what each further character becomes.
+
+    Built from the interpreter's Unicode tables when first needed.
+    """
+    marks, digits, becomes = [], [], {}
+    for p in range(0x110000):
+        c = chr(p)
+        kind = unicodedata.category(c)
+        if kind == "Mn":
+            marks.append(p)
+        elif kind[0] == "P" and c not in "-.,":
+            becomes[p] = None
+        if c.isdigit():
+            digits.append(p)
+            becomes[p] = str(unicodedata.digit(c))
+    d = _class_of(digits)
+    loose = rf"[-.,](?:(?<=-)(?:(?!{d})|(?<=[^\W_]-))|(?<=[.,])(?:(?!{d})|(?<!{d}[.,])))"
+    return re.compile(rf"(?<=[\x00-\x7f]){_class_of(marks)}+"), re.compile(loose), becomes
+
+
 def _fold(text: str) -> str:
     """Everything from lower case on, in plain Python for texts beyond ASCII."""
-    out, base = [], False
-    for c in unicodedata.normalize("NFKD", text.lower()):
-        if unicodedata.category(c) == "Mn":
-            if base:
-                continue  # an accent on a Latin letter
-        else:
-            base = ord(c) < 128
-        out.append(c)
-    s, kept = "".join(out), []
-    for i, c in enumerate(s):
-        if unicodedata.category(c)[0] != "P":
-            kept.append(str(unicodedata.digit(c)) if c.isdigit() else c)
-            continue
-        before, after = s[i - 1 : i], s[i + 1 : i + 2]
-        if c == "-" and after.isdigit() and not before.isalnum() or c in ".," and before.isdigit() and after.isdigit():
-            kept.append("." if c == "," else c)
-    return " ".join("".join(kept).split())
+    accents, loose, becomes = _tables()
+    s = accents.sub("", unicodedata.normalize("NFKD", text.lower()))
+    return " ".join(loose.sub("", s).replace(",", ".").translate(becomes).split())
+
+
+def _fold_udf(script: str):
+    """Folds texts behind their mark; ``r`` marks a romanised one, null one that doesn't need Python."""
+
+    def one(t: str) -> str:
+        return _fold(romanised_to(t[1:], script) if t[0] == "r" else t[1:])
 
+    @F.pandas_udf(T.StringType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(one, na_action="ignore")
 
-@F.pandas_udf(T.StringType())
-def _fold_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(_fold, na_action="ignore")
+    return run
 
 
 def _translit_udf(script: str):
@@ -119,25 +157,19 @@ def transliterate(c: Column | str, to_script: str = "devanagari") -> Column:
     return _translit_udf(to_script)(coerce_text(c))
 
 
-def collapse_space(t: Column) -> Column:
-    return F.trim(F.regexp_replace(t, r"(?U)[\s\x1c-\x1f]+", " "))
-
-
-def strip_punctuation(t: Column) -> Column:
-    """Without punctuation, but for signs of numbers; a comma between digits becomes a point."""
-    t = F.regexp_replace(t, r"(?U)(?<=\d),(?=\d)", ".")
-    return F.regexp_replace(t, r"(?U)(?!(?<![\p{L}\p{N}])-(?=\d))(?!(?<=\d)[.](?=\d))\p{P}", "")
+def _strip_ascii_punctuation(t: Column) -> Column:
+    """Without punctuation, but for the signs of numbers; commas that are left stand between digits and become points."""
+    odd = r"[!-#%-*,-/:;?@\[-\]_{}](?<![0-9][.,](?=[0-9]))(?<!(?<![A-Za-z0-9])-(?=[0-9]))"
+    return F.translate(F.regexp_replace(t, odd, ""), ",", ".")
 
 
 def normalize(c: Column | str, to_script: str = "devanagari") -> Column:
     t = coerce_text(c)
     blank = is_blank(t)
-    hindi = (script_class(t) == "roman") & looks_like_hinglish(t)
-    ascii_only = ~t.rlike(r"[^\x00-\x7f]")
-    plain = collapse_space(strip_punctuation(F.lower(t)))
-    written = transliterate(F.when(hindi & ~blank, t), to_script)
-    needs = F.when(hindi & ~blank, written).when(~blank & ~ascii_only, t)
-    return F.when(blank, "").when(ascii_only & ~hindi, plain).otherwise(_fold_udf(needs))
+    hindi = looks_like_hinglish(t) & (script_class(t) == "roman")
+    marked = F.when(blank, F.lit(None).cast("string")).when(hindi, F.concat(F.lit("r"), t)).when(t.rlike(r"[^\x00-\x7f]"), F.concat(F.lit("n"), t))
+    plain = F.trim(F.regexp_replace(_strip_ascii_punctuation(F.lower(t)), r"[\s\x1c-\x1f]{2,}|[\t-\r\x1c-\x1f]", " "))
+    return F.coalesce(_fold_udf(to_script)(marked), F.when(blank, "").otherwise(plain))
 
 
 def normalize_text(text: str | None, to_script: str = "devanagari") -> str:
