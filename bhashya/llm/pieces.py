@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,6 @@ class PieceModel:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
-        self.key = hashlib.sha256(proto).hexdigest()
         self.size, self.bpe = sp.get_piece_size(), bpe
         self.strings = [sp.id_to_piece(i) for i in range(self.size)]
         self.byte_id = np.zeros(256, np.int32)
@@ -315,12 +315,12 @@ class PieceModel:
 
     # -- texts ----------------------------------------------------------------
 
-    def encode(self, texts: list[str | None], seen: dict[str, bytes] | None = None, memory: int = 150_000, span: int = 200_000) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None], seen: dict[str, bytes] | None = None, memory: int = 120_000, span: int = 200_000) -> list[np.ndarray]:
         """Ids of each text; ``seen`` remembers segments between calls."""
         seen = {} if seen is None else seen
         find = self.segment.findall
         cut = [find(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = list({w for ws in cut for w in ws if w not in seen})
+        new = list(dict.fromkeys(w for ws in cut for w in ws if w not in seen))
         ids: dict[str, bytes] = {}
         held, size = [], 0
         for w in new:  # one suffix array for every ``span`` characters bounds its memory
@@ -331,12 +331,8 @@ class PieceModel:
                 held, size = [], 0
         if held:
             ids.update(zip(held, self.encode_segments(held), strict=True))
-        if len(seen) + len(new) <= memory:
-            seen.update(ids)
-            look = seen.__getitem__
-        else:
-            def look(w, a=seen, b=ids):
-                return a[w] if w in a else b[w]
+        look = (seen | ids).__getitem__
+        seen.update(islice(ids.items(), max(0, memory - len(seen))))  # those met first are met most often
         return [np.frombuffer(b"".join(map(look, ws)), np.int32) for ws in cut]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -344,28 +340,16 @@ class PieceModel:
         return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
-_WORKER: dict[str, tuple[PieceModel, dict[str, bytes]]] = {}
-
-
-def _model(handle) -> tuple[PieceModel, dict[str, bytes]]:
-    """One model and one memory for each Python worker."""
-    key, arrays = handle.value
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = arrays, {}
-    return _WORKER[key]
-
-
 def load(spark: SparkSession, path: str = MODEL):
     """Read the model where the driver runs; the workers get it prepared."""
     with open(path, "rb") as f:
         model = PieceModel(f.read())
-    return spark.sparkContext.broadcast((model.key, model))
+    return spark.sparkContext.broadcast(model)
 
 
 def _encoder(handle, chars: int, decode: bool, want_ids: bool):
     def run(batches):
-        model, seen = _model(handle)
+        model, seen = handle.value, {}  # the memory ends with the task
         for t in common.groups(batches, chars):
             texts = t.column("text").to_pylist()
             ids = model.encode(texts, seen)
@@ -383,7 +367,7 @@ def _encoder(handle, chars: int, decode: bool, want_ids: bool):
     return run
 
 
-def encode(docs: DataFrame, *, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", want_ids: bool = True, decode: bool = False, chars: int = 4 << 20) -> DataFrame:
+def encode(docs: DataFrame, *, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", want_ids: bool = True, decode: bool = False, chars: int = 2 << 20) -> DataFrame:
     """``id, n_tokens, ids_sha256[, ids][, n_chars_decoded, round_trip]`` for each row.
 
     ``chars`` bounds the text that is held at once, not what is encoded.
@@ -401,7 +385,7 @@ def decode(tokens: DataFrame, *, path: str = MODEL, id_col: str = "doc_id", ids_
     handle = load(tokens.sparkSession, path)
 
     def run(batches):
-        model, _ = _model(handle)
+        model = handle.value
         for b in batches:
             back = [model.decode(np.array(x or [], np.int32)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(back, pa.string())], ["id", "text"])
