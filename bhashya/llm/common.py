@@ -18,13 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder is
-    made and entered as the session's checkpoint folder.
+    Only a local master may go without (tests, a laptop): a temporary folder is
+    then made and entered as the session's checkpoint folder. A cluster has no
+    machine-local folder that all its executors see, so there it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="bhashya-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
@@ -35,18 +39,33 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
+    """Write to the shared folder and read back: cuts lineage, survives lost executors.
+
+    The table is deleted with ``discard``, or else when the driver ends.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    vars(out)["kept_at"] = path
+    return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes materialised tables that nothing reads any more."""
+    for t in tables:
+        path = vars(t).pop("kept_at", None) if t is not None else None
+        if path:
+            fs, p = _file_system(t.sparkSession, path)
+            fs.delete(p, True)
 
 
 def ids_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -54,19 +73,35 @@ def ids_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch holds: texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def cut(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Halves a batch until no part holds more than ``size`` bytes, or a row alone does."""
+    if batch.nbytes <= size or batch.num_rows < 2:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from cut(batch.slice(0, half), size)
+        yield from cut(batch.slice(half), size)
+
+
+def bounded(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``size`` bytes (or one row), whatever Spark's own batches hold."""
+    for b in batches:
+        yield from cut(b, size)
 
 
 def groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
-    """Join Arrow batches until they hold ``size`` bytes."""
+    """Tables of about ``size`` bytes: large batches are cut, small ones joined."""
     held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.nbytes
-        if n >= size:
+    for b in bounded(batches, size):
+        if held and n + b.nbytes > size:
             yield pa.Table.from_batches(held)
             held, n = [], 0
+        held.append(b)
+        n += b.nbytes
     if held:
         yield pa.Table.from_batches(held)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound what one Arrow batch holds: texts may be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -15,7 +15,7 @@ xxhash = pytest.importorskip("xxhash")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from bhashya.llm import chat, components, decontaminate, editsketch, extract, langid, licenses, pieces, pii, simhash, warc  # noqa: E402
+from bhashya.llm import chat, components, decontaminate, editsketch, extract, langid, pieces, pii, simhash, warc  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -340,25 +340,6 @@ def test_permutation_is_one_to_one_and_keyed(spark):
     assert kept.columns == [*docs.columns, "row", "t"] and pii.report(docs.limit(0)).count() == 0
 
 
-# -- licences ---------------------------------------------------------------------------------------
-
-
-def test_every_sentence_has_a_trigger_and_a_rule_or_says_unknown():
-    for name, p in licenses.SENTENCES.items():
-        assert any(t in p for t in licenses.TRIGGERS), name
-    assert {i for _, _, ids in licenses.RULES for i in ids} <= set(licenses.SENTENCES)
-
-
-def test_sequences_match_ordered_rules(spark):
-    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software. The above copyright notice and this permission notice shall be included in all copies.
-    THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED. In no event shall the authors or copyright holders be liable."""
-    texts = [mit, "# Licensed under the Apache Licence, Version 2.0.\ntext", "Released under the MIT License. Also: Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: X", None, "", "plain", mit + "\n" + mit]
-    r = {x["doc_id"]: x for x in licenses.report(frame(spark, texts)).collect()}
-    assert (r[0]["rules"], r[0]["licenses"], r[0]["n_sentences"]) == ("mit-full", "MIT", 4)
-    assert [r[i]["licenses"] for i in range(1, 7)] == ["Apache-2.0", "CC-BY-NC-4.0,MIT", "unknown:spdx", "", "", ""]
-    assert r[7]["rules"] == "mit-full,mit-full" and licenses.report(frame(spark, texts).limit(0)).count() == 0
-
-
 # -- chat --------------------------------------------------------------------------------------------------
 
 
