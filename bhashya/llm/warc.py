@@ -16,8 +16,12 @@ and are put in place by a rename under a name of their content's task and
 attempt, so that a task that is run again leaves no torn file. Only files of
 committed tasks are named in the tables that the index is made of.
 
-Null html is an empty payload; a null URL is kept as the empty URL. Repeated
-rows are separate records. An empty table gives no archive and no rows.
+Null html is an empty payload; a null URL is kept as the empty URL. Repeated rows
+are separate records: all those of the smallest id are responses, so that a payload
+that one page has twice refers to nothing. A row without an id is a revisit where a
+row with an id has its payload. Ids may be of any type that has a text form. Columns
+other than the three, of whatever name, are ignored. An empty table gives no archive
+and no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -55,16 +60,17 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + (f":{port}" if port and port not in ("80", "443") else "") + ")" + (m[2] or "/")
 
 
-def record(kind: str, page: str, url: str, payload: bytes, digest: str, refers: str | None) -> bytes:
-    """One WARC record, as a gzip member."""
+def record(kind: str, page: str | None, url: str, payload: bytes, digest: str, refers: str | None) -> bytes:
+    """One WARC record, as a gzip member; ids stand percent-encoded, a null id not at all."""
+    name = lambda i: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{i}')}>"
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'page:' + page)}>",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name(page)}",
         f"WARC-Target-URI: {re.sub(r'[\r\n]', '', url)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}",
-        f"X-Page-ID: {page}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}",
+        *([] if page is None else [f"X-Page-ID: {quote(page, safe='')}"]), "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}",
     ]
     if refers is not None:
-        head[5:5] = [f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'page:' + refers)}>", f"X-Refers-To-Page: {refers}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head[5:5] = [f"WARC-Refers-To: {name(refers)}", f"X-Refers-To-Page: {quote(refers, safe='')}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     z = zlib.compressobj(1, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(head).encode("utf-8", "replace") + b"\r\n\r\n" + body + b"\r\n\r\n") + z.flush()
 
@@ -81,13 +87,17 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
     return headers, body.partition(b"\r\n\r\n")[2]
 
 
-def members(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """(offset, gzip member) of a whole archive."""
-    at = 0
+def members(data: bytes, step: int = 1 << 16) -> Iterator[tuple[int, bytes]]:
+    """(offset, gzip member) of a whole archive, a few bytes beyond the member at a time."""
+    view, at = memoryview(data), 0
     while at < len(data):
-        z = zlib.decompressobj(31)
-        z.decompress(data[at:])
-        end = len(data) - len(z.unused_data)
+        z, end = zlib.decompressobj(31), at
+        while not z.eof:
+            if end >= len(data):
+                raise ValueError("the archive ends within a record")
+            z.decompress(view[end : end + step])
+            end = min(end + step, len(data))
+        end -= len(z.unused_data)
         yield at, data[at:end]
         at = end
 
@@ -99,14 +109,15 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
 def plan_records(pages: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "page_id") -> DataFrame:
     """``id, url, html, digest, record_type, refers_to``.
 
-    Only (digest, id) pairs are aggregated, before the shuffle already; the join
-    back is an ordinary one on the digest, which Spark splits where one payload
-    holds very many rows.
+    Only (digest, id) pairs are aggregated, before the shuffle already. What comes
+    of it, a row for each payload that repeats, is written down: Spark then knows its
+    size, and moves no html if it is small enough to broadcast. Else the join is an
+    ordinary one on the digest, split where one payload holds very many rows.
     """
     p = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha2("html", 256)).withColumn("size", F.octet_length("html").cast("long"))
     firsts = p.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("id").alias("response"), F.count("*").alias("n"))
-    firsts = firsts.filter("n > 1").select("digest", "response")
+    firsts = common.materialise(firsts.filter("n > 1").select("digest", "response"), "repeated")
     revisit = F.col("response").isNotNull() & ~F.col("response").eqNullSafe(F.col("id"))
     return p.join(firsts, "digest", "left").select("id", "url", "html", "digest", "size", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("response")).alias("refers_to"))
 
@@ -125,11 +136,11 @@ def write(records: DataFrame, folder: str) -> DataFrame:
         c = TaskContext.get()
         name = f"{base}/part-{c.partitionId():05d}-{c.taskAttemptId()}.warc.gz"
         out, at = None, 0
-        for b in batches:
+        for b in common.bounded(batches):
             keys, ids, where, size = [], [], [], []
             for page, url, html, digest, kind, refers in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 payload = b"" if kind == "revisit" else html
-                member = record(kind, str(page), url, payload, digest, None if refers is None else str(refers))
+                member = record(kind, text(page), url, payload, digest, text(refers))
                 if out is None:
                     out = store.open_output_stream(name + ".open")
                 out.write(member)
@@ -144,6 +155,7 @@ def write(records: DataFrame, folder: str) -> DataFrame:
             out.close()
             store.move(name + ".open", name)
 
+    text = lambda i: None if i is None else str(i)
     kind_of = to_arrow_type(records.schema["id"].dataType)
     df = records.select("id", "url", F.col("html").cast("binary").alias("html"), "digest", "record_type", "refers_to")
     return df.mapInArrow(run, f"key string, page {df.schema['id'].dataType.simpleString()}, file string, at long, length long")
@@ -238,35 +250,40 @@ def read_all(directory: DataFrame, id_type: str = "long") -> DataFrame:
                     kind = h["warc-type"]
                     digest = h["warc-payload-digest"].removeprefix("sha256:")
                     if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
-                        raise ValueError(f"payload of page {h['x-page-id']} is damaged")
-                    got.append((h["x-page-id"], len(payload) if kind == "response" else None, digest, kind, h.get("x-refers-to-page")))
+                        raise ValueError(f"payload of page {h.get('x-page-id')} is damaged")
+                    got.append((named(h, "x-page-id"), len(payload) if kind == "response" else None, digest, kind, named(h, "x-refers-to-page")))
                 names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if n == "payload_bytes" else pa.string()) for n, x in zip(names, zip(*got))], names)
 
+    named = lambda h, k: unquote(h[k]) if k in h else None
     df = directory.select("first", "file", "at", "length")
     n = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = df.repartition(n).mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
-    return out.withColumns({c: F.when(F.col(c) != "None", F.col(c)).cast(id_type) for c in ("page_id", "refers_to")})
+    return out.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def archive(pages: DataFrame, *, folder: str | None = None, min_bytes: int = MIN_BYTES, id_col: str = "page_id") -> DataFrame:
     """Writes archives and index under ``folder``; returns the directory."""
     spark: SparkSession = pages.sparkSession
-    common.small_batches(spark, 500)
     folder = folder or common.fresh_path(spark, "warc")
-    captures = write(plan_records(pages, min_bytes, id_col), folder + "/archive")
-    captures = common.materialise(captures, "captures")
-    return common.materialise(build_index(captures, folder + "/index"), "directory")
+    captures = common.materialise(write(plan_records(pages, min_bytes, id_col), folder + "/archive"), "captures")
+    directory = common.materialise(build_index(captures, folder + "/index"), "directory")
+    common.discard(captures)
+    return directory
 
 
 def report(pages: DataFrame) -> DataFrame:
     """Archives the pages and describes each record as it is read back.
 
-    A revisit carries no payload: its size is that of the response it refers to.
+    A revisit carries no payload: its size is that of the response it refers to,
+    looked up by its page and digest, one row for each.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
-    back = common.materialise(read_all(archive(pages), kind), "records")
-    whole = back.filter("record_type = 'response'").select(F.col("page_id").alias("r"), F.col("payload_bytes").alias("whole"))
-    revisits = back.filter("record_type = 'revisit'").join(whole, F.col("refers_to") == F.col("r"), "left")
+    directory = archive(pages)
+    back = common.materialise(read_all(directory, kind), "records")
+    common.discard(directory)
+    key = [F.col("refers_to") == F.col("r"), F.col("payload_digest") == F.col("d")]
+    whole = back.filter("record_type = 'response'").groupBy(F.col("page_id").alias("r"), F.col("payload_digest").alias("d")).agg(F.max("payload_bytes").alias("whole"))
+    revisits = back.filter("record_type = 'revisit'").join(whole, key, "left")
     revisits = revisits.withColumn("payload_bytes", F.col("whole")).select(back.columns)
     return back.filter("record_type = 'response'").unionByName(revisits)

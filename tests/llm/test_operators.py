@@ -411,6 +411,32 @@ def test_archives_round_trip_and_lookup(spark, tmp_path):
     assert warc.report(pages.limit(0)).count() == 0
 
 
+def test_repeated_pages_and_odd_ids(spark):
+    x, y = "x" * 150, "y" * 150
+    rows = [(1, "u", x), (1, "u", x), (2, "u", x), (1, "v", y), (3, None, y), (3, None, y), (None, "w", x), (4, "w", "z" * 99), (5, "w", "z" * 99), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).withColumn("id", F.lit(0))
+    got = sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.report(pages).collect())
+    assert got == sorted([("1", 150, "response", None)] * 3 + [("2", 150, "revisit", 1)] + [("3", 150, "revisit", 1)] * 2 + [("None", 150, "revisit", 1), ("4", 99, "response", None), ("5", 99, "response", None), ("None", 0, "response", None)])
+    named = spark.createDataFrame([("None", "u", x), ("a b\r\n", "u", x), (None, "u", "")], "page_id string, url string, html string")
+    assert {r["page_id"]: r["refers_to"] for r in warc.report(named).collect()} == {"None": None, "a b\r\n": "None", None: None}
+    with pytest.raises(ValueError):
+        list(warc.members(warc.record("response", "1", "u", b"abc", "d", None)[:-3]))
+
+
+def test_warc_equals_sql_where_pages_repeat(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from bhashya.llm.oracles import OP7
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(30), "http://h.example/", rng.choice("abc") * rng.choice([0, 99, 100, 300])) for _ in range(120)]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    c.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    ours = [tuple(r) for r in warc.report(spark.createDataFrame(rows, "page_id long, url string, html string")).select(cols).collect()]
+    assert sorted(ours, key=str) == sorted(c.execute(f"SELECT {', '.join(cols)} FROM ({OP7})").fetchall(), key=str)
+
+
 # -- pipeline -------------------------------------------------------------------------------------------------------
 
 
