@@ -8,11 +8,16 @@ exchange is written as canonical JSON: sorted keys, no white space.
 Of several calls with one id the one of smallest turn, name and arguments
 counts, of several results that of smallest turn and content; ``repeats`` counts
 the rest. Both are reduced by partial aggregates before the join, so that a key
-which repeats very often is no burden. A call without an id gets ``turn:<n>``. Null
-or malformed arguments are reported in ``errors``; a null result content is an
-empty text. Calls that wait for one another in a circle, or for such, have a
-null level and the error ``cycle``. References to calls that don't exist are
-reported and don't hold a call back. An empty table gives no rows.
+which repeats very often is no burden. A call without an id gets ``turn:<n>``, and
+``turn:null`` without a turn; a result without an id answers nothing and is left out.
+Rows without a conversation id belong to one conversation of their own. Null or
+malformed arguments are reported in ``errors``; a null result content is an empty
+text. Calls that wait for one another in a circle, or for such, have a null level and
+the error ``cycle``. References to calls that don't exist don't hold a call back. An
+empty table gives no rows. Columns other than those named, and their names, don't matter.
+
+Levels take rounds: the logarithm of the longest run of calls that each wait for one
+other, and then one round for each level of calls that wait for several.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-KEY = ["conv_id", "call_id"]
+KEY = ["conv", "call_id"]
 
 
 @dataclass(frozen=True)
@@ -77,16 +82,16 @@ def argument_errors(name: Column, arguments: Column, tools: dict[str, dict[str,
 
 
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """``conv_id, call_id, level``: one more than the highest level waited for.
+    """``conv, call_id, level``: one more than the highest level waited for.
 
-    ``edges``: ``conv_id, call_id, after``. Runs of calls that each wait for one
-    other are jumped over by pointer doubling, in rounds of the logarithm of their
-    length. Only calls that wait for several are then placed level by level, over
+    ``edges``: ``conv, call_id, after``; no key is null. Runs of calls that each wait
+    for one other are jumped over by pointer doubling, in rounds of the logarithm of
+    their length. Only calls that wait for several are then placed level by level, over
     edges that lead from such a call to the head of a run. What waits in a circle,
     or for such a call, gets a null level.
     """
     edges = edges.distinct()
-    waits = edges.join(calls.select("conv_id", F.col("call_id").alias("after")), ["conv_id", "after"], "left_semi")
+    waits = edges.join(calls.select("conv", F.col("call_id").alias("after")), ["conv", "after"], "left_semi")
     waits = common.materialise(waits.groupBy(*KEY).agg(F.collect_set("after").alias("after")), "waits")
     none = F.lit(None).cast("int")
     level = calls.join(waits, KEY, "left_anti").select(*KEY, F.lit(0).alias("level"))
@@ -95,27 +100,30 @@ def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     # head and distance of every call that waits for one other
     run = common.materialise(waits.filter(F.size("after") == 1).select(*KEY, F.col("after")[0].alias("head"), F.lit(1).alias("far")), "run")
     for _ in range(run.count().bit_length() + 1):
-        nxt = run.select("conv_id", F.col("call_id").alias("head"), F.col("head").alias("head2"), F.col("far").alias("far2"))
-        if run.join(nxt, ["conv_id", "head"], "left_semi").isEmpty():
+        nxt = run.select("conv", F.col("call_id").alias("head"), F.col("head").alias("head2"), F.col("far").alias("far2"))
+        if run.join(nxt, ["conv", "head"], "left_semi").isEmpty():
             break
-        moved = run.join(nxt, ["conv_id", "head"], "left")
-        run = common.materialise(moved.select(*KEY, F.coalesce("head2", "head").alias("head"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far")), "run")
+        moved = run.join(nxt, ["conv", "head"], "left")
+        before, run = run, common.materialise(moved.select(*KEY, F.coalesce("head2", "head").alias("head"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far")), "run")
+        common.discard(before)
     many = waits.filter(F.size("after") > 1).select(*KEY, F.explode("after").alias("to"))
-    far = run.select("conv_id", F.col("call_id").alias("to"), "head", "far")
-    many = many.join(far, ["conv_id", "to"], "left").groupBy(*KEY, F.coalesce("head", "to").alias("head")).agg(F.max(F.coalesce("far", F.lit(0)) + 1).alias("far"))
+    far = run.select("conv", F.col("call_id").alias("to"), "head", "far")
+    many = many.join(far, ["conv", "to"], "left").groupBy(*KEY, F.coalesce("head", "to").alias("head")).agg(F.max(F.coalesce("far", F.lit(0)) + 1).alias("far"))
     many = common.materialise(many, "many")
     level = common.materialise(level, "level")
     while not many.isEmpty():
-        known = level.select("conv_id", F.col("call_id").alias("head"), F.col("level").alias("at"))
-        by = many.join(known, ["conv_id", "head"], "left").groupBy(*KEY).agg(F.max(F.col("at") + F.col("far")).alias("level"), F.count_if(F.col("at").isNull()).alias("open"))
+        known = level.select("conv", F.col("call_id").alias("head"), F.col("level").alias("at"))
+        by = many.join(known, ["conv", "head"], "left").groupBy(*KEY).agg(F.max(F.col("at") + F.col("far")).alias("level"), F.count_if(F.col("at").isNull()).alias("open"))
         placed = common.materialise(by.filter("open = 0").select(*KEY, "level"), "placed")
         if placed.isEmpty():
             level = level.union(many.select(*KEY).distinct().select("*", none))
             break
+        old = level, many, placed
         level = common.materialise(level.union(placed), "level")
-        many = common.materialise(many.join(placed, KEY, "left_anti").select("conv_id", "call_id", "head", "far"), "many")
-    known = level.select("conv_id", F.col("call_id").alias("head"), F.col("level").alias("at"))
-    return level.union(run.join(known, ["conv_id", "head"], "left").select(*KEY, F.col("at") + F.col("far")))
+        many = common.materialise(many.join(placed, KEY, "left_anti").select("conv", "call_id", "head", "far"), "many")
+        common.discard(*old)
+    known = level.select("conv", F.col("call_id").alias("head"), F.col("level").alias("at"))
+    return level.union(run.join(known, ["conv", "head"], "left").select(*KEY, F.col("at") + F.col("far")))
 
 
 def link(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str, Param]]) -> DataFrame:
@@ -124,12 +132,14 @@ def link(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str, Param]
     ``calls``: ``conv_id, turn, call_id, name, arguments, after`` (ids it waits
     for, may be null); ``results``: ``conv_id, turn, call_id, content``.
     """
-    named = F.coalesce("call_id", F.concat(F.lit("turn:"), F.col("turn").cast("string")))
-    c = calls.withColumn("call_id", named).groupBy(*KEY).agg(
-        F.min(F.struct("turn", "name", "arguments", "after")).alias("c"), F.count("*").alias("nc")
+    conv = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("none"))  # never null: a key of joins
+    named = F.coalesce("call_id", F.concat(F.lit("turn:"), F.coalesce(F.col("turn").cast("string"), F.lit("null"))))
+    c = calls.select("conv_id", conv.alias("conv"), "turn", named.alias("call_id"), "name", "arguments", "after").groupBy(*KEY).agg(
+        F.min(F.struct("turn", "name", "arguments", "after")).alias("c"), F.count("*").alias("nc"), F.max("conv_id").alias("conv_c")
     )
-    r = results.filter("call_id IS NOT NULL").groupBy(*KEY).agg(F.min(F.struct("turn", F.coalesce("content", F.lit("")).alias("content"))).alias("r"), F.count("*").alias("nr"))
-    edges = c.select(*KEY, F.explode("c.after").alias("after"))
+    r = results.filter("call_id IS NOT NULL").select("conv_id", conv.alias("conv"), "turn", "call_id", "content")
+    r = r.groupBy(*KEY).agg(F.min(F.struct("turn", F.coalesce("content", F.lit("")).alias("content"))).alias("r"), F.count("*").alias("nr"), F.max("conv_id").alias("conv_r"))
+    edges = c.select(*KEY, F.explode("c.after").alias("after")).filter("after IS NOT NULL")
     both = c.join(levels(c.select(*KEY), edges), KEY, "left").join(r, KEY, "full_outer")
     is_call = F.col("c").isNotNull()
     errors = F.when(is_call, argument_errors(F.col("c.name"), F.col("c.arguments"), tools)).otherwise(F.array().cast("array<string>"))
@@ -142,7 +152,7 @@ def link(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str, Param]
         F.col("call_id").alias("id"), F.col("level"), F.col("c.name").alias("name"), F.col("r.content").alias("result"),
     )
     return both.select(
-        "conv_id", "call_id", F.lit("exchange").alias("kind"), F.col("c.turn").alias("call_turn"), F.col("r.turn").alias("result_turn"), "level",
+        F.coalesce("conv_c", "conv_r").alias("conv_id"), "call_id", F.lit("exchange").alias("kind"), F.col("c.turn").alias("call_turn"), F.col("r.turn").alias("result_turn"), "level",
         status.alias("status"), F.array_join(errors, "; ").alias("errors"),
         (F.coalesce("nc", F.lit(0)) + F.coalesce("nr", F.lit(0)) - is_call.cast("long") - F.col("r").isNotNull().cast("long")).alias("repeats"),
         F.to_json(said).alias("json"),
@@ -153,9 +163,10 @@ def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results out of plain turns.
 
     A user turn calls the tool ``reply`` with its text; the assistant turn that
-    follows is the result. A call waits for the user turn two before it, if any.
+    follows is the result. A call waits for the user turn two before it, if any. Rows
+    without a turn are neither: ``report`` has them as messages.
     """
-    t = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.col("text").cast("string").alias("text"))
+    t = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.col("text").cast("string").alias("text")).filter("turn IS NOT NULL")
     name = lambda n: F.concat(F.lit("call_"), n.cast("string"))
     calls = t.filter("role = 'user'").select(
         "conv_id", "turn", name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"),
@@ -167,27 +178,27 @@ def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 def report(conversations: DataFrame) -> DataFrame:
     """Exchanges, and every other turn as a message of its own."""
     calls, results = from_turns(conversations)
-    rest = conversations.filter("role IS NULL OR role NOT IN ('user', 'assistant')")
+    rest = conversations.filter("role IS NULL OR role NOT IN ('user', 'assistant') OR turn IS NULL")
     nothing = F.lit(None)
     rest = rest.select(
         "conv_id", nothing.cast("string").alias("call_id"), F.lit("message").alias("kind"), F.col("turn").cast("long").alias("call_turn"), nothing.cast("long").alias("result_turn"),
-        nothing.cast("int").alias("level"), F.lit("message").alias("status"), F.lit("").alias("errors"), F.lit(0).cast("long").alias("repeats"),
+        nothing.cast("int").alias("level"), F.lit("message").alias("status"), F.when(F.col("turn").isNull(), "turn: missing").otherwise("").alias("errors"), F.lit(0).cast("long").alias("repeats"),
         F.to_json(F.struct(F.col("text").alias("content"), "role")).alias("json"),
     )
     return link(calls, results, REPLY).unionByName(rest)
 
 
 ORACLE = """
-WITH RECURSIVE t AS (SELECT conv_id, turn, role, text FROM conversations),
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, text FROM conversations WHERE turn IS NOT NULL),
 c AS (SELECT conv_id, 'call_' || turn AS call_id, min(turn) AS turn, min(text) AS text, count(*) AS n FROM t WHERE role = 'user' GROUP BY 1, 2),
 r AS (SELECT conv_id, 'call_' || (turn - 1) AS call_id, min(turn) AS turn, min(coalesce(text, '')) AS content, count(*) AS n FROM t WHERE role = 'assistant' GROUP BY 1, 2),
 l AS (
-  SELECT conv_id, call_id, turn, 0 AS level FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 2)
-  UNION ALL SELECT c.conv_id, c.call_id, c.turn, l.level + 1 FROM l JOIN c ON c.conv_id = l.conv_id AND c.turn = l.turn + 2),
+  SELECT conv_id, call_id, turn, 0 AS level FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS p WHERE p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.turn = c.turn - 2)
+  UNION ALL SELECT c.conv_id, c.call_id, c.turn, l.level + 1 FROM l JOIN c ON c.conv_id IS NOT DISTINCT FROM l.conv_id AND c.turn = l.turn + 2),
 j AS (
   SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn AS call_turn, r.turn AS result_turn, l.level, c.text, r.content,
     coalesce(c.n, 0) + coalesce(r.n, 0) - (c.turn IS NOT NULL)::INT - (r.turn IS NOT NULL)::INT AS repeats
-  FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id LEFT JOIN l ON c.conv_id = l.conv_id AND c.call_id = l.call_id)
+  FROM c FULL JOIN r ON c.conv_id IS NOT DISTINCT FROM r.conv_id AND c.call_id = r.call_id LEFT JOIN l ON c.conv_id IS NOT DISTINCT FROM l.conv_id AND c.call_id = l.call_id)
 SELECT conv_id, call_id, 'exchange' AS kind, call_turn, result_turn, level,
   CASE WHEN call_turn IS NULL THEN 'orphan result' WHEN result_turn IS NULL THEN 'no result' ELSE 'linked' END AS status,
   CASE WHEN call_turn IS NULL THEN '' WHEN text IS NULL THEN 'prompt: missing' WHEN length(text) < 1 THEN 'prompt: too short' WHEN length(text) > 300 THEN 'prompt: too long' ELSE '' END AS errors,
@@ -196,6 +207,41 @@ SELECT conv_id, call_id, 'exchange' AS kind, call_turn, result_turn, level,
     '"id":' || to_json(call_id)::VARCHAR, '"level":' || level, CASE WHEN call_turn IS NOT NULL THEN '"name":"reply"' END, '"result":' || to_json(content)::VARCHAR) || '}' AS json
 FROM j
 UNION ALL
-SELECT conv_id, NULL, 'message', turn, NULL, NULL, 'message', '', 0, '{' || concat_ws(',', '"content":' || to_json(text)::VARCHAR, '"role":' || to_json(role)::VARCHAR) || '}'
-FROM t WHERE role IS NULL OR role NOT IN ('user', 'assistant')
+SELECT conv_id, NULL, 'message', turn, NULL, NULL, 'message', CASE WHEN turn IS NULL THEN 'turn: missing' ELSE '' END, 0, '{' || concat_ws(',', '"content":' || to_json(text)::VARCHAR, '"role":' || to_json(role)::VARCHAR) || '}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant') OR turn IS NULL
+"""
+
+#: A stated set of tools for ``orders_as_calls``.
+SHOP = {"order": {"priority": Param("string", min_length=6), "status": Param("string", max_length=1), "total": Param("number", minimum=1000)}}
+
+
+def orders_as_calls(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """A table of exchanges: every order is a call, every item of it a result.
+
+    Each hundred of order numbers is a conversation. An urgent order waits for those
+    1, 2 and 5 numbers before it, as far as they are in it, one of high priority for
+    the one before; results beyond the first of an order are repeats.
+    """
+    name = lambda n: F.concat(F.lit("o"), n.cast("string"))
+    k = F.col("o_orderkey")
+    calls = orders.select(
+        F.floor(k / 100).alias("conv_id"), k.cast("long").alias("turn"), name(k).alias("call_id"), F.lit("order").alias("name"),
+        F.to_json(F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("double").alias("total"))).alias("arguments"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.array(name(k - 1), name(k - 2), name(k - 5))).when(F.col("o_orderpriority") == "2-HIGH", F.array(name(k - 1))).alias("after"),
+    )
+    of = F.col("l_orderkey")
+    results = lineitem.select(F.floor(of / 100).alias("conv_id"), (of + F.col("l_linenumber")).cast("long").alias("turn"), name(of).alias("call_id"), F.col("l_returnflag").alias("content"))
+    return link(calls, results, SHOP).drop("kind", "json")
+
+
+ORDERS_ORACLE = """
+WITH RECURSIVE c AS (SELECT o_orderkey // 100 AS conv_id, o_orderkey AS k, o_orderpriority AS p, o_orderstatus AS s, o_totalprice AS total FROM orders),
+e AS (SELECT a.conv_id, a.k, b.k AS to_k FROM c a JOIN c b ON a.conv_id = b.conv_id AND (b.k = a.k - 1 AND a.p IN ('1-URGENT', '2-HIGH') OR b.k IN (a.k - 2, a.k - 5) AND a.p = '1-URGENT')),
+path AS (SELECT k, 0 AS d FROM c UNION SELECT e.k, path.d + 1 FROM path JOIN e ON e.to_k = path.k),
+lv AS (SELECT k, max(d) AS level FROM path GROUP BY 1),
+r AS (SELECT l_orderkey AS k, min(l_orderkey + l_linenumber) AS turn, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT c.conv_id, 'o' || c.k AS call_id, c.k AS call_turn, r.turn AS result_turn, lv.level, CASE WHEN r.k IS NULL THEN 'no result' ELSE 'linked' END AS status,
+  concat_ws('; ', CASE WHEN length(p) < 6 THEN 'priority: too short' END, CASE WHEN length(s) > 1 THEN 'status: too long' END, CASE WHEN total < 1000 THEN 'total: too small' END) AS errors,
+  greatest(coalesce(r.n, 0) - 1, 0)::BIGINT AS repeats
+FROM c JOIN lv ON lv.k = c.k LEFT JOIN r ON r.k = c.k
 """

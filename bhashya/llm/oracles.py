@@ -35,6 +35,7 @@ FROM r
 
 ORACLES = {
     "op5_chat": chat.ORACLE,
+    "chat_orders": chat.ORDERS_ORACLE,
     "op1_licenses": licenses.oracle(),
     "op9_pii": pii.oracle(),
     "op7_warc": OP7,

@@ -40,6 +40,11 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(table(spark, sf_dir, "conversations"))
 
 
+def chat_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tool-call linking of op5 over a table of calls with several predecessors and many results."""
+    return chat.orders_as_calls(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op1_licenses": op1_licenses,
     "op5_chat": op5_chat,
+    "chat_orders": chat_orders,
     "op6_simhash": op6_simhash,
     "op4_extract": op4_extract,
 }

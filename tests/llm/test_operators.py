@@ -358,6 +358,46 @@ def test_linking_ordering_validation(spark):
     assert chat.report(empty).count() == 0
 
 
+def test_rows_without_conversation_or_turn_link_as_any_other(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 2, "user", "c"), (None, None, "user", "d"), (None, None, "user", "d"), (7, None, "assistant", None), (7, 0, None, "x"), (7, 1, "user", None), (7, 3, "user", "y" * 400), (7, 2, "system", "")]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("conv", F.lit("clash")).withColumn("level", F.lit(9))
+    out = chat.report(t).collect()
+    got = sorted((str(r["conv_id"]), str(r["call_turn"]), r["status"], r["errors"], r["level"]) for r in out)
+    assert got == sorted([
+        ("None", "0", "linked", "", 0), ("None", "2", "no result", "", 1), ("None", "None", "message", "turn: missing", None), ("None", "None", "message", "turn: missing", None),
+        ("7", "None", "message", "turn: missing", None), ("7", "0", "message", "", None), ("7", "1", "no result", "prompt: missing", 0), ("7", "3", "no result", "prompt: too long", 1), ("7", "2", "message", "", None),
+    ])
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    c.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    c.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows + rows)
+    cols = "conv_id, call_id, kind, call_turn, result_turn, level, status, errors, repeats, json"
+    ours = [tuple(r) for r in chat.report(t.union(t)).select(cols.split(", ")).collect()]
+    assert sorted(map(str, ours)) == sorted(map(str, c.execute(f"SELECT {cols} FROM ({chat.ORACLE})").fetchall()))
+
+
+def plain_levels(calls):
+    """Longest chains by repeated relaxation; circles and what waits for them have none."""
+    level = {k: 0 for k in calls}
+    for _ in range(len(calls) + 1):
+        level = {k: max((level[a] + 1 for a in after if a in calls), default=0) for k, after in calls.items()}
+    return {k: v if v < len(calls) else None for k, v in level.items()}
+
+
+def test_levels_of_random_graphs(spark):
+    rng = random.Random(21)
+    for n, circles in ((30, 0), (30, 2), (60, 0)):
+        calls = {f"k{i}": [f"k{rng.randrange(max(1, i - 4), i + 1)}" for _ in range(rng.choice([0, 1, 1, 2, 3]))] if i else [] for i in range(n)}
+        calls = {k: [a for a in after if a != k] + ["gone"] * (k == "k3") for k, after in calls.items()}
+        for _ in range(circles):
+            calls["k5"] = [*calls["k5"], "k9"]
+            calls["k9"] = [*calls["k9"], "k5"]
+        frame_ = spark.createDataFrame([(1, i, k, "t", "{}", after) for i, (k, after) in enumerate(calls.items())], "conv_id long, turn long, call_id string, name string, arguments string, after array<string>")
+        none = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+        got = {r["call_id"]: r["level"] for r in chat.link(frame_, none, {"t": {}}).collect()}
+        assert got == plain_levels(calls)
+
+
 # -- extraction ---------------------------------------------------------------------------------------------
 
 
