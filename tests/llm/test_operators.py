@@ -124,32 +124,52 @@ def test_encode_and_decode_frames(spark, model):
 # -- language ID ---------------------------------------------------------------------
 
 
-def brute_phrases(sample, text, span, block):
-    """Longest matches by plain search."""
-    known = [sample[i : i + span] for i in range(0, len(sample), span)]
-    n = 0
-    for b in range(0, len(text), block):
-        part, i = text[b : b + block], 0
-        while i < len(part):
-            k = 0
-            while i + k < len(part) and any(part[i : i + k + 1] in s for s in known):
-                k += 1
-            i += max(k, 1)
-            n += 1
+def brute_phrases(sample, text):
+    """Longest matches by plain search, over the whole text and the whole sample."""
+    n = i = 0
+    while i < len(text):
+        k = 0
+        while i + k < len(text) and text[i : i + k + 1] in sample:
+            k += 1
+        i += max(k, 1)
+        n += 1
     return n
 
 
-def test_phrases_equal_plain_search():
-    rng = random.Random(7)
+def fold(t):
+    return "".join(c if c.isalpha() else " " for c in (t or "").lower())
+
+
+def spaced(t):
+    return re.sub(" +", " ", fold(t)).lstrip(" ")  # a gap in front is left out
+
+
+@pytest.mark.parametrize("block", [3, 16, 64, 1024])
+def test_phrases_equal_plain_search(block):
+    rng = random.Random(block)
+    han = [chr(0x4E00 + i) for i in range(600)]
     a, b = prose(rng, 60), " ".join("le la et un des".split()[rng.randrange(5)] for _ in range(80))
-    p = langid.CrossParser({"a": a, "b": b}, block=64, span=16)
-    texts = [prose(rng, 40), b[10:90], "zzz qqq", "", None, "12 3!"]
+    c = "".join(rng.choice(han) for _ in range(700))
+    samples = {"a": a, "b": b, "c": c}
+    p = langid.CrossParser(samples, block=block)
+    texts = [prose(rng, 40), b[10:190], c[100:500], a + b + c, c * 3, "zzz qqq", "", None, "12 3!", "a", prose(rng, 3) + c[5:90] + prose(rng, 90)]
+    texts += ["".join(rng.choice(han + list("abcdel  ")) for _ in range(rng.randrange(300))) for _ in range(10)]
     got, letters = p.phrases(texts)
-    fold = lambda t: re.sub("[^a-z]+", " ", (t or "").lower()).lstrip(" ")  # noqa: E731  a gap in front is left out
     for i, t in enumerate(texts):
-        assert [got[k, i] for k in (0, 1)] == [brute_phrases(fold(s), fold(t), 16, 64) for s in (a, b)]
-        assert letters[i] == len(re.findall("[a-z]", fold(t)))
-    assert [x[0] for x in p.predict(texts)] == ["a", "b", p.predict(texts)[2][0], "und", "und", "und"]
+        assert [got[k, i] for k in range(3)] == [brute_phrases(spaced(s), spaced(t)) for s in samples.values()], t
+        assert letters[i] == sum(c.isalpha() for c in t or "")
+    said = p.predict(texts)
+    assert [x[0] for x in said[:3]] == ["a", "b", "c"] and said[2][2] == 400.0  # an excerpt of a sample is one phrase
+    assert [x[0] for x in said[6:9]] == ["und"] * 3 and said[5][1] == 1 / 3
+
+
+def test_samples_of_unequal_size_and_letters_of_many_scripts():
+    rng = random.Random(11)
+    p = langid.CrossParser({"long": prose(rng, 900), "short": " ".join("mot tom omt" .split()[rng.randrange(3)] for _ in range(30))})
+    assert [x[0] for x in p.predict(["mot omt tom", prose(rng, 9), "мир"])][:2] == ["short", "long"]
+    assert langid.CrossParser({}).predict(["x"]) == [("und", 0.0, 0.0)]
+    table = langid.CrossParser({"han": "".join(map(chr, range(0x4E00, 0x4E00 + 9000)))})
+    assert table.nbytes < 8 << 20 and table.predict(["".join(map(chr, range(0x4E10, 0x5010)))])[0][2] == 512.0
 
 
 def test_language_frames(spark):
@@ -161,6 +181,15 @@ def test_language_frames(spark):
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in langid.report(unlabelled).collect()} == {"und"}
     assert langid.report(docs.limit(0)).count() == 0
+    twice = docs.union(docs).withColumn("h", F.lit("clash")).withColumn("r", F.lit(0))
+    assert sorted(map(tuple, langid.report(twice).collect())) == sorted(2 * [tuple(r) for r in langid.report(docs).collect()])
+
+
+def test_the_sample_is_bounded_in_rows_and_length(spark):
+    rows = [(i, "ab " * (10 + i % 5), "x", "s", 0) for i in range(300)] + [(1000, "c" * 9000, "y", "s", 0), (1001, "d" * 9500, "y", "s", 0), (1002, "e", None, "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = langid.training_sample(docs, 20, 100).collect()
+    assert sum(r["lang"] == "x" for r in got) == 20 and sum(r["lang"] == "y" for r in got) <= 1 and {r["lang"] for r in got} <= {"x", "y"}
 
 
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables")
