@@ -1,52 +1,72 @@
 """Document fingerprints by a randomised edit embedding.
 
-A walk goes over a text: at each step it puts out a small hash of the characters
-where it stands, and then stays or moves on by a random bit that depends on the
-step and the character alone. All texts share the bits, so that after an edit
-the walks of two texts soon stand at the same place again: a small edit distance
-becomes a small Hamming distance. Every ``STRIDE`` characters a new walk of
-``STEPS`` steps starts, which lets a batch of texts walk in step and bounds a
-text's drift; the walks together cover the whole text.
-
-The fingerprint samples the embedding at ``SLOTS`` positions (four bits each). A
-slot takes, of all positions the text has, the one of smallest random priority.
-The choice thus changes little as texts grow. Likeness is the share of equal
-slots, corrected for chance.
+A walk goes over a stretch of text: at each step it puts out a small hash of the
+characters where it stands, and then stays or moves on by a random bit that depends on
+the step and the character alone. All texts share the bits, so that after an edit the
+walks of two texts soon stand at the same place again: a small edit distance becomes a
+small Hamming distance.
+
+Walks start at the text's beginning and anew at places that the text itself names: where
+a hash of the ``CONTEXT`` characters before it is one of a few (on average every ``MEAN``
+characters, at least ``LEAST`` after the last one; where none comes for ``MOST``, as in
+texts of few different characters, one is put there). An insertion moves these places
+along with the text, so only the walks that it falls into change. The walks together
+cover the whole text.
+
+The fingerprint samples the embedding at ``SLOTS`` positions (four bits each). A slot
+takes the walk whose starting place has the smallest random priority, and of its steps
+again that of the smallest; both choices change little as texts do. The share of equal
+slots, corrected for chance, estimates which part of all walks two texts share; likeness
+is that share put as twice what is common by the sum of both, which is a half for a text
+of which half was replaced.
 
 Near-duplicates: distinct fingerprints are dealt into ``BANDS`` bands, each a sample
-of ``ROWS`` slots; what shares a band's slots is verified over all slots. A bucket
-of more than ``heavy`` fingerprints isn't paired up: its members are first verified
-against its smallest one. Only where that leaves a bucket in more than one class
-are its members compared, block by block, so that no task holds more than two
-blocks and no link is lost.
+of ``ROWS`` slots; what shares a band's slots is verified over all slots. Of a bucket
+of up to ``heavy`` fingerprints all are compared; the members of a larger one are
+verified against its smallest one and dealt, by further slots, into smaller buckets of
+their own, whose members are compared or again verified against the smallest. No bucket
+is paired up, and no fingerprint is copied more often than there are bands of both kinds.
 
 Null texts count as empty; an empty text has the fingerprint of zeros, and two
-equal fingerprints have likeness 1. Whole texts are walked.
+equal fingerprints have likeness 1. Whole texts are walked. Repeated rows give repeated
+results; an empty table gives no rows; columns other than the two, of whatever name, are
+ignored. Ids may be of any type that can be ordered.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 from .components import components
 
 SLOTS = 128
-STRIDE = 512
-STEPS = 2 * STRIDE + 96
+CONTEXT = 8
+MEAN, LEAST, MOST = 128, 32, 1024
 SEED = 20231
-#: A pair of likeness 0.8 agrees in a band with probability 0.19, and in none of 32 with 0.001.
-BANDS = 32
-ROWS = 8
+#: A pair of likeness 0.8 agrees in a band with probability 0.11, and in none of 48 with 0.005.
+BANDS, ROWS = 48, 6
+#: For what is left of large buckets.
+FURTHER_BANDS, FURTHER_ROWS = 32, 6
 LIKENESS = 0.8
 HEAVY = 64
+RANGE_BYTES = 16 << 20
 _EMPTY = "0" * SLOTS
+_M = (1 << 64) - 1
+_MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
+
+
+def longest(n: int) -> int:
+    """The steps that a walk over ``n`` characters may take: it moves on in every second one."""
+    return 2 * n + int(5 * (2 * n) ** 0.5) + 16
 
 
 class Embedding:
@@ -55,88 +75,126 @@ class Embedding:
     def __init__(self, slots: int = SLOTS, seed: int = SEED):
         rng = np.random.default_rng(seed)
         self.slots = slots
-        self.bits = rng.integers(0, 2, (STEPS, 256), dtype=np.int32)
+        self.steps = longest(MOST)
+        self.bits = rng.integers(0, 2, (self.steps, 256), dtype=np.int32)
         self.bits[:, 0] = 0  # code 0 stands behind the end
         self.fold = rng.integers(1, 256, 1 << 16, dtype=np.uint8)
         # times at which the smallest priority among positions 0..t-1 changes, for each slot
         self.records = []
         for _ in range(slots):
             times, t = [1], 1
-            while t < 1 << 44:
+            while t < self.steps:
                 t = int(t / (1 - rng.random())) + 1
                 times.append(t)
             self.records.append(np.array(times, np.int64))
+        self.chosen = np.empty((self.steps + 1, slots), np.int64)  # the step that a slot takes of so many
+        total = np.arange(self.steps + 1)
+        for s, times in enumerate(self.records):
+            self.chosen[:, s] = times[np.maximum(np.searchsorted(times, total, "right") - 1, 0)] - 1
         self.mix = rng.integers(1, 1 << 62, slots, dtype=np.uint64) | np.uint64(1)
+        self.order = rng.integers(1, 1 << 62, slots, dtype=np.uint64) | np.uint64(1)
 
     def codes(self, text: str) -> np.ndarray:
         p = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         return self.fold[(p ^ (p >> 16)) & 0xFFFF]
 
-    def positions(self, total: np.ndarray) -> np.ndarray:
-        """The sampled step of each slot and text, of ``total`` steps that it has."""
-        out = np.empty((self.slots, len(total)), np.int64)
-        for s, times in enumerate(self.records):
-            out[s] = times[np.searchsorted(times, total, "right") - 1] - 1
-        return out
+    def starts(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a text's walks start, and the hash of each place (of its number since the last
+        named place, where none is named)."""
+        n = len(code)
+        h = np.zeros(n + 1, np.uint64)  # of the characters before a place
+        for d in range(CONTEXT):
+            h[CONTEXT:] += code[d : n - CONTEXT + 1 + d].astype(np.uint64) * np.uint64(pow(_MIX1, d + 1, 1 << 64)) if n >= CONTEXT else np.uint64(0)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(_MIX2)
+        h ^= h >> np.uint64(29)
+        named = np.flatnonzero(h[CONTEXT:n] % np.uint64(MEAN) == 0) + CONTEXT if n > CONTEXT else np.zeros(0, np.int64)
+        at, hashes, last = [0], [1], 0
+        for p in [*named.tolist(), n]:
+            k = 1
+            while p - last > MOST:
+                last += MOST
+                at.append(last)
+                hashes.append((hashes[-1] + k * _MIX1) & _M)
+                k += 1
+            if p - last >= LEAST and p < n:
+                at.append(p)
+                hashes.append(int(h[p]))
+                last = p
+        return np.array(at, np.int64), np.array(hashes, np.uint64)
 
     def fingerprints(self, texts: list[str]) -> list[str]:
-        n = len(texts)
-        coded = [self.codes(t) for t in texts]
+        out = [_EMPTY] * len(texts)
+        some = [i for i, t in enumerate(texts) if t]
+        if not some:
+            return out
+        coded = [self.codes(texts[i]) for i in some]
         size = np.array([len(c) for c in coded], np.int64)
-        walks = -(-size // STRIDE)
-        base = np.cumsum(size + 1) - size - 1
-        flat = np.zeros(int((size + 1).sum()) + 8, np.uint8)
+        base = np.cumsum(size + 4) - size - 4
+        flat = np.zeros(int((size + 4).sum()) + 4, np.uint8)
+        begin, length, hashes, walks = [], [], [], []
         for b, c in zip(base.tolist(), coded, strict=True):
             flat[b : b + len(c)] = c
-        owner = np.repeat(np.arange(n), walks)
+            at, h = self.starts(c)
+            begin.append(at + b)
+            length.append(np.diff(at, append=len(c)))
+            hashes.append(h)
+            walks.append(len(at))
+        begin, length, hashes = map(np.concatenate, (begin, length, hashes))
+        # all walks in step, the longest first
+        order = np.argsort(-length, kind="stable")
+        go, end = begin[order], (begin + length)[order]
+        limit = np.array([longest(n) for n in range(MOST + 1)])[length[order]]
+        active = np.searchsorted(-limit, -np.arange(limit[0]), "left")
+        here, trail = go.copy(), []
+        total = np.zeros(len(go), np.int64)
+        for j, w in enumerate(active.tolist()):
+            x = here[:w]
+            trail.append((x - go[:w]).astype(np.int16))
+            on = x < end[:w]
+            total[:w] += on
+            x += self.bits[j][flat[x]] * on
+        offset = np.cumsum(active) - active
+        trail = np.concatenate(trail)
+        place = np.argsort(order)
+        # for each slot the walk of smallest priority, with its number in the low bits
         first = np.cumsum(walks) - walks
-        nth = np.arange(len(owner)) - first[owner]
-        at = (base[owner] + nth * STRIDE).astype(np.int64)
-        trail = np.zeros((STEPS, len(owner)), np.int32)
-        steps = np.full(len(owner), STEPS, np.int64)
-        here = at.copy()
-        for j in range(STEPS):
-            trail[j] = here - at
-            here += self.bits[j][flat[here]]
-        # how many steps the last walk of each text has before the text's end
-        left = size[owner] - nth * STRIDE
-        ends = np.flatnonzero(left <= STRIDE)
-        if len(ends):
-            steps[ends] = (trail[:, ends] < left[ends]).sum(axis=0)
-        total = np.zeros(n, np.int64)
-        some = np.flatnonzero(walks)
-        total[some] = (walks[some] - 1) * STEPS + steps[first[some] + walks[some] - 1]
-        out = [_EMPTY] * n
-        if not len(some):
-            return out
-        pos = self.positions(total[some])
-        row, j = pos // STEPS, pos % STEPS
-        w = first[some][None, :] + row
-        place = at[w] + trail[j, w]
-        end = (base + size)[some][None, :]
-        seen = np.uint64(0)
-        for d in range(4):  # the characters at the place, as one symbol
-            seen = seen * np.uint64(257) + flat[np.minimum(place + d, end)]
-        v = (seen + pos.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * self.mix[:, None]
+        nth = (np.arange(len(begin)) - np.repeat(first, walks)).astype(np.uint64)
+        walk = np.empty((self.slots, len(some)), np.int64)
+        for s in range(self.slots):
+            v = hashes * self.order[s]
+            v ^= v >> np.uint64(32)
+            v *= np.uint64(_MIX2)
+            walk[s] = first + (np.minimum.reduceat((v & np.uint64(_M - 0xFFFFFF)) | nth, first) & np.uint64(0xFFFFFF)).astype(np.int64)
+        lane = place[walk]
+        step = self.chosen[total[lane], np.arange(self.slots)[:, None]]
+        where = go[lane] + trail[offset[step] + lane]
+        stop = end[lane]
+        seen = np.zeros(where.shape, np.uint64)
+        for d in range(4):  # the characters at the place, as one symbol; none beyond the walk
+            seen = seen * np.uint64(257) + np.where(where + d < stop, flat[where + d], 0).astype(np.uint64)
+        v = (seen + step.astype(np.uint64) * np.uint64(_MIX1) + hashes[walk]) * self.mix[:, None]
         v ^= v >> np.uint64(29)
-        v *= np.uint64(0xBF58476D1CE4E5B9)
+        v *= np.uint64(_MIX2)
         nib = (v >> np.uint64(60)).astype(np.uint8).T
-        digits = np.frombuffer(b"0123456789abcdef", np.uint8)[nib]
-        raw = digits.tobytes().decode()
-        k = self.slots
-        for r, i in enumerate(some.tolist()):
-            out[i] = raw[r * k : r * k + k]
+        raw = np.frombuffer(b"0123456789abcdef", np.uint8)[nib].tobytes().decode()
+        for r, i in enumerate(some):
+            out[i] = raw[r * self.slots : (r + 1) * self.slots]
         return out
 
 
+def likeness_of(equal: int, slots: int = SLOTS) -> float:
+    """From 0 (as unlike as chance makes them) to 1, by the number of equal slots."""
+    shared = max(0.0, (equal / slots - 1 / 16) / (15 / 16))
+    return 2 * shared / (1 + shared)
+
+
 def likeness(a: str, b: str) -> float:
-    """From 0 (as unlike as chance makes them) to 1."""
     if a == b:
         return 1.0
     if len(a) != len(b) or _EMPTY in (a, b):
         return 0.0
-    same = sum(x == y for x, y in zip(a, b, strict=True)) / len(a)
-    return max(0.0, (same - 1 / 16) / (15 / 16))
+    return likeness_of(sum(x == y for x, y in zip(a, b, strict=True)), len(a))
 
 
 _SHARED: list[Embedding] = []
@@ -150,7 +208,6 @@ def embedding() -> Embedding:
 
 def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars: int = 3 << 20) -> DataFrame:
     """``id, fingerprint`` for each row; no shuffle."""
-    common.small_batches(docs.sparkSession, 500)
 
     def run(batches):
         e = embedding()
@@ -164,7 +221,7 @@ def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def most_unlike(likeness_at_least: float = LIKENESS, slots: int = SLOTS) -> int:
     """The number of slots in which two fingerprints of that likeness may differ."""
-    return int(slots * (1 - likeness_at_least) * 15 / 16 + 1e-9)
+    return max(d for d in range(slots + 1) if d == 0 or likeness_of(slots - d, slots) >= likeness_at_least)
 
 
 _WORDS = "transform(sequence(0, {n} - 1), i -> CAST(conv(substr({c}, i * 8 + 1, 8), 16, 10) AS BIGINT))"
@@ -177,29 +234,21 @@ def _differ(a: str, b: str) -> Column:
     return F.expr(_DIFFER.format(a=words(a), b=words(b)))
 
 
-def band_keys(fps: DataFrame, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
-    """``band, key, fp``: the sampled slots of each band."""
+def band_keys(fps: DataFrame, bands: int, rows: int, seed: int, inside: tuple[str, ...] = ()) -> DataFrame:
+    """``key, fp`` for each band: a hash of its number, its sampled slots and the columns ``inside``."""
     rng = np.random.default_rng(seed)
-    keys = [F.concat(*[F.substring("fp", int(p) + 1, 1) for p in sorted(rng.choice(SLOTS, rows, replace=False))]) for _ in range(bands)]
-    return fps.select(F.posexplode(F.array(*keys)).alias("band", "key"), "fp")
-
+    keys = [F.xxhash64(F.lit(b), *inside, *[F.substring("fp", int(p) + 1, 1) for p in sorted(rng.choice(SLOTS, rows, replace=False))]) for b in range(bands)]
+    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
-def _blocks(most: int):
-    """Of the fingerprints of two blocks, one verified link for each two classes."""
 
-    def run(pdf):
-        import pandas as pd
-
-        raw = np.frombuffer("".join(pdf["fp"]).encode(), np.uint8).reshape(len(pdf), -1)
-        label, fp = pdf["label"].to_numpy(), pdf["fp"].to_numpy()
-        found: dict[tuple[str, str], tuple[str, str]] = {}
-        for i in range(len(pdf)):
-            near = np.flatnonzero(((raw[i + 1 :] != raw[i]).sum(axis=1) <= most) & (label[i + 1 :] != label[i])) + i + 1
-            for j in near.tolist():
-                found.setdefault((label[i], label[j]), (fp[i], fp[j]))
-        return pd.DataFrame(list(found.values()), columns=["a", "b"])
-
-    return run
+def _candidates(keyed: DataFrame, heavy: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs ``a, b`` to verify, members ``key, fp`` of buckets above ``heavy``)."""
+    bucket = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("hub")).filter("n > 1")
+    member = common.materialise(keyed.join(bucket, "key"), name)
+    light = member.filter(F.col("n") <= heavy).select("key", "fp")
+    pairs = light.withColumnRenamed("fp", "a").join(light.withColumnRenamed("fp", "b"), "key").filter("a < b").select("a", "b")
+    large = member.filter(F.col("n") > heavy)
+    return pairs.union(large.filter("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))), large.select("key", "fp")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", likeness_at_least: float = LIKENESS, bands: int = BANDS, rows: int = ROWS, heavy: int = HEAVY) -> DataFrame:
@@ -210,74 +259,80 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     most = most_unlike(likeness_at_least)
     own = common.materialise(fingerprint(docs, id_col=id_col, text_col=text_col), "edit-fingerprints")
     firsts = common.materialise(own.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("id").alias("first")), "edit-distinct")
-    place = ["band", "key"]
-    keyed = common.materialise(band_keys(firsts.filter(F.col("fp") != _EMPTY).select("fp"), bands, rows), "edit-bands")
-    bucket = keyed.groupBy(place).agg(F.count("*").alias("n"), F.min("fp").alias("hub")).filter("n > 1")
-    member = common.materialise(keyed.join(bucket, place), "edit-members")
-    light = member.filter(F.col("n") <= heavy)
-    other = light.select(*place, F.col("fp").alias("b"))
-    pairs = light.select(*place, F.col("fp").alias("a")).join(other, place).filter("a < b").select("a", "b").distinct()
-    large = member.filter(F.col("n") > heavy)
-    stars = large.filter("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
-    edges = common.materialise(pairs.union(stars).filter(_differ("a", "b") <= most), "edit-links")
-    label = common.materialise(components(edges).withColumnRenamed("node", "fp"), "edit-labels")
-    if not large.isEmpty():
-        named = large.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        split = named.groupBy(place).agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select(*place)
-        named = common.materialise(named.join(split, place, "left_semi"), "edit-split")
-        if not named.isEmpty():
-            k = F.ceil(F.col("n") / heavy).cast("long")
-            named = named.withColumn("k", k).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("k")))
-            units = named.select(*place, "fp", "label", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
-            units = units.select(*place, "fp", "label", F.least("c", "j").alias("c"), F.greatest("c", "j").alias("j"))
-            more = units.groupBy(*place, "c", "j").applyInPandas(_blocks(most), "a string, b string").distinct()
-            label = common.materialise(components(edges.union(more)).withColumnRenamed("node", "fp"), "edit-labels")
+    keyed = band_keys(firsts.filter(F.col("fp") != _EMPTY).select("fp"), bands, rows, SEED)
+    pairs, large = _candidates(keyed, heavy, "edit-members")
+    # what is left in large buckets beside those near the smallest member: by further slots
+    more, _ = _candidates(band_keys(large, FURTHER_BANDS, FURTHER_ROWS, SEED + 1, ("key",)).distinct(), heavy, "edit-further") if not large.isEmpty() else (pairs.limit(0), None)
+    edges = common.materialise(pairs.union(more).distinct().filter(_differ("a", "b") <= most), "edit-links")
+    label = components(edges).withColumnRenamed("node", "fp")
     labelled = common.materialise(firsts.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "edit-classes")
+    common.discard(edges, firsts)
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     of = labelled.join(least, "label").select(F.col("fp").alias("fingerprint"), "component_id")
     return own.join(of, "fingerprint").select("id", "fingerprint", "component_id")
 
 
+def near_report(docs: DataFrame) -> DataFrame:
+    return near_duplicates(docs).select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
+
+
+def _cuts(df: DataFrame, partitions: int) -> list:
+    """At most ``partitions - 1`` ids that cut the rows into ranges of about equal size."""
+    if partitions < 2:
+        return []
+    if isinstance(df.schema["id"].dataType, T.NumericType):
+        found = df.agg(F.percentile_approx("id", [k / partitions for k in range(1, partitions)], 10 * partitions)).first()[0] or []
+        return sorted(set(found))
+    some = df.filter("id IS NOT NULL").select("id").orderBy(F.xxhash64("id"), "id").limit(8 * partitions)
+    some = sorted({r[0] for r in some.collect()})
+    return some[:: max(1, len(some) // partitions)][1:]
+
+
 def with_next(docs: DataFrame, partitions: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows dealt out by ranges of the id, each range followed by a copy of the
     row that comes after it (``extra``): the next document is then the next row.
 
-    Cut points come from an approximate quantile sketch (``partitions`` numbers);
-    only they and the first rows of the ranges pass through the driver. Rows of
-    one id stay in one range, ordered by text. Null ids come first.
+    Cut points come from a sketch (``partitions`` numbers; for ids that aren't
+    numbers from the rows of smallest hash, a few for each range); only they and the first
+    ids of the ranges pass through the driver. Rows of one id stay in one range, ordered
+    by text. Null ids come first.
     """
     df = common.ids_and_text(docs, id_col, text_col)
-    at = [k / partitions for k in range(1, partitions)]
-    cuts = sorted(set(df.agg(F.percentile_approx("id", at, 10 * partitions)).first()[0] or [])) if at else []
-    df = df.withColumn("part", F.when(F.col("id").isNull(), 0).otherwise(_bucket(cuts, 0, len(cuts))))
-    lowest = F.min(F.struct(F.col("id").isNotNull(), F.col("id")))["id"]
-    heads = {r[0]: r[1] for r in df.groupBy("part").agg(lowest.alias("id")).collect()}
+    cuts = _cuts(df.select("id"), partitions)
+
+    @F.pandas_udf("int")
+    def part(ids):
+        return ids.map(lambda x: bisect.bisect_right(cuts, x)).astype("int32")
+
+    # no null reaches the UDF: it would turn whole numbers into floats
+    df = df.withColumn("part", F.when(F.col("id").isNull(), 0).otherwise(part(F.coalesce("id", F.lit(cuts[0]).cast(df.schema["id"].dataType)))) if cuts else F.lit(0))
+    heads = {r[0]: (r[1], r[2]) for r in df.select("part", "id").groupBy("part").agg(F.min("id"), F.count_if(F.col("id").isNull()) > 0).collect()}
     order = sorted(heads)
-    is_head = F.col("id").isin([h for h in heads.values() if h is not None])
-    if None in heads.values():
+    first_id = {p: None if null else low for p, (low, null) in heads.items()}  # a null comes first
+    is_head = F.col("id").isin([h for h in first_id.values() if h is not None])
+    if None in first_id.values():
         is_head |= F.col("id").isNull()
     least = F.min(F.struct(F.col("text").isNotNull(), F.col("text")))["text"]
     first = df.filter(is_head).groupBy("part", "id").agg(least.alias("text"))
-    before = dict(zip(order[1:], order)) | {order[0]: order[-1]} if order else {0: 0}  # after the last comes the first
-    to = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-    extra = first.withColumn("part", F.element_at(to, F.col("part"))).withColumn("extra", F.lit(True))
-    both = df.withColumn("extra", F.lit(False)).unionByName(extra)
-    return both.repartition(partitions, "part").sortWithinPartitions("part", "extra", "id", "text")
+    before = dict(zip(order[1:], order)) | {order[0]: order[-1]} if order else {}  # after the last comes the first
 
+    @F.pandas_udf("int")
+    def previous(parts):
+        return parts.map(before).astype("int32")
 
-def _bucket(cuts: list, low: int, high: int) -> Column:
-    """How many cut points are not above the id, by halving."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(F.col("id") < F.lit(cuts[mid]), _bucket(cuts, low, mid)).otherwise(_bucket(cuts, mid + 1, high))
+    extra = first.withColumn("part", previous("part")).withColumn("extra", F.lit(True))
+    both = df.withColumn("extra", F.lit(False)).unionByName(extra)
+    return both.repartition(partitions, "part").sortWithinPartitions("part", "extra", "id", "text")
 
 
 def report(docs: DataFrame, *, partitions: int | None = None, chars: int = 3 << 20) -> DataFrame:
-    """Fingerprints of every text, of its edited text, and how near they are."""
-    spark = docs.sparkSession
-    common.small_batches(spark, 500)
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Fingerprints of every text, of its edited text, and how near they are.
+
+    The ranges follow the size of the texts (``RANGE_BYTES`` each), not a setting.
+    """
+    if partitions is None:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+        partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     df = with_next(docs, partitions)
 
     def run(batches):

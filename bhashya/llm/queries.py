@@ -24,6 +24,11 @@ def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editsketch.report(table(spark, sf_dir, "documents"))
 
 
+def near_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-duplicates by the bands of op10."""
+    return editsketch.near_report(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_langid": op3_langid,
     "op10_edit_fingerprints": op10_edit_fingerprints,
+    "near_edits": near_edits,
     "op7_warc": op7_warc,
     "op9_pii": op9_pii,
     "op1_licenses": op1_licenses,

@@ -274,6 +274,72 @@ def test_one_document_of_each_group_stays(spark):
 # -- edit embedding ------------------------------------------------------------------------
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_walks(e, text):
+    """The fingerprint by the definition: places, walks and choices, one at a time."""
+    if not text:
+        return "0" * e.slots
+    raw = [ord(c) for c in text]
+    code = [int(e.fold[(p ^ (p >> 16)) & 0xFFFF]) for p in raw]
+    n, starts = len(code), [(0, 1)]
+
+    def context(p):
+        h = 0
+        for d in range(editsketch.CONTEXT):
+            h = (h + code[p - editsketch.CONTEXT + d] * pow(0x9E3779B97F4A7C15, d + 1, 1 << 64)) & M64
+        h ^= h >> 31
+        h = h * 0xBF58476D1CE4E5B9 & M64
+        return h ^ h >> 29
+
+    last = 0
+    for p in range(1, n + 1):
+        named = editsketch.CONTEXT <= p < n and context(p) % editsketch.MEAN == 0
+        if named or p == n:
+            k = 1
+            while p - last > editsketch.MOST:
+                last += editsketch.MOST
+                starts.append((last, (starts[-1][1] + k * 0x9E3779B97F4A7C15) & M64))
+                k += 1
+            if named and p - last >= editsketch.LEAST:
+                starts.append((p, context(p)))
+                last = p
+    out = []
+    ends = [s for s, _ in starts[1:]] + [n]
+    for slot in range(e.slots):
+        def priority(i):
+            v = starts[i][1] * int(e.order[slot]) & M64
+            v ^= v >> 32
+            return (v * 0xBF58476D1CE4E5B9 & M64) >> 24, i
+
+        i = min(range(len(starts)), key=priority)
+        (begin, name), end = starts[i], ends[i]
+        here, trail = begin, []
+        for j in range(editsketch.longest(end - begin)):
+            if here >= end:
+                break
+            trail.append(here)
+            here += int(e.bits[j][code[here]])
+        times = [t for t in e.records[slot].tolist() if t <= len(trail)]
+        step = times[-1] - 1
+        seen = 0
+        for d in range(4):
+            at = trail[step] + d
+            seen = (seen * 257 + (code[at] if at < end else 0)) & M64
+        v = (seen + step * 0x9E3779B97F4A7C15 + name) * int(e.mix[slot]) & M64
+        v ^= v >> 29
+        out.append(f"{(v * 0xBF58476D1CE4E5B9 & M64) >> 60:x}")
+    return "".join(out)
+
+
+def test_fingerprints_equal_plain_walks():
+    rng, e = random.Random(14), editsketch.embedding()
+    texts = [t or "" for t in EDGE] + [prose(rng, rng.randint(1, 500)) for _ in range(12)] + ["".join(rng.choice("ab") for _ in range(3000)), "é😀" * 900, "z" * 33, "abcdefgh", "abcdefghi"]
+    assert e.fingerprints(texts) == [plain_walks(e, t) for t in texts]
+    assert [e.fingerprints([t])[0] for t in texts] == e.fingerprints(texts)
+
+
 def test_edit_report_equals_the_definition(spark):
     rng = random.Random(2)
     texts = EDGE + [prose(rng, rng.randint(1, 400)) for _ in range(40)]
@@ -289,14 +355,22 @@ def test_edit_report_equals_the_definition(spark):
         assert (got[i]["near_edited"], got[i]["near_next"]) == (editsketch.likeness(a, b), editsketch.likeness(a, c))
 
 
-def test_edits_stay_near_and_strangers_far():
+def test_likeness_follows_what_was_edited():
     rng, e = random.Random(6), editsketch.embedding()
     texts = [prose(rng, 400) for _ in range(30)]
-    edited = [t[:700] + "x" + t[700:] for t in texts]
-    a, b = e.fingerprints(texts), e.fingerprints(edited)
-    assert np.mean([editsketch.likeness(x, y) for x, y in zip(a, b)]) > 0.8
+    like = lambda other: float(np.mean([editsketch.likeness(x, y) for x, y in zip(e.fingerprints(texts), e.fingerprints(other))]))
+    assert like([t[:700] + "x" + t[700:] for t in texts]) > 0.9
     strangers = ["".join(rng.choice("qwertyuiop ") for _ in range(2000)) for _ in range(30)]
-    assert np.mean([editsketch.likeness(x, y) for x, y in zip(a, e.fingerprints(strangers))]) < 0.1
+    assert like(strangers) < 0.05
+    assert 0.35 < like([t[: len(t) // 2] + s[: len(t) // 2] for t, s in zip(texts, strangers)]) < 0.65
+    # an insertion of any length costs what it changes, wherever it stands
+    long = [prose(rng, 4000) for _ in range(6)]
+    base = e.fingerprints(long)
+    for n in (1, 20, 50, 600):
+        extra = strangers[0][:n]
+        for place in (0, 0.5, 1):
+            new = [t[: int(len(t) * place)] + extra + t[int(len(t) * place) :] for t in long]
+            assert np.mean([editsketch.likeness(x, y) for x, y in zip(base, e.fingerprints(new))]) > 0.88, (n, place)
 
 
 @pytest.mark.parametrize("heavy", [2, 5, 64])
@@ -304,15 +378,16 @@ def test_banded_classes_are_those_of_all_pairs(spark, heavy):
     rng = random.Random(heavy)
     texts = []
     for _ in range(4):  # chains of edits: the ends are far apart
-        t = prose(rng, 250)
+        t = prose(rng, 600)
         for _ in range(9):
             texts.append(t)
             at = rng.randrange(len(t) - 60)
             t = t[:at] + prose(rng, 8) + t[at + 40 :]
     texts += [texts[0], "", None, "short"]
-    got = {r["id"]: r for r in editsketch.near_duplicates(frame(spark, texts), heavy=heavy).collect()}
+    docs = frame(spark, texts).withColumn("key", F.lit(1)).withColumn("fp", F.lit("clash"))
+    got = {r["id"]: r for r in editsketch.near_duplicates(docs, heavy=heavy).collect()}
     e = editsketch.embedding()
-    fp = [e.fingerprints([t or ""])[0] for t in texts]
+    fp = e.fingerprints([t or "" for t in texts])
     root = list(range(len(texts)))
     find = lambda i: i if root[i] == i else find(root[i])
     for i in range(len(texts)):
@@ -320,21 +395,43 @@ def test_banded_classes_are_those_of_all_pairs(spark, heavy):
             if editsketch.likeness(fp[i], fp[j]) >= 0.8:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
+    assert [got[i]["fingerprint"] for i in range(len(texts))] == fp and len(set(map(find, root))) < len(texts)
     assert [got[i]["component_id"] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
-    assert [got[i]["fingerprint"] for i in range(len(texts))] == fp and len(set(root)) < len(texts)
     assert editsketch.near_duplicates(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_bands_find_nine_of_ten_links(spark):
+    rng, e = random.Random(31), editsketch.embedding()
+    pairs = []
+    while len(pairs) < 150:  # pairs just above the threshold, where bands miss most
+        t = prose(rng, 500)
+        u = t
+        for _ in range(rng.randint(1, 6)):
+            at = rng.randrange(len(u) - 200)
+            u = u[:at] + prose(rng, rng.randint(1, 20)) + u[at + rng.randrange(120) :]
+        a, b = e.fingerprints([t, u])
+        if 0.8 <= editsketch.likeness(a, b) < 0.9:
+            pairs.append((t, u))
+    got = {r["id"]: r["component_id"] for r in editsketch.near_duplicates(frame(spark, [x for p in pairs for x in p])).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(len(pairs))) >= 0.95 * len(pairs)
+
+
 def test_edit_frames_of_odd_tables(spark):
     one = frame(spark, ["abc def"])
     r = editsketch.report(one, partitions=3).collect()
     assert len(r) == 1 and r[0]["near_next"] == 1.0
-    assert editsketch.report(one.limit(0), partitions=3).count() == 0
-    twice = one.union(one).withColumn("part", F.lit("x"))
+    assert editsketch.report(one.limit(0), partitions=3).count() == 0 and editsketch.report(one.limit(0)).count() == 0
+    twice = one.union(one).withColumn("part", F.lit("x")).withColumn("extra", F.lit(1))
     assert editsketch.report(twice, partitions=3).count() == 2
-    nulls = spark.createDataFrame([(None, "a b"), (1, "c"), (2, None)], "doc_id long, text string")
-    assert editsketch.report(nulls, partitions=2).count() == 3
-    assert editsketch.fingerprint(nulls).count() == 3
+    nulls = spark.createDataFrame([(None, "a b"), (1, "c"), (2, None), (1 << 60, "d"), ((1 << 60) + 1, "e")], "doc_id long, text string")
+    got = {r["doc_id"]: r["edited_sha256"] for r in editsketch.report(nulls, partitions=4).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {None: sha("a c"), 1: sha("c"), 2: sha(""), 1 << 60: sha("d"), (1 << 60) + 1: sha("e")}
+    assert editsketch.fingerprint(nulls).count() == 5
+    named = spark.createDataFrame([(f"n{i:02d}", "ab" + chr(97 + i) * 2) for i in range(20)], "doc_id string, text string")
+    got = {r["doc_id"]: r["edited_sha256"] for r in editsketch.report(named, partitions=4).collect()}
+    assert got == {f"n{i:02d}": sha("abab") for i in range(20)}
+    assert editsketch.near_duplicates(named).count() == 20
 
 
 # -- personal data -----------------------------------------------------------------------------
