@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import chat, licenses, pii
+from .queries import TEST_KEY
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
@@ -37,7 +38,7 @@ ORACLES = {
     "op5_chat": chat.ORACLE,
     "chat_orders": chat.ORDERS_ORACLE,
     "op1_licenses": licenses.oracle(),
-    "op9_pii": pii.oracle(),
+    "op9_pii": pii.oracle(TEST_KEY),
     "op7_warc": OP7,
     "op8_decontaminate": OP8,
 }
