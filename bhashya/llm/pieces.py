@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-The symbols of a batch's distinct segments are put behind one another and a
+The symbols of a batch's different segments are put behind one another and a
 suffix array (up to the longest piece) is built over them. Every piece of the
 model is looked up in it by binary search; its range of suffixes gives all its
 occurrences. These are the edges of a lattice; sorted by their end position they
-are relaxed from left to right.
+are relaxed from left to right, all segments in step.
 
 For a BPE model the relaxation keeps, at each position, the one edge that is the
 last token of the prefix's encoding. An edge qualifies if it and the last token
@@ -15,18 +15,22 @@ the relaxation keeps the edge with the best total score.
 A space is the mark U+2581 and no piece has the mark after another character, so
 a text falls apart, without loss, before every run of marks. It also does so
 between any two characters that are neighbours in no piece, such as a letter and
-a full stop. Segments that repeat are encoded once and remembered up to
-``memory`` entries.
+a full stop. Segments that repeat within a batch are encoded once.
+
+Whether a space is put in front, and whether the model is BPE or unigram, is read from
+the vocabulary file; one that changes its text in other ways (a character map, blanks
+that are taken out) is refused, as are pieces with an inner mark.
 
 Nulls and empty texts give no tokens. Decoding gives the text back, except that
-U+2581 itself becomes a space. Characters without a piece become bytes.
+U+2581 itself becomes a space: there ``round_trip`` is false. Characters without a piece
+become bytes. Repeated rows give repeated results; an empty table gives no rows; columns
+other than the id and the text, of whatever name, are ignored. Whole texts are encoded.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,23 +40,59 @@ from . import common
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Symbols of a suffix that its key holds; pieces may not be longer.
-DEPTH = 16
-#: Segments of more symbols are relaxed one by one.
-LONG = 40
+#: So few edges of one step are looked at one by one, more as arrays.
+FEW = 16
+
+
+def _fields(raw: bytes) -> dict[int, list]:
+    """The fields of a protocol buffer message by number: numbers, and the bytes of what has a length."""
+    out, at = {}, 0
+
+    def number():
+        nonlocal at
+        v = shift = 0
+        while True:
+            b = raw[at]
+            at += 1
+            v |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return v
+
+    while at < len(raw):
+        tag = number()
+        if tag & 7 == 0:
+            value = number()
+        else:
+            n = {1: 8, 5: 4}.get(tag & 7)
+            n = number() if n is None else n
+            value, at = raw[at : at + n], at + n
+        out.setdefault(tag >> 3, []).append(value)
+    return out
+
+
+def settings(proto: bytes) -> tuple[bool, bool]:
+    """(BPE, a space in front); raises for what changes texts in other ways."""
+    model = _fields(proto)
+    trainer, normalizer = (_fields(model[k][-1]) if k in model else {} for k in (2, 3))
+    last = lambda m, k, default: m[k][-1] if k in m else default
+    kind = last(trainer, 3, 1)
+    if kind not in (1, 2):
+        raise ValueError("only BPE and unigram models are supported")
+    if last(normalizer, 2, b"") or last(normalizer, 4, 1) or not last(normalizer, 5, 1) or last(trainer, 24, 0) or not last(trainer, 35, 0):
+        raise ValueError("the model changes its text, or has no bytes to fall back on")
+    return kind == 2, bool(last(normalizer, 3, 1))
 
 
 class PieceModel:
-    """Pieces of a SentencePiece model, with what suffix-array encoding needs.
+    """Pieces of a SentencePiece model, with what suffix-array encoding needs."""
 
-    ``bpe=False`` treats the scores as unigram log probabilities.
-    """
-
-    def __init__(self, proto: bytes, bpe: bool = True):
+    def __init__(self, proto: bytes):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
-        self.size, self.bpe = sp.get_piece_size(), bpe
+        self.size = sp.get_piece_size()
+        self.bpe, self.spaced = settings(proto)
         self.strings = [sp.id_to_piece(i) for i in range(self.size)]
         self.byte_id = np.zeros(256, np.int32)
         for b in range(256):
@@ -63,8 +103,11 @@ class PieceModel:
         byte = {int(b): bytes([n]) for n, b in enumerate(self.byte_id)}
         self.bytes = [b"" if i in special else byte.get(i) or s.replace(MARK, " ").encode() for i, s in enumerate(self.strings)]
         of = {self.strings[i]: i for i in self.plain}
-        if any(MARK in s.lstrip(MARK) for s in of) or max(map(len, of)) > DEPTH:
-            raise ValueError("pieces with an inner mark or of more than 16 characters are not supported")
+        if any(MARK in s.lstrip(MARK) for s in of):
+            raise ValueError("pieces with an inner mark are not supported")
+        self.depth = 4  # symbols of a suffix that its key holds
+        while self.depth < max(map(len, of)):
+            self.depth *= 2
         self.symbols = sorted({c for s in of for c in s})
         self.code = {c: i + 1 for i, c in enumerate(self.symbols)}
         self.table = np.zeros(0x110000, np.uint16)
@@ -75,12 +118,12 @@ class PieceModel:
         for c, i in self.code.items():
             self.single[i] = of.get(c, 0)
         self.segment = self._segments(of)
-        if bpe:
+        if self.bpe:
             self._merges(of)
         else:
             self.reach = self.plain
         order = np.array(self.reach, np.int32)
-        codes = np.zeros((len(order), DEPTH), ">u2")
+        codes = np.zeros((len(order), self.depth), ">u2")
         for r, i in enumerate(order):
             s = self.strings[i]
             codes[r, : len(s)] = [self.code[c] for c in s]
@@ -159,39 +202,39 @@ class PieceModel:
 
     def _edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, piece) of every occurrence of every piece in a symbol array."""
-        n = len(text)
-        pad = np.zeros(n + DEPTH, np.uint64)
+        n, depth = len(text), self.depth
+        pad = np.zeros(n + depth, np.uint64)
         pad[:n] = text
         k = (pad[:n] << np.uint64(48)) | (pad[1 : n + 1] << np.uint64(32)) | (pad[2 : n + 2] << np.uint64(16)) | pad[3 : n + 3]
         order, step = np.argsort(k), 4
         while True:  # ranks by the first `step` symbols
             s = k[order]
-            rank = np.empty(n + DEPTH, np.uint64)
+            rank = np.empty(n + depth, np.uint64)
             rank[n:] = 0
             rank[order] = np.cumsum(np.concatenate(([1], s[1:] != s[:-1])), dtype=np.uint64)
-            if step >= DEPTH:
+            if step >= depth:
                 break
             k = (rank[:n] << np.uint64(32)) | rank[step : n + step]
             order = np.argsort(k)
             step *= 2
         order = order[text[order] != 0]
-        keys = np.zeros((len(order), DEPTH), ">u2")
-        wide = np.zeros(n + DEPTH, ">u2")
+        keys = np.zeros((len(order), depth), ">u2")
+        wide = np.zeros(n + depth, ">u2")
         wide[:n] = text
         stop = np.zeros(len(order), bool)
-        for d in range(DEPTH):  # nothing behind a segment's end
+        for d in range(depth):  # nothing behind a segment's end
             c = wide[order + d]
             stop |= c == 0
             keys[:, d] = np.where(stop, 0, c)
         # zero after a segment sorts first, as in the suffix order only if what follows is cut as well
-        sa = keys.view(f"S{2 * DEPTH}").ravel()
+        sa = keys.view(f"S{2 * depth}").ravel()
         o = np.argsort(sa, kind="stable") if np.any(sa[1:] < sa[:-1]) else None
         if o is not None:
             sa, order = sa[o], order[o]
         high = self.low.copy()
         high[high == 0] = 0xFFFF
-        lo = np.searchsorted(sa, self.low.view(f"S{2 * DEPTH}").ravel(), "left")
-        hi = np.searchsorted(sa, high.view(f"S{2 * DEPTH}").ravel(), "right")
+        lo = np.searchsorted(sa, self.low.view(f"S{2 * depth}").ravel(), "left")
+        hi = np.searchsorted(sa, high.view(f"S{2 * depth}").ravel(), "right")
         count = hi - lo
         piece = np.repeat(self.piece, count)
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
@@ -216,23 +259,25 @@ class PieceModel:
             start, piece = self._edges(text)
             end = start + self.width[piece]
             rel = end - first[run[start]]
-            length = np.bincount(run[known], minlength=len(first))
-            is_long = length[run[start]] > LONG
-            self._relax(start[~is_long], end[~is_long], piece[~is_long], rel[~is_long], first[run[start[~is_long]]], last)
-            if is_long.any():
-                self._relax_long(start[is_long], end[is_long], piece[is_long], first[run[start[is_long]]], last)
+            self._relax(start, end, piece, rel, first[run[start]], last)
         return self._trace(text, points, begin, size, first, run, last)
 
     def _relax(self, start, end, piece, rel, first, last) -> None:
+        """Sets ``last``, the token that ends at each position, position by position in all segments at once."""
         if not len(start):
             return
         if not self.bpe:
             self._relax_scores(start, end, piece, last)
             return
-        order = np.argsort((rel << 48) | (end << 6) | (DEPTH - self.width[piece]))
+        shift = self.depth.bit_length()
+        order = np.argsort(((rel * (int(end.max()) + 1) + end) << shift) | (self.depth - self.width[piece]))
         start, end, piece, rel, first = (v[order] for v in (start, end, piece, rel, first))
         cut = np.flatnonzero(np.diff(rel, prepend=-1))
-        for a, b in zip(cut, [*cut[1:], len(rel)], strict=True):
+        fits: dict[tuple[int, int], bool] = {}
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(rel)], strict=True):
+            if b - a <= FEW:
+                self._step(start[a:b].tolist(), end[a:b].tolist(), piece[a:b].tolist(), first[a:b].tolist(), last, fits)
+                continue
             e = end[a:b]
             head = np.flatnonzero(np.diff(e, prepend=-1)) + a  # longest edge of each end
             tail = np.concatenate((head[1:], [b]))
@@ -242,32 +287,27 @@ class PieceModel:
                 good = ~inner
                 if inner.any():
                     before = last[s[inner]]
-                    fits = before >= 0
-                    fits[fits] = self.compatible(before[fits], p[inner][fits])
-                    good[inner] = fits
+                    ok = before >= 0
+                    ok[ok] = self.compatible(before[ok], p[inner][ok])
+                    good[inner] = ok
                 last[end[head[good]]] = p[good]
                 head, tail = head[~good] + 1, tail[~good]
                 left = head < tail
                 head, tail = head[left], tail[left]
 
-    def _relax_long(self, start, end, piece, first, last) -> None:
-        """The same for segments of many symbols, a position at a time."""
-        if not self.bpe:
-            self._relax_scores(start, end, piece, last)
-            return
-        order = np.argsort((end << 6) | (DEPTH - self.width[piece]))
-        known: dict[tuple[int, int], bool] = {}
+    def _step(self, start, end, piece, first, last, fits) -> None:
+        """The edges of one step, one by one: of each end, the longest that fits."""
         done = -1
-        for s, e, p, f in zip(start[order].tolist(), end[order].tolist(), piece[order].tolist(), first[order].tolist(), strict=True):
+        for s, e, p, f in zip(start, end, piece, first, strict=True):
             if e == done:
                 continue
             if s != f:
                 t = int(last[s])
                 if t < 0:
                     continue
-                ok = known.get((t, p))
+                ok = fits.get((t, p))
                 if ok is None:
-                    ok = known[t, p] = bool(self.compatible(np.array([t]), np.array([p]))[0])
+                    ok = fits[t, p] = bool(self.compatible(np.array([t]), np.array([p]))[0])
                 if not ok:
                     continue
             last[e], done = p, e
@@ -315,15 +355,13 @@ class PieceModel:
 
     # -- texts ----------------------------------------------------------------
 
-    def encode(self, texts: list[str | None], seen: dict[str, bytes] | None = None, memory: int = 120_000, span: int = 200_000) -> list[np.ndarray]:
-        """Ids of each text; ``seen`` remembers segments between calls."""
-        seen = {} if seen is None else seen
-        find = self.segment.findall
-        cut = [find(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = list(dict.fromkeys(w for ws in cut for w in ws if w not in seen))
+    def encode(self, texts: list[str | None], span: int = 200_000) -> list[np.ndarray]:
+        """Ids of each text; ``span`` characters share a suffix array, which bounds its memory."""
+        find, front = self.segment.findall, MARK if self.spaced else ""
+        cut = [find(front + t.replace(" ", MARK)) if t else [] for t in texts]
         ids: dict[str, bytes] = {}
         held, size = [], 0
-        for w in new:  # one suffix array for every ``span`` characters bounds its memory
+        for w in dict.fromkeys(w for ws in cut for w in ws):
             held.append(w)
             size += len(w) + 1
             if size >= span:
@@ -331,13 +369,11 @@ class PieceModel:
                 held, size = [], 0
         if held:
             ids.update(zip(held, self.encode_segments(held), strict=True))
-        look = (seen | ids).__getitem__
-        seen.update(islice(ids.items(), max(0, memory - len(seen))))  # those met first are met most often
-        return [np.frombuffer(b"".join(map(look, ws)), np.int32) for ws in cut]
+        return [np.frombuffer(b"".join(map(ids.__getitem__, ws)), np.int32) for ws in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.bytes.__getitem__, ids.tolist()))
-        return raw.removeprefix(b" ").decode("utf-8", "replace")
+        return (raw.removeprefix(b" ") if self.spaced else raw).decode("utf-8", "replace")
 
 
 def load(spark: SparkSession, path: str = MODEL):
@@ -349,10 +385,10 @@ def load(spark: SparkSession, path: str = MODEL):
 
 def _encoder(handle, chars: int, decode: bool, want_ids: bool):
     def run(batches):
-        model, seen = handle.value, {}  # the memory ends with the task
+        model = handle.value
         for t in common.groups(batches, chars):
             texts = t.column("text").to_pylist()
-            ids = model.encode(texts, seen)
+            ids = model.encode(texts)
             cols = {"id": t.column("id"), "n_tokens": pa.array([len(x) for x in ids], pa.int64())}
             cols["ids_sha256"] = pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string())
             if want_ids:
@@ -361,7 +397,7 @@ def _encoder(handle, chars: int, decode: bool, want_ids: bool):
             if decode:
                 back = [model.decode(x) for x in ids]
                 cols["n_chars_decoded"] = pa.array([len(b) for b in back], pa.int64())
-                cols["round_trip"] = pa.array([b == (a or "").replace(MARK, " ") for a, b in zip(texts, back, strict=True)], pa.bool_())
+                cols["round_trip"] = pa.array([b == (a or "") for a, b in zip(texts, back, strict=True)], pa.bool_())
             yield from pa.table(cols).combine_chunks().to_batches()
 
     return run
@@ -373,7 +409,6 @@ def encode(docs: DataFrame, *, path: str = MODEL, id_col: str = "doc_id", text_c
     ``chars`` bounds the text that is held at once, not what is encoded.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
     df = common.ids_and_text(docs, id_col, text_col)
     schema = f"id {df.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string"
     schema += ", ids array<int>" * want_ids + ", n_chars_decoded long, round_trip boolean" * decode
@@ -386,7 +421,7 @@ def decode(tokens: DataFrame, *, path: str = MODEL, id_col: str = "doc_id", ids_
 
     def run(batches):
         model = handle.value
-        for b in batches:
+        for b in common.bounded(batches):
             back = [model.decode(np.array(x or [], np.int32)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(back, pa.string())], ["id", "text"])
 

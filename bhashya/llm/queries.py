@@ -13,7 +13,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"), want_ids=False, decode=True).withColumnRenamed("id", "doc_id")
+    return pieces.encode(table(spark, sf_dir, "documents"), decode=True).withColumnRenamed("id", "doc_id")
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

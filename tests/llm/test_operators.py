@@ -94,10 +94,30 @@ def test_encoding_is_the_librarys(model):
     assert [model.decode(g) for g in got] == [t.replace("▁", " ") for t in texts]
 
 
-def test_small_spans_and_no_memory_change_nothing(model):
-    texts = ["hello world foo bar", "hello again " * 50, "zażółć gęślą"]
-    a, b = model.encode(texts), model.encode(texts, {}, memory=0, span=5)
-    assert all((x == y).all() for x, y in zip(a, b))
+def test_small_spans_and_single_steps_change_nothing(model, monkeypatch):
+    rng = random.Random(6)
+    texts = ["hello world foo bar", "hello again " * 50, "zażółć gęślą", "".join(rng.choice("abcdexyz") for _ in range(3000)), "ab" * 20000]
+    want = model.encode(texts)
+    for few in (0, 1 << 30):
+        monkeypatch.setattr(pieces, "FEW", few)
+        assert all((x == y).all() for x, y in zip(want, model.encode(texts[:4], span=5)))
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    assert [x.tolist() for x in want] == sp.encode(texts)
+
+
+def test_settings_are_read_from_the_file(model, monkeypatch):
+    field = lambda n, v: bytes([n << 3 | (2 if isinstance(v, bytes) else 0)]) + (bytes([len(v)]) + v if isinstance(v, bytes) else bytes([v]))
+    far = lambda n, v: bytes([n << 3 & 127 | 128, n >> 4, v])  # noqa: E731  numbers above 15 take two bytes
+    proto = lambda kind, trainer, norm: field(2, field(3, kind) + trainer) + field(3, norm)
+    assert pieces.settings(proto(2, far(35, 1), field(4, 0))) == (True, True)
+    assert pieces.settings(proto(1, far(35, 1), field(3, 0) + field(4, 0))) == (False, False)
+    for bad in (proto(3, far(35, 1), field(4, 0)), proto(2, b"", field(4, 0)), proto(2, far(35, 1), b""), proto(2, far(35, 1), field(2, b"m") + field(4, 0))):
+        with pytest.raises(ValueError):
+            pieces.settings(bad)
+    m = pieces.PieceModel.__new__(pieces.PieceModel)
+    m.__dict__ |= model.__dict__ | {"spaced": False}
+    ids = m.encode(["the cat", " the"])
+    assert [m.decode(x) for x in ids] == ["the cat", " the"] and model.encode(["the"])[0].tolist() == ids[1].tolist()
 
 
 def test_unigram_takes_the_best_path(model):
@@ -113,9 +133,10 @@ def test_unigram_takes_the_best_path(model):
 
 
 def test_encode_and_decode_frames(spark, model):
-    docs = frame(spark, EDGE)
+    docs = frame(spark, EDGE).withColumn("ids", F.lit("clash"))
     out = pieces.encode(docs, decode=True)
-    assert all(r["round_trip"] for r in out.collect())
+    assert all(r["round_trip"] for r in out.collect()) and pieces.encode(docs.union(docs)).count() == 2 * len(EDGE)
+    assert not pieces.encode(frame(spark, ["a▁b"]), decode=True).first()["round_trip"]
     back = {r["id"]: r["text"] for r in pieces.decode(out.select(F.col("id").alias("doc_id"), "ids")).collect()}
     assert back == {i: t or "" for i, t in enumerate(EDGE)}
     assert pieces.encode(docs.limit(0)).count() == 0
