@@ -100,8 +100,3 @@ def groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
         n += b.nbytes
     if held:
         yield pa.Table.from_batches(held)
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch holds: texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -7,10 +7,13 @@ bucket per block at the end of a window names the candidates, and a direct
 comparison of the words confirms an occurrence. Documents are never shuffled.
 
 Nulls and texts without words give ``n_words = 0`` and no hit; rows that repeat
-give repeated results; columns other than the id and the text are ignored. The
+give repeated results; columns other than the id and the text, of whatever name, are
+ignored; an empty table of documents gives no rows, one of items no hits. An item without
+an id is searched for like any other, but isn't named or counted among the items. The
 search covers whole texts. The test items are a stated set that goes to every
 task: its size is measured first, and a set larger than ``block_bytes`` is
-searched in blocks, one pass over the documents for each.
+searched in blocks, one pass over the documents for each. A matcher takes about a
+hundred bytes for each byte of the items, so a block's takes some 200 MB of a worker.
 """
 
 from __future__ import annotations
@@ -79,11 +82,13 @@ def matchers(items: Iterable[tuple[object, str | None]], window: int = 10) -> li
     by: dict[int, dict[tuple[bytes, ...], dict[str, None]]] = defaultdict(lambda: defaultdict(dict))
     for item, text in items:
         w = words(text.encode() if text is not None else None)
-        if not w or item is None:
+        if not w:
             continue
         m = min(window, len(w))
         for i in range(len(w) - m + 1):
-            by[m][tuple(w[i : i + m])][str(item)] = None
+            named = by[m][tuple(w[i : i + m])]
+            if item is not None:
+                named[str(item)] = None
     return [WuManber({p: list(x) for p, x in ps.items()}, m) for m, ps in sorted(by.items(), reverse=True)]
 
 
@@ -111,7 +116,7 @@ def _scanner(handle, window: int, first: bool, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, items = handle.value
         found = _built(key, lambda: matchers(items, window))
-        for batch in batches:
+        for batch in common.bounded(batches):
             texts = batch.column(1)
             n_words, starts, ends, ids = [], [], [], []
             for r, text in enumerate(texts.cast(pa.binary()).to_pylist()):
@@ -137,7 +142,7 @@ def _scanner(handle, window: int, first: bool, last: bool):
     return run
 
 
-def scan(docs: DataFrame, items: DataFrame, *, window: int = 10, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, *, window: int = 10, block_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``id, text (null), n_words, starts, ends, items``: merged word spans that any
     window covers, and the items with an occurring window, sorted as strings.
 
@@ -145,12 +150,12 @@ def scan(docs: DataFrame, items: DataFrame, *, window: int = 10, block_bytes: in
     that is searched in several passes, whose results are kept in the shared folder.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
     items = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     df = common.ids_and_text(docs, id_col, text_col)
     schema = SCAN_SCHEMA.format(kind=df.schema["id"].dataType.simpleString())
+    kept = None
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         rows = [(r[0], r[1]) for r in part.collect()]
@@ -158,6 +163,8 @@ def scan(docs: DataFrame, items: DataFrame, *, window: int = 10, block_bytes: in
         df = df.mapInArrow(_scanner(spark.sparkContext.broadcast((key, rows)), window, b == 0, b == blocks - 1), schema)
         if b < blocks - 1:
             df = common.materialise(df, "decontaminate")
+            common.discard(kept)
+            kept = df
     return df
 
 

@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
-from .components import components
+from .components import components, one_of_each, with_class
 
 SLOTS = 128
 CONTEXT = 8
@@ -207,16 +207,16 @@ def embedding() -> Embedding:
 
 
 def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars: int = 3 << 20) -> DataFrame:
-    """``id, fingerprint`` for each row; no shuffle."""
+    """``id, th, fingerprint`` for each row, ``th`` the hash of its text; no shuffle."""
 
     def run(batches):
         e = embedding()
         for t in common.groups(batches, chars):
             fp = e.fingerprints([x or "" for x in t.column("text").to_pylist()])
-            yield from pa.table({"id": t.column("id"), "fingerprint": pa.array(fp, pa.string())}).combine_chunks().to_batches()
+            yield from pa.table({"id": t.column("id"), "th": t.column("th"), "fingerprint": pa.array(fp, pa.string())}).combine_chunks().to_batches()
 
-    df = common.ids_and_text(docs, id_col, text_col)
-    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, fingerprint string")
+    df = common.ids_and_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
+    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, th long, fingerprint string")
 
 
 def most_unlike(likeness_at_least: float = LIKENESS, slots: int = SLOTS) -> int:
@@ -252,13 +252,14 @@ def _candidates(keyed: DataFrame, heavy: int, name: str) -> tuple[DataFrame, Dat
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", likeness_at_least: float = LIKENESS, bands: int = BANDS, rows: int = ROWS, heavy: int = HEAVY) -> DataFrame:
-    """``id, fingerprint, component_id``: the smallest id reachable over verified links.
+    """``id, th, fingerprint, label, component_id``: the smallest id reachable over verified
+    links; ``label`` is one for each class.
 
     Equal fingerprints are always of one class. A class without an id has none.
     """
     most = most_unlike(likeness_at_least)
     own = common.materialise(fingerprint(docs, id_col=id_col, text_col=text_col), "edit-fingerprints")
-    firsts = common.materialise(own.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("id").alias("first")), "edit-distinct")
+    firsts = common.materialise(own.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("id").alias("first"), F.count("*").alias("n")), "edit-distinct")
     keyed = band_keys(firsts.filter(F.col("fp") != _EMPTY).select("fp"), bands, rows, SEED)
     pairs, large = _candidates(keyed, heavy, "edit-members")
     # what is left in large buckets beside those near the smallest member: by further slots
@@ -268,8 +269,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     labelled = common.materialise(firsts.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "edit-classes")
     common.discard(edges, firsts)
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    of = labelled.join(least, "label").select(F.col("fp").alias("fingerprint"), "component_id")
-    return own.join(of, "fingerprint").select("id", "fingerprint", "component_id")
+    of = labelled.join(least, "label").select(F.col("fp").alias("fingerprint"), "n", "label", "component_id")
+    return with_class(own, common.materialise(of, "edit-of"), "fingerprint").select("id", "th", "fingerprint", "label", "component_id")
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """One document of each class of near-duplicates, that of the smallest id (see ``one_of_each``)."""
+    return one_of_each(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, **kw), id_col, text_col)
 
 
 def near_report(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,9 @@ number of rows in proportion to the fingerprints, and leaves nothing out.
 
 Words are runs without ASCII white space, A-Z lower-cased; shingles are three
 words, or all of them if fewer. Null and wordless texts have fingerprint zero and
-are linked like any other. Repeated rows share a component. Whole texts count.
+are linked like any other. Repeated rows share a component; a component without any
+id has none. An empty table gives no rows; columns other than the id and the text, of
+whatever name, are ignored. Whole texts count.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import components, one_of_each, with_class
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -49,16 +51,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``id, fp`` (a signed long) for each row; no shuffle."""
-    common.small_batches(docs.sparkSession)
+    """``id, th, fp`` for each row: the hash of its text and the fingerprint, signed longs; no shuffle."""
 
     def run(batches):
-        for b in batches:
+        for b in common.bounded(batches):
             fp = [fingerprint(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp, pa.int64())], ["id", "th", "fp"])
 
-    df = common.ids_and_text(docs, id_col, text_col)
-    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, fp long")
+    df = common.ids_and_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
+    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, th long, fp long")
 
 
 def _halves(fps: DataFrame) -> DataFrame:
@@ -73,10 +74,8 @@ _BALL1 = "concat(array(rest), transform(sequence(0, 31), b -> rest ^ shiftleft(1
 _BALL2 = "array_distinct(flatten(transform(sequence(0, 31), a -> transform(sequence(a, 31), b -> CASE WHEN a = b THEN rest ELSE rest ^ shiftleft(1L, a) ^ shiftleft(1L, b) END))))"
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, heavy: int = HEAVY) -> DataFrame:
+def links(fps: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """``a, b``: edges that connect exactly what links of distinct fingerprints ``fp`` connect."""
-    if not 0 <= max_bits <= 3:
-        raise ValueError("two halves probed within one bit find at most 3 differing bits")
     table = _halves(fps)
     large = common.materialise(table.groupBy("side", "key").count().filter(F.col("count") > heavy).select("side", "key"), "heavy")
     probes = table.select("side", F.explode(F.expr(f"concat(array(key), {_LESS_ONE_BIT})")).alias("key"), F.col("key").alias("own"), "rest", F.col("fp").alias("a"))
@@ -84,15 +83,15 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, heavy: int = HEAVY) -> DataF
     some = not large.isEmpty()
     if some:
         light_table = table.join(large, ["side", "key"], "left_anti")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
     pairs = light_probes.select("side", "key", "own", "a").join(light_table.select("side", "key", F.col("fp").alias("b")), ["side", "key"])
     out = pairs.filter(((F.col("own") != F.col("key")) | (F.col("a") < F.col("b"))) & near).select("a", "b")
     if some:
-        out = out.union(_through_points(table.join(large, ["side", "key"], "left_semi"), probes.filter("own <> key").join(large, ["side", "key"], "left_semi"), max_bits))
+        out = out.union(_through_points(table.join(large, ["side", "key"], "left_semi"), probes.filter("own <> key").join(large, ["side", "key"], "left_semi")))
     return out
 
 
-def _through_points(members: DataFrame, probes: DataFrame, max_bits: int) -> DataFrame:
+def _through_points(members: DataFrame, probes: DataFrame) -> DataFrame:
     """Edges within heavy halves: every one joins two fingerprints that link."""
     place = ["side", "key", "x"]
     near = members.select("side", "key", F.explode(F.expr(_BALL1)).alias("x"), "fp")
@@ -100,35 +99,26 @@ def _through_points(members: DataFrame, probes: DataFrame, max_bits: int) -> Dat
     far = members.select("side", "key", F.explode(F.expr(_BALL2)).alias("x"), F.col("fp").alias("a"))
     by = probes.select("side", "key", F.explode(F.expr(_BALL1)).alias("x"), "a")
     both = near.withColumnRenamed("fp", "a").union(far).union(by)
-    ok = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+    ok = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
     return both.join(hub, place).filter((F.col("a") != F.col("b")) & ok).select("a", "b").distinct()
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, heavy: int = HEAVY) -> DataFrame:
-    """``id, fp, component_id``: the smallest id reachable over links."""
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, heavy: int = HEAVY) -> DataFrame:
+    """``id, th, fp, label, component_id``: the smallest id reachable over links; ``label`` is one for each component."""
     own = common.materialise(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
-    firsts = common.materialise(own.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    label = components(links(firsts.select("fp"), max_bits, heavy)).withColumnRenamed("node", "fp")
+    firsts = common.materialise(own.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "distinct")
+    label = components(links(firsts.select("fp"), heavy)).withColumnRenamed("node", "fp")
     labelled = common.materialise(firsts.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labels")
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    return own.join(labelled.join(least, "label").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    of = common.materialise(labelled.join(least, "label").select("fp", "n", "label", "component_id"), "classes")
+    common.discard(firsts, labelled)
+    return with_class(own, of, "fp").select("id", "th", "fp", "label", "component_id")
 
 
 def report(docs: DataFrame, **kw) -> DataFrame:
     return classes(docs, **kw).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", **kw) -> DataFrame:
-    """One document of each component, that of the smallest id; rows of one id count once.
-
-    The ids kept grow with the documents, so they are never broadcast: each
-    partition of the documents meets the ids of its own.
-
-    Documents without an id can't be told apart by it; they stay.
-    """
-    kept = classes(docs, id_col=id_col, **kw).groupBy("id").agg(F.count("*").alias("count"), F.max(F.col("id") == F.col("component_id")).alias("keep"))
-    kept = common.materialise(kept.filter("keep").select("id", "count"), "kept")
-    out = docs.join(kept.select(F.col("id").alias(id_col)).hint("shuffle_hash"), id_col, "left_semi").select(docs.columns)
-    if not kept.filter("count > 1").isEmpty():
-        out = out.dropDuplicates([id_col])
-    return out.unionByName(docs.filter(F.col(id_col).isNull()))
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """One document of each component, that of the smallest id (see ``one_of_each``)."""
+    return one_of_each(docs, classes(docs, id_col=id_col, text_col=text_col, **kw), id_col, text_col)

@@ -51,7 +51,7 @@ def brute_decontaminate(docs, items):
                 for j in range(len(w) - m + 1):
                     if w[j : j + m] == p[k : k + m]:
                         hit |= set(range(j, j + m))
-                        names.add(str(i))
+                        names |= {str(i)} - {"None"}
         out[d] = (len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit))
     return out
 
@@ -59,8 +59,8 @@ def brute_decontaminate(docs, items):
 @pytest.mark.parametrize("block_bytes", [1 << 20, 200])
 def test_decontamination_equals_brute_force(spark, block_bytes):
     rng = random.Random(3)
-    items = [(i, prose(rng, n)) for i, n in enumerate([10, 14, 3, 1, 25, 9, 10])] + [(20, None), (21, ""), (22, "--- !"), (23, "zeta-zeta Zeta")]
-    texts = EDGE + [prose(rng, 60) for _ in range(20)] + [prose(rng, 5) + " " + items[1][1].upper().replace(" ", ", ") + " " + prose(rng, 9)] * 2
+    items = [(i, prose(rng, n)) for i, n in enumerate([10, 14, 3, 1, 25, 9, 10])] + [(20, None), (21, ""), (22, "--- !"), (23, "zeta-zeta Zeta"), (None, "omega one two three")]
+    texts = EDGE + ["x omega one two three y"] + [prose(rng, 60) for _ in range(20)] + [prose(rng, 5) + " " + items[1][1].upper().replace(" ", ", ") + " " + prose(rng, 9)] * 2
     got = decontaminate.report(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes).collect()
     want = brute_decontaminate(list(enumerate(texts)), items)
     assert {r[0]: tuple(r[1:]) for r in got} == want and any(v[4] for v in want.values())
@@ -257,8 +257,8 @@ def plain_components(values, bits):
 
 
 @pytest.mark.parametrize("heavy", [1, 3, 10_000])
-@pytest.mark.parametrize("bits", [1, 3])
-def test_links_connect_what_brute_force_connects(spark, heavy, bits):
+def test_links_connect_what_brute_force_connects(spark, heavy):
+    bits = simhash.MAX_BITS
     rng, values = random.Random(9), set()
     for _ in range(12):  # clusters, dense in one half and in both
         c = rng.getrandbits(64)
@@ -269,7 +269,7 @@ def test_links_connect_what_brute_force_connects(spark, heavy, bits):
                 v ^= 1 << rng.choice(range(64) if rng.random() < 0.5 else range(32))
             values.add(v)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    edges = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), bits, heavy).collect()
+    edges = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), heavy).collect()
     assert all(bin((a ^ b) & (1 << 64) - 1).count("1") <= bits for a, b in edges)
     got = components.components(spark.createDataFrame([tuple(e) for e in edges] or [(0, 0)], "a long, b long"))
     got = {r["node"]: r["label"] for r in got.collect()}
@@ -283,13 +283,26 @@ def test_components_of_a_chain_and_loops(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
-def test_one_document_of_each_group_stays(spark):
+@pytest.mark.parametrize("operator", [simhash, editsketch])
+def test_one_document_of_each_group_stays(spark, operator):
     rng = random.Random(4)
-    base = prose(rng, 300)
+    base, other = prose(rng, 300), "".join(rng.choice("qwrtpsdf ") for _ in range(900))
     docs = frame(spark, [base, base, prose(rng, 200), None, "", "zz"]).union(frame(spark, [base]))  # doc 0 twice
-    out = simhash.deduplicated(docs)
+    out = operator.deduplicated(docs)
+    # a null and an empty text are near-duplicates of one another, of nothing else
     assert sorted(r["doc_id"] for r in out.collect()) == [0, 2, 3, 5] and out.columns == docs.columns
-    assert simhash.report(docs.limit(0)).count() == 0
+    # rows of one id with different texts are different documents; rows without an id yield to those with one
+    rows = [(1, base), (1, other), (None, base), (None, prose(rng, 250)), (2, other), (0, base), (0, base)]
+    got = operator.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.lit("clash")).withColumn("label", F.lit(1)))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == sorted([("0", base), ("1", other), ("None", rows[3][1])])
+    assert operator.deduplicated(docs.limit(0)).count() == 0 and simhash.report(docs.limit(0)).count() == 0
+
+
+def test_classes_of_a_key_that_most_rows_have(spark):
+    rows = spark.createDataFrame([(i, i % 7 if i % 3 else 99) for i in range(4000)] + [(5000, 1234)], "id long, k long")
+    labels = rows.groupBy("k").count().select("k", F.col("count").alias("n"), (F.col("k") * 10).alias("label"))
+    got = components.with_class(rows, labels, "k").collect()
+    assert len(got) == 4001 and all(r["label"] == r["k"] * 10 for r in got)
 
 
 # -- edit embedding ------------------------------------------------------------------------
@@ -804,17 +817,35 @@ def test_warc_equals_sql_where_pages_repeat(spark):
 # -- pipeline -------------------------------------------------------------------------------------------------------
 
 
+def tables(spark, folder, docs, items):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
 def test_pipeline_equals_plain_python(spark, tmp_path):
     import corpus_pipeline
 
     rng = random.Random(12)
     item = prose(rng, 30)
     texts = ["12 34", None, prose(rng, 120), prose(rng, 90) + " " + item + " end", "mail a.b@c.org " + prose(rng, 100), prose(rng, 150)]
-    texts += [texts[2], texts[5]]
-    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    texts += [texts[2], texts[5], texts[5][:400] + " slightly " + texts[5][400:]]
+    folder = tables(spark, tmp_path, frame(spark, texts).withColumn("row", F.lit("clash")).withColumn("th", F.lit(1)), [(1, item)])
+    out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, folder).collect()}
     assert set(out) == {2, 4, 5} and all(r["round_trip"] for r in out.values())
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    assert list(out[5]["ids"]) == sp.encode(texts[5]) and "a.b@c.org" not in sp.decode(list(out[4]["ids"]))
+    assert list(out[5]["ids"]) == sp.encode(texts[5]) and sp.decode(list(out[4]["ids"])) == plain_pseudonyms(texts[4], corpus_pipeline.TEST_KEY)[0]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "pii", "sentencepiece"]
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    a, b = prose(rng, 80), prose(rng, 90)
+    rows = [(1, a), (1, a), (1, b), (None, prose(rng, 70)), (2, b), (3, None), (4, ""), (5, "x" * 3000)]
+    docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], DOCS)
+    folder = tables(spark, tmp_path / "odd", docs, [(None, None)])
+    got = sorted((str(r["doc_id"]), r["n_chars_decoded"]) for r in corpus_pipeline.run(spark, folder).collect())
+    assert got == sorted([("1", len(a)), ("1", len(b)), ("None", len(rows[3][1])), ("5", 3000)])
+    assert corpus_pipeline.run(spark, tables(spark, tmp_path / "none", docs.limit(0), [])).count() == 0
