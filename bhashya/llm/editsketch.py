@@ -224,53 +224,93 @@ def most_unlike(likeness_at_least: float = LIKENESS, slots: int = SLOTS) -> int:
     return max(d for d in range(slots + 1) if d == 0 or likeness_of(slots - d, slots) >= likeness_at_least)
 
 
-_WORDS = "transform(sequence(0, {n} - 1), i -> CAST(conv(substr({c}, i * 8 + 1, 8), 16, 10) AS BIGINT))"
-_DIFFER = "aggregate(zip_with({a}, {b}, (x, y) -> bit_count((x ^ y | shiftright(x ^ y, 1) | shiftright(x ^ y, 2) | shiftright(x ^ y, 3)) & 286331153)), 0, (s, n) -> s + n)"
+_NIBBLES = 0x1111111111111111
 
 
 def _differ(a: str, b: str) -> Column:
-    """In how many of the hex digits two fingerprints differ."""
-    words = lambda c: _WORDS.format(c=c, n=SLOTS // 8)
-    return F.expr(_DIFFER.format(a=words(a), b=words(b)))
-
-
-def band_keys(fps: DataFrame, bands: int, rows: int, seed: int, inside: tuple[str, ...] = ()) -> DataFrame:
-    """``key, fp`` for each band: a hash of its number, its sampled slots and the columns ``inside``."""
+    """In how many of the hex digits two fingerprints differ, sixteen at a time."""
+    out = F.lit(0)
+    for at in range(1, SLOTS + 1, 16):
+        word = lambda c: F.conv(F.substring(c, at, 16), 16, -10).cast("long")  # noqa: B023, E731
+        x = word(a).bitwiseXOR(word(b))
+        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        out = out + F.bit_count(any_bit.bitwiseAND(_NIBBLES))
+    return out
+
+
+def sampled(bands: int, rows: int, seed: int) -> np.ndarray:
+    """The slots of each band."""
     rng = np.random.default_rng(seed)
-    keys = [F.xxhash64(F.lit(b), *inside, *[F.substring("fp", int(p) + 1, 1) for p in sorted(rng.choice(SLOTS, rows, replace=False))]) for b in range(bands)]
-    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    return np.array([np.sort(rng.choice(SLOTS, rows, replace=False)) for _ in range(bands)])
 
 
-def _candidates(keyed: DataFrame, heavy: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """(pairs ``a, b`` to verify, members ``key, fp`` of buckets above ``heavy``)."""
-    bucket = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("hub")).filter("n > 1")
-    member = common.materialise(keyed.join(bucket, "key"), name)
-    light = member.filter(F.col("n") <= heavy).select("key", "fp")
-    pairs = light.withColumnRenamed("fp", "a").join(light.withColumnRenamed("fp", "b"), "key").filter("a < b").select("a", "b")
+def band_keys(fps: DataFrame, bands: int, rows: int, seed: int) -> DataFrame:
+    """``key, fid`` for each band of ``fid, fp[, within]``: the band's number and sampled slots,
+    four bits each, joined with the bucket that it divides, if any. Small rows: they are what
+    is shuffled."""
+    inside = "within" in fps.columns
+    slots = sampled(bands, rows, seed)
+    shift = (np.uint64(4) * np.arange(rows, dtype=np.uint64))[None, None, :]
+    number = np.arange(bands, dtype=np.uint64)[None, :] << np.uint64(4 * rows)
+
+    def run(batches):
+        for b in common.bounded(batches, 1 << 19):
+            hexes = np.frombuffer("".join(b.column("fp").to_pylist()).encode(), np.uint8).reshape(-1, SLOTS)
+            nib = np.where(hexes > 57, hexes - 87, hexes - 48).astype(np.uint64)
+            key = (nib[:, slots] << shift).sum(axis=2, dtype=np.uint64) | number
+            if inside:
+                key = (key + b.column("within").to_numpy().astype(np.int64).view(np.uint64)[:, None] * np.uint64(_MIX1)) * np.uint64(_MIX2)
+                key ^= key >> np.uint64(31)
+            fid = np.repeat(b.column("fid").to_numpy(), bands)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(fid)], ["key", "fid"])
+
+    return fps.select("fid", "fp", *(["within"] if inside else [])).mapInArrow(run, "key long, fid long")
+
+
+def _candidates(keyed: DataFrame, heavy: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs ``a, b`` to verify, members ``within, fid`` of buckets above ``heavy``, the kept table of members)."""
+    bucket = common.materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fid").alias("hub")).filter("n > 1"), "edit-buckets")
+    member = common.materialise(keyed.join(bucket, "key"), "edit-members")
+    common.discard(bucket)
+    light = member.filter(F.col("n") <= heavy).select("key", "fid")
+    pairs = light.withColumnRenamed("fid", "a").join(light.withColumnRenamed("fid", "b"), "key").filter("a < b").select("a", "b")
     large = member.filter(F.col("n") > heavy)
-    return pairs.union(large.filter("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))), large.select("key", "fp")
+    return pairs.union(large.filter("fid <> hub").select(F.col("hub").alias("a"), F.col("fid").alias("b"))).distinct(), large.select(F.col("key").alias("within"), "fid"), member
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", likeness_at_least: float = LIKENESS, bands: int = BANDS, rows: int = ROWS, heavy: int = HEAVY) -> DataFrame:
     """``id, th, fingerprint, label, component_id``: the smallest id reachable over verified
     links; ``label`` is one for each class.
 
-    Equal fingerprints are always of one class. A class without an id has none.
+    Equal fingerprints are always of one class. A class without an id has none. Bands,
+    buckets and links are of 64-bit hashes of the fingerprints (``fid``); the
+    fingerprints themselves decide.
     """
     most = most_unlike(likeness_at_least)
     own = common.materialise(fingerprint(docs, id_col=id_col, text_col=text_col), "edit-fingerprints")
-    firsts = common.materialise(own.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("id").alias("first"), F.count("*").alias("n")), "edit-distinct")
-    keyed = band_keys(firsts.filter(F.col("fp") != _EMPTY).select("fp"), bands, rows, SEED)
-    pairs, large = _candidates(keyed, heavy, "edit-members")
-    # what is left in large buckets beside those near the smallest member: by further slots
-    more, _ = _candidates(band_keys(large, FURTHER_BANDS, FURTHER_ROWS, SEED + 1, ("key",)).distinct(), heavy, "edit-further") if not large.isEmpty() else (pairs.limit(0), None)
-    edges = common.materialise(pairs.union(more).distinct().filter(_differ("a", "b") <= most), "edit-links")
-    label = components(edges).withColumnRenamed("node", "fp")
-    labelled = common.materialise(firsts.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "edit-classes")
-    common.discard(edges, firsts)
+    firsts = own.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    firsts = common.materialise(firsts.withColumn("fid", F.xxhash64("fp")), "edit-distinct")
+    fps = firsts.filter(F.col("fp") != _EMPTY).select("fid", "fp")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        with_a = pairs.join(fps.select(F.col("fid").alias("a"), F.col("fp").alias("fa")), "a")
+        with_both = with_a.join(fps.select(F.col("fid").alias("b"), F.col("fp").alias("fb")), "b")
+        return with_both.filter(_differ("fa", "fb") <= most).select("a", "b")
+
+    pairs, large, members = _candidates(band_keys(fps, bands, rows, SEED), heavy)
+    edges = common.materialise(verified(pairs), "edit-links")
+    if not large.isEmpty():  # what large buckets hold beside those near their smallest member
+        more, _, further = _candidates(band_keys(large.join(fps, "fid"), FURTHER_BANDS, FURTHER_ROWS, SEED + 1).distinct(), heavy)
+        first, edges = edges, common.materialise(edges.union(verified(more)), "edit-links")
+        common.discard(first, further)
+    common.discard(members)
+    label = components(edges).withColumnRenamed("node", "fid")
+    labelled = common.materialise(firsts.join(label, "fid", "left").withColumn("label", F.coalesce("label", "fid")), "edit-classes")
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     of = labelled.join(least, "label").select(F.col("fp").alias("fingerprint"), "n", "label", "component_id")
-    return with_class(own, common.materialise(of, "edit-of"), "fingerprint").select("id", "th", "fingerprint", "label", "component_id")
+    of = common.materialise(of, "edit-of")
+    common.discard(edges, firsts, labelled)
+    return with_class(own, of, "fingerprint").select("id", "th", "fingerprint", "label", "component_id")
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
