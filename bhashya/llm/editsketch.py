@@ -21,11 +21,11 @@ is that share put as twice what is common by the sum of both, which is a half fo
 of which half was replaced.
 
 Near-duplicates: distinct fingerprints are dealt into ``BANDS`` bands, each a sample
-of ``ROWS`` slots; what shares a band's slots is verified over all slots. Of a bucket
-of up to ``heavy`` fingerprints all are compared; the members of a larger one are
-verified against its smallest one and dealt, by further slots, into smaller buckets of
-their own, whose members are compared or again verified against the smallest. No bucket
-is paired up, and no fingerprint is copied more often than there are bands of both kinds.
+of ``ROWS`` slots. What shares a band's slots is laid in an order of chance, a new one in
+each band, and every fingerprint is verified, over all slots, against the first one and
+the ``NEIGHBOURS`` before it. That is all pairs of a bucket with up to that many and one;
+of a larger one, whose members mostly are near its first, a number in proportion to its
+members. Fingerprints that are near agree in several bands, with other neighbours in each.
 
 Null texts count as empty; an empty text has the fingerprint of zeros, and two
 equal fingerprints have likeness 1. Whole texts are walked. Repeated rows give repeated
@@ -40,7 +40,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -52,12 +52,10 @@ SLOTS = 128
 CONTEXT = 8
 MEAN, LEAST, MOST = 128, 32, 1024
 SEED = 20231
-#: A pair of likeness 0.8 agrees in a band with probability 0.11, and in none of 48 with 0.005.
-BANDS, ROWS = 48, 6
-#: For what is left of large buckets.
-FURTHER_BANDS, FURTHER_ROWS = 32, 6
+#: A pair of likeness 0.8 agrees in a band with probability 0.05, and in none of 60 with 0.05.
+BANDS, ROWS = 60, 8
+NEIGHBOURS = 4
 LIKENESS = 0.8
-HEAVY = 64
 RANGE_BYTES = 16 << 20
 _EMPTY = "0" * SLOTS
 _M = (1 << 64) - 1
@@ -245,40 +243,39 @@ def sampled(bands: int, rows: int, seed: int) -> np.ndarray:
 
 
 def band_keys(fps: DataFrame, bands: int, rows: int, seed: int) -> DataFrame:
-    """``key, fid`` for each band of ``fid, fp[, within]``: the band's number and sampled slots,
-    four bits each, joined with the bucket that it divides, if any. Small rows: they are what
-    is shuffled."""
-    inside = "within" in fps.columns
+    """``key, fid`` for each band of ``fid, fp``: its number and the slots it samples, four
+    bits each. Small rows: they are what is shuffled."""
     slots = sampled(bands, rows, seed)
     shift = (np.uint64(4) * np.arange(rows, dtype=np.uint64))[None, None, :]
     number = np.arange(bands, dtype=np.uint64)[None, :] << np.uint64(4 * rows)
 
     def run(batches):
         for b in common.bounded(batches, 1 << 19):
-            hexes = np.frombuffer("".join(b.column("fp").to_pylist()).encode(), np.uint8).reshape(-1, SLOTS)
+            hexes = np.frombuffer("".join(b.column(1).to_pylist()).encode(), np.uint8).reshape(-1, SLOTS)
             nib = np.where(hexes > 57, hexes - 87, hexes - 48).astype(np.uint64)
             key = (nib[:, slots] << shift).sum(axis=2, dtype=np.uint64) | number
-            if inside:
-                key = (key + b.column("within").to_numpy().astype(np.int64).view(np.uint64)[:, None] * np.uint64(_MIX1)) * np.uint64(_MIX2)
-                key ^= key >> np.uint64(31)
-            fid = np.repeat(b.column("fid").to_numpy(), bands)
+            fid = np.repeat(b.column(0).to_numpy(), bands)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(fid)], ["key", "fid"])
 
-    return fps.select("fid", "fp", *(["within"] if inside else [])).mapInArrow(run, "key long, fid long")
+    return fps.select("fid", "fp").mapInArrow(run, "key long, fid long")
 
 
-def _candidates(keyed: DataFrame, heavy: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs ``a, b`` to verify, members ``within, fid`` of buckets above ``heavy``, the kept table of members)."""
-    bucket = common.materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fid").alias("hub")).filter("n > 1"), "edit-buckets")
-    member = common.materialise(keyed.join(bucket, "key"), "edit-members")
-    common.discard(bucket)
-    light = member.filter(F.col("n") <= heavy).select("key", "fid")
-    pairs = light.withColumnRenamed("fid", "a").join(light.withColumnRenamed("fid", "b"), "key").filter("a < b").select("a", "b")
-    large = member.filter(F.col("n") > heavy)
-    return pairs.union(large.filter("fid <> hub").select(F.col("hub").alias("a"), F.col("fid").alias("b"))).distinct(), large.select(F.col("key").alias("within"), "fid"), member
+def candidates(keyed: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """Distinct pairs ``a < b``: each member of a bucket with the first and the ones before it.
+
+    One shuffle, by bucket; a bucket is passed through, never held. Each document is in as
+    many buckets as there are bands, so a group of copies is a small part of a task's rows.
+    """
+    w = Window.partitionBy("key").orderBy("o")
+    dealt = keyed.repartition("key").withColumn("o", F.xxhash64("key", "fid"))
+    first = F.first("fid").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.array_distinct(F.array_compact(F.array(first, *[F.lag("fid", k).over(w) for k in range(1, neighbours + 1)])))
+    pairs = dealt.select("fid", before.alias("others")).filter((F.size("others") > 1) | (F.col("others")[0] != F.col("fid")))
+    pairs = pairs.select("fid", F.explode("others").alias("other")).filter("fid <> other")
+    return pairs.select(F.least("fid", "other").alias("a"), F.greatest("fid", "other").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", likeness_at_least: float = LIKENESS, bands: int = BANDS, rows: int = ROWS, heavy: int = HEAVY) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", likeness_at_least: float = LIKENESS, bands: int = BANDS, rows: int = ROWS, neighbours: int = NEIGHBOURS) -> DataFrame:
     """``id, th, fingerprint, label, component_id``: the smallest id reachable over verified
     links; ``label`` is one for each class.
 
@@ -292,18 +289,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     firsts = common.materialise(firsts.withColumn("fid", F.xxhash64("fp")), "edit-distinct")
     fps = firsts.filter(F.col("fp") != _EMPTY).select("fid", "fp")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(fps.select(F.col("fid").alias("a"), F.col("fp").alias("fa")), "a")
-        with_both = with_a.join(fps.select(F.col("fid").alias("b"), F.col("fp").alias("fb")), "b")
-        return with_both.filter(_differ("fa", "fb") <= most).select("a", "b")
-
-    pairs, large, members = _candidates(band_keys(fps, bands, rows, SEED), heavy)
-    edges = common.materialise(verified(pairs), "edit-links")
-    if not large.isEmpty():  # what large buckets hold beside those near their smallest member
-        more, _, further = _candidates(band_keys(large.join(fps, "fid"), FURTHER_BANDS, FURTHER_ROWS, SEED + 1).distinct(), heavy)
-        first, edges = edges, common.materialise(edges.union(verified(more)), "edit-links")
-        common.discard(first, further)
-    common.discard(members)
+    pairs = candidates(band_keys(fps, bands, rows, SEED), neighbours)
+    pairs = pairs.join(fps.select(F.col("fid").alias("a"), F.col("fp").alias("fa")), "a").join(fps.select(F.col("fid").alias("b"), F.col("fp").alias("fb")), "b")
+    edges = common.materialise(pairs.filter(_differ("fa", "fb") <= most).select("a", "b"), "edit-links")
     label = components(edges).withColumnRenamed("node", "fid")
     labelled = common.materialise(firsts.join(label, "fid", "left").withColumn("label", F.coalesce("label", "fid")), "edit-classes")
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
