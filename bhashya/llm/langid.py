@@ -231,7 +231,7 @@ class CrossParser:
         own[:, order] = state
         place = np.argsort(order)
         begun = np.ascontiguousarray(begins[:, :, place].transpose(0, 2, 1)).reshape(k, m * b)
-        before = np.concatenate((np.zeros((k, 1), np.int64), np.cumsum(begun, axis=1, dtype=np.int64)), axis=1)
+        before = np.concatenate((np.zeros((k, 1), np.int32), np.cumsum(begun, axis=1, dtype=np.int32)), axis=1)
         until = first * b + sizes
         total = before[:, until] - before[:, first * b]
         several = np.flatnonzero(blocks > 1)
@@ -314,7 +314,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAI
     return CrossParser({lang: "\n".join(ts) for lang, ts in samples.items()})
 
 
-def predict(docs: DataFrame, parser: CrossParser, *, id_col: str = "doc_id", text_col: str = "text", chars: int = 4 << 20) -> DataFrame:
+def predict(docs: DataFrame, parser: CrossParser, *, id_col: str = "doc_id", text_col: str = "text", chars: int = 2 << 20) -> DataFrame:
     """``id, lang_pred, score, match_len``: by the text alone."""
     df = common.ids_and_text(docs, id_col, text_col)
     schema = f"id {df.schema['id'].dataType.simpleString()}, lang_pred string, score double, match_len double"
@@ -343,7 +343,7 @@ def accepted(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     parser, names = train(docs, text_col=text_col, lang_col=lang_col, **kw), docs.columns
     packed = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[text_col].cast("string").alias("text"))
     schema = f"row {packed.schema['row'].dataType.simpleString()}, lang_pred string, score double, match_len double"
-    got = packed.mapInArrow(_runner(docs, parser, 4 << 20, "row"), schema)
+    got = packed.mapInArrow(_runner(docs, parser, 2 << 20, "row"), schema)
     even = 1 / max(1, len(parser.langs)) + 1e-9
     got = got.filter((F.col("lang_pred") != "und") & (F.lit(len(parser.langs) < 2) | (F.col("score") > even)))
     field = lambda c: F.col("row").getField(c)
