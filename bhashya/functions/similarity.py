@@ -26,6 +26,18 @@ def cosine_similarity(a: Column | str, b: Column | str) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + F.lit(1e-12))
 
 
+def mean_pool(token_vectors: Column | str, mask: Column | str) -> Column:
+    """Masked mean of an array of token vectors, of unit length; zeros without any token."""
+    v, m = column(token_vectors).cast("array<array<double>>"), column(mask).cast("array<double>")
+    add = lambda s, x: F.zip_with(s, x, lambda p, q: p + q)
+    weighted = F.zip_with(v, m, lambda x, k: F.transform(x, lambda y: y * k))
+    total = F.aggregate(weighted, F.transform(v[0], lambda _: F.lit(0.0)), add)
+    n = F.greatest(F.aggregate(m, F.lit(0.0), lambda s, k: s + k), F.lit(1e-9))
+    size = F.sqrt(F.aggregate(total, F.lit(0.0), lambda s, x: s + x * x))
+    # the mean's divisor drops out of a vector of unit length; it stays for one without any token
+    return F.when(size > 0, F.transform(total, lambda x: x / size)).otherwise(F.transform(total, lambda x: x / n))
+
+
 def prepared(text: Column | str, encoder: str, is_query: bool) -> Column:
     """What an encoder is given: some want the role in front."""
     t = column(text)

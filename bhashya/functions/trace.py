@@ -37,12 +37,13 @@ class AmbiguousTerm:
 
 @cache
 def default_terms() -> tuple[AmbiguousTerm, ...]:
-    path = Path(__file__).parent.parent / "sources" / "data" / "ambiguous_terms.tsv"
+    path = Path(__file__).parent.parent / "sources" / "data" / "ambiguous_terms.csv"
     if not path.exists():
         return ()
     with path.open(encoding="utf-8", newline="") as f:
-        rows = list(csv.reader(f, delimiter="\t"))[1:]
-    return tuple(AmbiguousTerm(t, a, b, o) for t, o, a, b in rows if a.strip() and b.strip())
+        rows = list(csv.DictReader(line for line in f if not line.startswith("#")))
+    terms = (AmbiguousTerm(r["target_word"], r["suggested_reading_a"].strip(), r["suggested_reading_b"].strip(), r["source"]) for r in rows)
+    return tuple(t for t in terms if t.reading_a and t.reading_b)
 
 
 def primary_gloss(reading: str) -> str:
@@ -96,19 +97,36 @@ def check_trace(source: Column | str, trace: Column | str, terms: Sequence[Ambig
     return let(facts, full)
 
 
+def _literal(c: str) -> str:
+    """SQL for a column's text as a literal part of a pattern, whatever signs it holds."""
+    return rf"regexp_replace({c}, '([^\\p{{L}}\\p{{N}}\\p{{M}}])', '\\\\$1')"
+
+
 def check_trace_with(df: DataFrame, source: str, trace: str, terms: DataFrame, key: str) -> DataFrame:
-    """For a dictionary that is a table (``term, reading_a, reading_b``), of any size.
+    """For a dictionary that is a table (``term, reading_a, reading_b[, ord]``), of any size.
+
+    Returns ``key, flagged_terms`` for every row of ``df``: an empty array where nothing is
+    flagged. ``ord`` gives the dictionary's order (else it is by term and readings).
 
-    Candidate words are joined with the terms by equality: every term's first
-    word is looked up among the source's words, so that neither side is
-    multiplied by the other. Returns ``key, flagged_terms``.
+    A term that is found as a word has its first Devanagari run, wherever that stands, as
+    a whole run of the source; by that word the sources and the terms are joined, so that
+    neither side is multiplied by the other. Terms without such a run, which are few, are
+    joined with every source that holds them.
     """
-    first = F.regexp_extract("term", f"^({CONTINUES}+)", 1)
-    d = terms.select("term", "reading_a", "reading_b", first.alias("w")).filter("w <> ''")
-    words = F.explode(F.array_distinct(F.regexp_extract_all(coerce_text(source), F.lit(f"({CONTINUES}+)"), F.lit(1))))
-    near = df.select(key, F.col(source).alias("_s"), F.lower(coerce_text(trace)).alias("_t"), words.alias("w")).join(d, "w")
-    # the whole term, and the glosses, as literal text between boundaries
-    whole = F.expr(r"_s RLIKE concat('(?<![\\u0900-\\u0963\\u0971-\\u097F])\\Q', term, '\\E(?![\\u0900-\\u0963\\u0971-\\u097F])')")
-    gloss = lambda c: F.expr(rf"_t RLIKE concat('(?U)\\b\\Q', lower(trim(substring_index({c}, '(', 1))), '\\E\\b')")
-    hit = near.filter(whole & gloss("reading_b") & ~gloss("reading_a"))
-    return hit.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("term", "reading_a", "reading_b"))).alias("flagged_terms"))
+    run = F.lit(f"({CONTINUES}+)")
+    order = "ord" if "ord" in terms.columns else None
+    d = terms.select(F.struct(*([order] if order else []), "term", "reading_a", "reading_b").alias("t"), F.regexp_extract("term", f"({CONTINUES}+)", 1).alias("w")).filter("t.term <> ''")
+    s = df.select(F.col(key).alias("_k"), coerce_text(source).alias("_s"), F.lower(coerce_text(trace)).alias("_t"))
+    usable = s.filter(~is_blank("_s") & ~is_blank("_t"))
+    by_word = usable.withColumn("w", F.explode(F.array_distinct(F.regexp_extract_all("_s", run, F.lit(1))))).join(d.filter("w <> ''"), "w")
+    without = usable.join(d.filter("w = ''").drop("w"), F.col("_s").contains(F.col("t.term")))
+    near = by_word.select("_k", "_s", "_t", "t").unionByName(without.select("_k", "_s", "_t", "t"))
+    bound = CONTINUES.replace("[", "").replace("]", "")
+    whole = F.expr(f"_s RLIKE concat('(?<![{bound}])', {_literal('t.term')}, '(?![{bound}])')")
+    gloss = lambda c: F.expr(f"_t RLIKE concat('(?U)\\\\b', {_literal(f"lower(trim(substring_index({c}, '(', 1)))")}, '\\\\b')")
+    hit = near.filter(whole & gloss("t.reading_b") & ~gloss("t.reading_a"))
+    found = hit.groupBy("_k").agg(F.array_sort(F.collect_list("t")).alias("f"))
+    flagged = F.transform("f", lambda t: F.struct(t["term"].alias("term"), t["reading_a"].alias("reading_a"), t["reading_b"].alias("reading_b")))
+    keys = df.select(F.col(key).alias("_k0"))
+    out = keys.join(found, F.col("_k0").eqNullSafe(F.col("_k")), "left")
+    return out.select(F.col("_k0").alias(key), F.coalesce(flagged, F.array().cast(FLAGGED)).alias("flagged_terms"))

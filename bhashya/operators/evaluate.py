@@ -36,26 +36,30 @@ def with_auto_trace(cases: DataFrame, metrics: list[str], auto: bool = True) ->
 
 
 def evaluate(
-    cases: DataFrame, metrics: Iterable[str] = ("script",), *, strict_language: bool = False, language: str = "en", encoder: str = DEFAULT_ENCODER, allow_muril: bool = False, judge=None, terms=None,
+    cases: DataFrame, metrics: Iterable[str] = ("script",), *, strict_language: bool = False, language: str = "", encoder: str = DEFAULT_ENCODER, allow_muril: bool = False, judge=None, terms=None,
     vectors: tuple[str, str] = ("gold_vector", "response_vector"),
 ) -> DataFrame:
     """Adds a column for each metric; null means that the case was skipped.
 
-    Similarity needs a gold text, trace needs a trace. The judge's rows are split
-    by need before any call. Nothing is shuffled for the script and trace checks.
+    Similarity needs a gold text and a language (the case's, else ``language``), trace
+    needs a trace. The judge's rows are split by need before any call. Nothing is
+    shuffled for the script and trace checks.
     """
     names, d = parse_metrics(metrics), cases
-    gold, trace = ~is_blank("gold"), F.col("trace") != ""
+    trace = F.col("trace") != ""
     for m in names:
         if m == "script":
             d = d.withColumn(m, script_adherence("prompt", "response", strict_language))
         elif m == "trace":
             d = d.withColumn(m, F.when(trace, check_trace("prompt", "trace", terms)))
         elif m == "similarity":
-            lang = F.when(is_blank("language"), F.lit(language)).otherwise(F.col("language"))
-            lang = F.when(gold, lang).otherwise(F.lit(language))
-            d = calibrated_similarity(d, "gold", "response", *vectors, lang, encoder=encoder, allow_muril=allow_muril, out=m)
-            d = d.withColumn(m, F.when(gold, F.col(m)))
+            own = F.col("language")
+            lang = F.when(own != "", own).otherwise(F.lit(language))
+            counts = (F.col("gold") != "") & (lang != "")
+            # a skipped case must raise nothing: its gold is blank to the check, and its language known
+            d = d.withColumn("_gold", F.when(counts, F.col("gold"))).withColumn("_in", F.when(counts, lang).otherwise("en")).withColumn("_counts", counts)
+            d = calibrated_similarity(d, "_gold", "response", *vectors, F.col("_in"), encoder=encoder, allow_muril=allow_muril, out=m)
+            d = d.withColumn(m, F.when(F.col("_counts"), F.col(m))).drop("_gold", "_in", "_counts")
         else:
             if judge is None:
                 raise ValueError("the judge metric needs a judge")
@@ -112,11 +116,18 @@ def scored_for_calibration(benchmark: DataFrame, score: Column | str, language:
     return d.select(*[c for c in ("case_id", "language") if c in d.columns], (F.col(score) if isinstance(score, str) else score).cast("double").alias("score"), (F.col(label) == "correct").alias("is_correct"))
 
 
-def judge_agreement(df: DataFrame, verdict: Column | str, grader1: str, grader2: str, ident: str, order: str, only: Column | None = None) -> DataFrame:
-    """Agreement with two graders (0.0 without rows) and the ids that differ from either, in order."""
+def judge_agreement(df: DataFrame, verdict: Column | str, grader1: str, grader2: str, only: Column | None = None) -> DataFrame:
+    """One row: ``n`` and the agreement with two graders (0.0 without rows)."""
     d = df if only is None else df.filter(only)
     v = F.col(verdict) if isinstance(verdict, str) else verdict
-    d = d.select(F.col(order).alias("o"), F.col(ident).cast("string").alias("i"), v.eqNullSafe(F.col(grader1)).alias("g1"), v.eqNullSafe(F.col(grader2)).alias("g2"))
-    odd = F.sort_array(F.collect_list(F.when(~(F.col("g1") & F.col("g2")), F.struct("o", "i"))))
+    d = d.select(v.eqNullSafe(F.col(grader1)).alias("g1"), v.eqNullSafe(F.col(grader2)).alias("g2"))
     share = lambda g: F.coalesce(F.avg(F.col(g).cast("double")), F.lit(0.0))
-    return d.agg(F.count("*").alias("n"), share("g1").alias("agreement_grader1"), share("g2").alias("agreement_grader2"), F.transform(odd, lambda s: s["i"]).alias("disagreements"))
+    return d.agg(F.count("*").alias("n"), share("g1").alias("agreement_grader1"), share("g2").alias("agreement_grader2"))
+
+
+def judge_disagreements(df: DataFrame, verdict: Column | str, grader1: str, grader2: str, ident: str, order: str, only: Column | None = None) -> DataFrame:
+    """``ord, id`` of the rows that differ from either grader: a table, however many there are."""
+    d = df if only is None else df.filter(only)
+    v = F.col(verdict) if isinstance(verdict, str) else verdict
+    odd = ~(v.eqNullSafe(F.col(grader1)) & v.eqNullSafe(F.col(grader2)))
+    return d.filter(odd).select(F.col(order).alias("ord"), F.col(ident).cast("string").alias("id"))

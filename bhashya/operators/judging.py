@@ -140,9 +140,9 @@ def judge_answers(df: DataFrame, question: str, answer: str, gold: str | None, j
     mode = F.when(has_gold, "reference_based").otherwise("reference_free")
     null = F.lit(None).cast("string")
 
-    def detail(aligned=F.lit(None).cast("boolean"), confidence=null, reasoning=null, sent=null, raw=null, shown=F.lit(True)):
+    def detail(aligned=F.lit(None).cast("boolean"), confidence=null, reasoning=null, why=null, sent=null, raw=null, shown=F.lit(True)):
         return F.struct(
-            F.when(shown, mode).alias("mode"), F.when(shown, model).alias("judge_model_id"), aligned.alias("aligned"), confidence.alias("confidence"), reasoning.alias("judge_reasoning"),
+            F.when(shown, mode).alias("mode"), F.when(shown, model).alias("judge_model_id"), aligned.alias("aligned"), why.alias("reasoning"), confidence.alias("confidence"), reasoning.alias("judge_reasoning"),
             sent.alias("raw_confidence"), raw.alias("raw_response"), F.when(shown, warning).alias("self_enhancement_bias_warning"),
         )
 
@@ -150,7 +150,7 @@ def judge_answers(df: DataFrame, question: str, answer: str, gold: str | None, j
         return result(label, passed, score, reason_of(label, JUDGE_REASONS), det)
 
     empty = d.filter("_way = 'empty'").withColumn(out, said(F.lit("empty"), F.lit(False), F.lit(0.0), detail(shown=F.lit(False))))
-    same = d.filter("_way = 'aligned'").withColumn(out, said(F.lit("matched"), F.lit(True), F.lit(1.0), detail(aligned=F.lit(True), reasoning=F.lit("The words agree; nothing was asked."))))
+    same = d.filter("_way = 'aligned'").withColumn(out, said(F.lit("matched"), F.lit(True), F.lit(1.0), detail(aligned=F.lit(True), why=F.lit("The words agree; nothing was asked."))))
     need = d.filter("_way = 'call'")
     spans = align(F.when(has_gold, a), F.when(has_gold, g))
     need = need.withColumn("_spans", spans)

@@ -6,6 +6,7 @@ import argparse
 import json
 import os
 import sys
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,8 @@ from .. import __version__
 from ..functions.adherence import script_adherence
 from ..functions.text import detection
 from ..operators import evaluate as E
+from ..operators.embedding import with_vectors
+from ..operators.progress import Progress
 from ..operators.calibration import DEFAULT_ENCODER
 from ..operators.judging import make_judge
 from ..sources.datasets import load_cases
@@ -49,6 +52,7 @@ def detect(a, spark: SparkSession, out) -> int:
 
 
 def run(a, spark: SparkSession, out) -> int:
+    """Evaluates a file; what is printed has the chosen format, what ``-o`` names is JSON."""
     if not os.path.exists(a.file):
         raise SystemExit(f"no such file: {a.file}")
     try:
@@ -60,49 +64,54 @@ def run(a, spark: SparkSession, out) -> int:
         raise SystemExit(f"no cases in {a.file}")
     metrics = E.with_auto_trace(cases, metrics, not a.no_trace_auto)
     judge = make_judge(a.judge) if "judge" in metrics else None
-    done = E.evaluate(cases, metrics, strict_language=a.strict_language, language=a.language, encoder=a.encoder, judge=judge)
-    long = E.long_results(done, metrics).cache()
-    summary = E.summarize(long)
-    rows, failed = summary.orderBy("metric_ord").collect(), R.shown_failures(E.failures(long))
-    markdown = R.markdown_report(rows, failed)
-    text = R.json_report(long, summary) if a.format == "json" else markdown if a.format == "markdown" else R.table_report(rows, failed, R.Style.of(out, a.no_color))
+    if "similarity" in metrics:
+        cases = with_vectors(cases, a.encoder, allow_muril=False)
+    style = R.Style.of(out, a.no_color)
+    watch = Progress(spark, sys.stderr) if a.format == "table" and style.on else nullcontext()
+    with watch:
+        done = E.evaluate(cases, metrics, strict_language=a.strict_language, language=a.language, encoder=a.encoder, judge=judge)
+        long = E.long_results(done, metrics).cache()
+        rows = E.summarize(long).orderBy("metric_ord").collect()
+    if a.format == "json":
+        R.json_report(long, rows, out)
+    elif a.format == "markdown":
+        R.markdown_report(rows, R.each_failure(long), out)
+    else:
+        R.table_report(rows, R.each_failure(long), out, style, a.fail_under)
     if a.output:
         with open(a.output, "w", encoding="utf-8") as f:
-            f.write(text)
-    else:
-        print(text, file=out)
-    R.append_job_summary(markdown, not a.no_github_summary)
+            R.json_report(long, rows, f)
+    summary = R.job_summary_path(not a.no_github_summary)
+    if summary:
+        with open(summary, "a", encoding="utf-8") as f:
+            R.markdown_report(rows, R.each_failure(long), f)
     return 1 if any(r["total"] and r["pass_rate"] < a.fail_under for r in rows) else 0
 
 
+#: The commands' contract: names, flags and defaults. Fixed values.
+COMMANDS = {
+    "check": (check, {"prompt": {}, "response": {}, "--strict-language": None, "--json": None}),
+    "detect": (detect, {"text": {}, "--json": None}),
+    "run": (
+        run,
+        {
+            "file": {}, "-m/--metrics": {"default": "script"}, "-l/--language": {"default": ""}, "--judge": {"default": "groq"}, "--encoder": {"default": DEFAULT_ENCODER}, "--strict-language": None,
+            "--fail-under": {"type": float, "default": 1.0}, "-f/--format": {"choices": ("table", "json", "markdown"), "default": "table"}, "-o/--output": {}, "--no-trace-auto": None, "--no-github-summary": None,
+        },
+    ),
+}
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="bhashya", description=__doc__)
     p.add_argument("--version", action="version", version=__version__)
     p.add_argument("--no-color", action="store_true")
-    sub = p.add_subparsers(dest="command", required=True)
-    c = sub.add_parser("check")
-    c.add_argument("prompt")
-    c.add_argument("response")
-    c.add_argument("--strict-language", action="store_true")
-    c.add_argument("--json", action="store_true")
-    c.set_defaults(do=check)
-    d = sub.add_parser("detect")
-    d.add_argument("text")
-    d.add_argument("--json", action="store_true")
-    d.set_defaults(do=detect)
-    r = sub.add_parser("run")
-    r.add_argument("file")
-    r.add_argument("-m", "--metrics", default="script")
-    r.add_argument("-l", "--language", default="en")
-    r.add_argument("--judge", default="groq")
-    r.add_argument("--encoder", default=DEFAULT_ENCODER)
-    r.add_argument("--strict-language", action="store_true")
-    r.add_argument("--fail-under", type=float, default=1.0)
-    r.add_argument("-f", "--format", choices=("table", "json", "markdown"), default="table")
-    r.add_argument("-o", "--output")
-    r.add_argument("--no-trace-auto", action="store_true")
-    r.add_argument("--no-github-summary", action="store_true")
-    r.set_defaults(do=run)
+    commands = p.add_subparsers(dest="command", required=True)
+    for name, (do, arguments) in COMMANDS.items():
+        c = commands.add_parser(name, help=do.__doc__)
+        c.set_defaults(do=do)
+        for flags, how in arguments.items():
+            c.add_argument(*flags.split("/"), **({"action": "store_true"} if how is None else how))
     return p
 
 

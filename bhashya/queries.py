@@ -5,6 +5,8 @@ The driver's tables hold no Indic text; ``FIXTURE`` is unioned in on both sides.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +17,11 @@ from .functions import judge as J
 from .functions import match as M
 from .functions import normalize as N
 from .functions import similarity as S
+from .functions import sql as Q
 from .functions import text as X
 from .functions import trace as R
 from .operators import calibration as C
+from .operators import embedding as V
 from .operators import evaluate as E
 from .operators import judging
 from .sources import datasets as D
@@ -85,6 +89,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the session shares; a temporary one for a local master without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="bhashya-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, text``: all documents and the fixture's prompts (negative ids)."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
@@ -133,6 +147,10 @@ def d_no_signal(t: str) -> str:
     return f"(NOT regexp_matches(coalesce({t}, ''), '[{_SIGNAL}]'))"
 
 
+def _d_flat(t: str) -> str:
+    return f"trim(regexp_replace(coalesce({t}, ''), '[{_WS}]+', ' ', 'g'))"
+
+
 def query(name: str, sql: str | None = None):
     def put(f):
         QUERIES[name] = f
@@ -179,13 +197,24 @@ def script_letters(spark, sf_dir):
 _VARIANT = "CASE language WHEN 'hi' THEN ['devanagari'] WHEN 'hinglish' THEN ['roman', 'mixed'] ELSE ['roman'] END"
 
 
-@query("script_adherent", f"SELECT id, language, CASE WHEN {d_class('prompt')} = 'empty' THEN false ELSE list_contains({_VARIANT}, {d_class('prompt')}) END AS adherent, array_to_string({_VARIANT}, ',') AS expected FROM {DUCK_FX} WHERE language IS NOT NULL UNION ALL SELECT doc_id, lang, CASE WHEN {d_class('text')} = 'empty' THEN false ELSE {d_class('text')} = 'roman' END, 'roman' FROM documents WHERE lang = 'en'")
+_DOC_VARIANT = "CASE WHEN lang = 'en' THEN 'en' ELSE 'hinglish' END"
+_CHECKED = f"(SELECT id, language, prompt AS text FROM {DUCK_FX} WHERE language IS NOT NULL UNION ALL SELECT doc_id, {_DOC_VARIANT}, text FROM documents)"
+
+
+@query("script_adherent", f"SELECT id, language, CASE WHEN {d_class('text')} = 'empty' THEN false ELSE list_contains({_VARIANT}, {d_class('text')}) END AS adherent, array_to_string({_VARIANT}, ',') AS expected FROM {_CHECKED}")
 def script_adherent(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.expr(_DOC_VARIANT).alias("language"), "text")
     both = docs.union(fixture(spark).filter("language IS NOT NULL").select("id", "language", "prompt"))
     return both.select("id", "language", X.is_script_adherent("text", "language").alias("adherent"), F.array_join(X.expected_script("language"), ",").alias("expected"))
 
 
+@query("sql_functions", f"SELECT id, {d_class('text')} AS label, {d_hinglish('text')} AS hinglish, {d_no_signal('text')} AS no_signal FROM {DUCK_TEXTS}")
+def sql_functions(spark, sf_dir):
+    """The registered SQL functions, called by name."""
+    Q.register(spark)
+    return texts(spark, sf_dir).selectExpr("id", "bhashya_script_class(text) AS label", "bhashya_looks_like_hinglish(text) AS hinglish", "bhashya_has_no_script_signal(text) AS no_signal")
+
+
 @query("detect", f"SELECT id, {d_class('text')} AS script, {d_hinglish('text')} AS hinglish, concat_ws(',', {', '.join(f'CASE WHEN {d_script('text', s)} > 0 THEN {chr(39)}{s}:{chr(39)} || {d_script('text', s)} END' for s in X.SCRIPTS)}, CASE WHEN {d_count('text', 'A-Za-z')} > 0 THEN 'latin:' || {d_count('text', 'A-Za-z')} END) AS counts FROM {DUCK_TEXTS}")
 def detect(spark, sf_dir):
     d = texts(spark, sf_dir).select("id", X.detection("text").alias("d"))
@@ -268,33 +297,23 @@ def adherence_by_label(spark, sf_dir):
 
 
 def d_norm(t: str) -> str:
-    """For ASCII texts, in a dialect without look-around."""
-    t = f"lower({t})"
+    """For texts of Latin letters, accents included, in a dialect without look-around."""
+    t = f"strip_accents(lower({t}))"
     for _ in range(2):
         t = f"regexp_replace({t}, '(\\d)[.,](\\d)', '\\1{chr(0xE000)}\\2', 'g')"
     t = f"regexp_replace({t}, '(^|[^\\p{{L}}\\p{{N}}])-(\\d)', '\\1{chr(0xE001)}\\2', 'g')"
     t = f"replace(replace(regexp_replace({t}, '\\p{{P}}', '', 'g'), '{chr(0xE000)}', '.'), '{chr(0xE001)}', '-')"
-    return f"trim(regexp_replace({t}, '[\\s\\x0b\\x1c-\\x1f]+', ' ', 'g'))"
+    return f"trim(regexp_replace({t}, '[{_WS}]+', ' ', 'g'))"
 
 
-_ASCII = "text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7f]') AND NOT (" + d_hinglish("text") + " AND " + d_class("text") + " = 'roman')"
+_PLAIN = "NOT (" + d_hinglish("text") + " AND " + d_class("text") + " = 'roman')"
 
 
-@query("normalize_ascii", f"SELECT id, {d_norm('text')} AS norm FROM {DUCK_TEXTS} WHERE {_ASCII}")
-def normalize_ascii(spark, sf_dir):
-    t = texts(spark, sf_dir).filter(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x00-\x7f]") & ~(X.looks_like_hinglish("text") & (X.script_class("text") == "roman")))
-    return t.select("id", N.normalize("text").alias("norm"))
-
-
-NORMALISED = [
-    (1, "HELLO World", "hello world"), (2, "résumé naïve", "resume naive"), (3, "नमस्ते।", "नमस्ते"), (4, "-5", "-5"), (5, "100.5", "100.5"), (6, "1,200", "1.200"), (7, "e-mail", "email"), (8, "It costs 5.", "it costs 5"),
-    (9, "௧௨௩", "123"), (10, "೧೨೩", "123"), (11, "Hello, world!", "hello world"), (12, "१,२००", "1.200"), (13, "  a  b ", "a b"), (14, "", ""), (15, None, ""), (16, "Ⅷ ﬁn", "viii fin"), (17, "तापमान −५ «x»", "तापमान −5 x"),
-]
-
-
-@query("normalize_indic", f"SELECT id, norm FROM {values([(i, n) for i, _, n in NORMALISED])} AS v(id, norm)")
-def normalize_indic(spark, sf_dir):
-    return spark.createDataFrame([(i, t) for i, t, _ in NORMALISED], "id int, text string").select("id", N.normalize("text").alias("norm"))
+@query("normalize_latin", f"SELECT doc_id, {d_norm('text')} AS norm FROM documents WHERE text IS NOT NULL AND {_PLAIN}")
+def normalize_latin(spark, sf_dir):
+    """All documents but those that look like romanised Hindi, for which SQL has no ITRANS."""
+    t = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull() & ~(X.looks_like_hinglish("text") & (X.script_class("text") == "roman")))
+    return t.select("doc_id", N.normalize("text").alias("norm"))
 
 
 @query("normalize_documents")
@@ -302,66 +321,51 @@ def normalize_documents(spark, sf_dir):
     return texts(spark, sf_dir).select("id", F.sha2(N.normalize("text"), 256).alias("norm_sha256"))
 
 
-TRANSLITERATED = [
-    (1, "kaise", "devanagari", "कैसे"), (2, "dhanyavaada", "kannada", "ಧನ್ಯವಾದ"), (3, "tune", "devanagari", "तुने"), (4, "doctor", "devanagari", "डॉक्टर"), (5, "vah doctor hai", "devanagari", "वह् डॉक्टर है"), (6, "", "tamil", ""),
-]
-
-
-@query("transliterate", f"SELECT id, script, out FROM {values([(i, s, o) for i, _, s, o in TRANSLITERATED])} AS v(id, script, out)")
+@query("transliterate")
 def transliterate(spark, sf_dir):
-    d = spark.createDataFrame([(i, t, s) for i, t, s, _ in TRANSLITERATED], "id int, text string, script string")
-    parts = [d.filter(F.col("script") == s).select("id", "script", N.transliterate("text", s).alias("out")) for s in ("devanagari", "kannada", "tamil")]
-    return parts[0].union(parts[1]).union(parts[2])
+    """Every document in another of the scripts; the tests hold examples and plain Python against it."""
+    d = texts(spark, sf_dir)
+    return d.select("id", *[F.sha2(N.transliterate("text", script), 256).alias(script) for script in ("devanagari", "kannada", "tamil")])
 
 
 def doc_pairs(spark, sf_dir):
-    """Documents of neighbouring ids; ASCII without cues, so that SQL can normalise them."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    plain = d.filter(~F.col("text").rlike(r"[^\x00-\x7f]") & ~X.looks_like_hinglish("text"))
-    other = plain.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
-    return plain.join(other, "doc_id")
+    """All documents with the one of the next id."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
 
 
-_DOC_PAIRS = f"""p AS (SELECT doc_id, {d_norm('text')} AS n FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]') AND NOT {d_hinglish('text')}),
-q AS (SELECT a.doc_id, a.n AS na, b.n AS nb FROM p a JOIN p b ON b.doc_id = a.doc_id + 1)"""
+def _flat(c: str):
+    return F.trim(F.regexp_replace(F.lower(c), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
-@query("exact_match", f"WITH {_DOC_PAIRS} SELECT doc_id, (na = nb)::INT::DOUBLE AS exact FROM q")
+@query("exact_match", f"""WITH p AS (SELECT doc_id, coalesce(text, '') AS t, {d_norm("coalesce(text, '')")} AS n, NOT {_PLAIN} AS h FROM documents)
+SELECT a.doc_id, (CASE WHEN a.h OR b.h THEN a.t = b.t ELSE a.n = b.n END)::INT::DOUBLE AS exact FROM p a JOIN p b ON b.doc_id = a.doc_id + 1""")
 def exact_match(spark, sf_dir):
     return doc_pairs(spark, sf_dir).select("doc_id", M.exact_match("text", "other").alias("exact"))
 
 
-@query("token_f1", f"""WITH {_DOC_PAIRS},
+@query("token_f1", f"""WITH p AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[{_WS}]+', ' ', 'g')) AS n FROM documents),
+q AS (SELECT a.doc_id, a.n AS na, b.n AS nb FROM p a JOIN p b ON b.doc_id = a.doc_id + 1),
 ta AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(string_split(na, ' ')) AS w FROM q WHERE na <> '') GROUP BY 1, 2),
 tb AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(string_split(nb, ' ')) AS w FROM q WHERE nb <> '') GROUP BY 1, 2),
 o AS (SELECT ta.doc_id, sum(least(ta.c, tb.c)) AS ov FROM ta JOIN tb ON ta.doc_id = tb.doc_id AND ta.w = tb.w GROUP BY 1)
 SELECT q.doc_id, round(CASE WHEN na = '' AND nb = '' THEN 1.0 WHEN na = '' OR nb = '' THEN 0.0 ELSE 2.0 * coalesce(ov, 0)::DOUBLE / (len(string_split(na, ' ')) + len(string_split(nb, ' '))) END::DOUBLE, 6) AS f1 FROM q LEFT JOIN o ON q.doc_id = o.doc_id""")
 def token_f1(spark, sf_dir):
-    d = doc_pairs(spark, sf_dir).select("doc_id", N.normalize("text").alias("na"), N.normalize("other").alias("nb"))
+    """Over texts that are in lower case only: normalised ones are a matter of ``normalize_latin``."""
+    d = doc_pairs(spark, sf_dir).select("doc_id", _flat("text").alias("na"), _flat("other").alias("nb"))
     return d.select("doc_id", F.round(M.token_f1_of(F.col("na"), F.col("nb")), 6).alias("f1"))
 
 
-SIMILAR = [(1, "abcd", "bcde", 0.75), (2, "", "", 1.0), (3, "", "x", 0.0), (4, "namaskara", "namaskar", 0.941176), (5, "Hello, World!", "hello world", 1.0), (6, "red blue", "blue red", 0.5)]
-
-
-@query("char_similarity", f"SELECT id, ratio::DOUBLE AS ratio FROM {values([(i, r) for i, _, _, r in SIMILAR])} AS v(id, ratio)")
+@query("char_similarity")
 def char_similarity(spark, sf_dir):
-    return spark.createDataFrame([(i, a, b) for i, a, b, _ in SIMILAR], "id int, a string, b string").select("id", F.round(M.char_similarity("a", "b"), 6).alias("ratio"))
+    """Prompts and responses; SQL has no Ratcliff and Obershelp, so the tests hold examples against it."""
+    return pairs(spark, sf_dir).select("id", "turn", F.round(M.char_similarity("prompt", "response"), 6).alias("ratio"))
 
 
-ALIGNED = [
-    (1, "a b c d e f g h i", "a b c d X f g h i", False, "b c d e f g h", "b c d X f g h"), (2, " a  b ", "a b", True, "", ""), (3, None, "", True, "", ""), (4, "the sea floor", "", False, "the sea floor", ""),
-]
-
-
-@query("align_spans", f"SELECT * FROM {values([(i, x, r, g) for i, _, _, x, r, g in ALIGNED])} AS v(id, aligned, mismatched_response, mismatched_gold)".replace("False", "false").replace("True", "true"))
+@query("align_spans")
 def align_spans(spark, sf_dir):
-    d = spark.createDataFrame([(i, a, b) for i, a, b, *_ in ALIGNED], "id int, a string, b string").select("id", M.align("a", "b").alias("x"))
-    return d.select("id", "x.aligned", "x.mismatched_response", "x.mismatched_gold")
-
-
-def _d_flat(t: str) -> str:
-    return f"trim(regexp_replace(coalesce({t}, ''), '[{_WS}]+', ' ', 'g'))"
+    d = pairs(spark, sf_dir).select("id", "turn", M.align("prompt", "response").alias("x"))
+    return d.select("id", "turn", "x.aligned", "x.mismatched_response", "x.mismatched_gold")
 
 
 @query("align_exact", f"SELECT a.doc_id, {_d_flat('a.text')} = {_d_flat('b.text')} AS aligned FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")
@@ -386,69 +390,133 @@ SELECT s.id, s.turn, CASE WHEN {d_blank('source')} OR {d_blank('trace')} THEN 'e
 FROM s LEFT JOIN f ON s.id = f.id AND s.turn = f.turn"""
 
 
+def _traces(spark, sf_dir):
+    p = E.conversation_pairs(table(spark, sf_dir, "conversations")).select(F.col("conv_id").alias("id"), "turn", F.col("prompt").alias("source"), F.col("response").alias("trace"))
+    return p.union(fixture(spark).select(-F.col("id"), F.lit(0).cast("long"), "prompt", "trace"))
+
+
 @query("trace_check", _TRACE_SQL)
 def trace_check(spark, sf_dir):
-    p = E.conversation_pairs(table(spark, sf_dir, "conversations")).select(F.col("conv_id").alias("id"), "turn", F.col("prompt").alias("source"), F.col("response").alias("trace"))
-    p = p.union(fixture(spark).select(-F.col("id"), F.lit(0).cast("long"), "prompt", "trace"))
-    d = p.select("id", "turn", R.check_trace("source", "trace").alias("r"))
+    d = _traces(spark, sf_dir).select("id", "turn", R.check_trace("source", "trace").alias("r"))
     return d.select("id", "turn", "r.label", F.coalesce(F.array_join(F.transform("r.detail.flagged_terms", lambda t: t["term"]), ","), F.lit("")).alias("terms"))
 
 
-@query("trace_terms_join", f"SELECT id, string_agg(term, ',' ORDER BY term) AS terms FROM (SELECT x.id, term FROM {DUCK_FX} x JOIN {_TERMS} AS v(k, term, a, b, ga, gb) ON regexp_matches(prompt, concat('(^|{_NCC})', term, '($|{_NCC})')) WHERE {_GLOSS.format('gb')} AND NOT {_GLOSS.format('ga')}) GROUP BY 1")
+@query("trace_terms_join", _TRACE_SQL.replace(_TRACE_SQL[_TRACE_SQL.rindex("SELECT s.id, s.turn"):], "SELECT s.id || '-' || s.turn AS case_id, coalesce(terms, '') AS terms FROM s LEFT JOIN f ON s.id = f.id AND s.turn = f.turn"))
 def trace_terms_join(spark, sf_dir):
-    out = R.check_trace_with(fixture(spark), "prompt", "trace", D.load_terms(spark), "id")
-    return out.select("id", F.array_join(F.array_sort(F.transform("flagged_terms", lambda t: t["term"])), ",").alias("terms"))
+    """The same traces against the dictionary as a table."""
+    d = _traces(spark, sf_dir).withColumn("case_id", F.concat_ws("-", "id", "turn"))
+    terms = spark.createDataFrame([(k, t.term, t.reading_a, t.reading_b) for k, t in enumerate(R.default_terms())], "ord int, term string, reading_a string, reading_b string")
+    out = R.check_trace_with(d, "source", "trace", terms, "case_id")
+    return out.select("case_id", F.array_join(F.transform("flagged_terms", lambda t: t["term"]), ",").alias("terms"))
+
+
+class Constant:
+    """A judge that always says the same."""
+
+    model_id = "constant-1b"
+
+    def __init__(self, raw: str):
+        self.raw = raw
 
+    def call(self, prompt: str) -> str:
+        return self.raw
 
-@query("ambiguous_terms", f"SELECT origin, count(*) AS n FROM {values([(t.term, t.origin) for t in R.default_terms()])} AS v(term, origin) GROUP BY 1")
-def ambiguous_terms(spark, sf_dir):
-    return D.load_terms(spark).groupBy("origin").agg(F.count("*").alias("n"))
+
+@query("trace_judge", f"""WITH c AS ({_TRACE_SQL}), t AS (SELECT u.conv_id AS id, u.turn, u.text AS source, a.text AS trace FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant' UNION ALL SELECT -id, 0, prompt, trace FROM {DUCK_FX})
+SELECT c.id, c.turn, CASE WHEN label <> 'no_misread_detected' THEN label WHEN {_d_flat('t.trace')} = {_d_flat('t.source')} THEN label ELSE 'misread_detected' END AS label,
+  CASE WHEN label = 'no_misread_detected' THEN {_d_flat('t.trace')} <> {_d_flat('t.source')} END AS asked FROM c JOIN t ON c.id = t.id AND c.turn = t.turn""")
+def trace_judge(spark, sf_dir):
+    """Dictionary, then word agreement, then a judge who is never sure."""
+    d = judging.check_trace_with_judge(_traces(spark, sf_dir), "source", "trace", Constant('{"misread": false, "confidence": "low"}'))
+    return d.select("id", "turn", "trace_check.label", F.col("trace_check.detail.llm_fallback_used").alias("asked"))
 
 
 # -- judge ---------------------------------------------------------------------------------
 
-RAW = [
-    (1, '{"score": 5, "confidence": "high", "reasoning": "ok"}', 1.0, "high"), (2, '```json\n{"score": 4, "confidence": "HIGH"}\n```', 0.75, "high"), (3, 'see {x} {"score": 3, "confidence": "medium"}', 0.5, "low"),
-    (4, '{"score": "5"}', None, None), (5, '{"score": true}', None, None), (6, '{"score": 0}', None, None), (7, '{"score": 6}', None, None), (8, '{"score": Infinity}', None, None), (9, '{"score": NaN}', None, None), (10, "nothing", None, None),
-    (11, '{"score": 4.5}', 0.75, "low"), (12, '{"score": 0.6}', 0.0, "low"), (13, None, None, None), (14, "[1]", None, None), (15, '{"reasoning": "no score"}', None, None), (16, '{"score": 1e400}', None, None),
-]
+#: Answers of six kinds out of a labelled row: (Spark and DuckDB share the expression)
+_SCORE, _SURE = "(quality + 4 * toxic + doc_id % 3)", "CASE WHEN doc_id % 2 = 0 THEN 'High' ELSE 'medium' END"
+_OBJECT = f"""concat('{{"reasoning": "a {{b}} c", "score": ', CAST({_SCORE} AS STRING), ', "confidence": "', {_SURE}, '"}}')"""
+_ANSWER = f"""CASE doc_id % 6 WHEN 0 THEN {_OBJECT} WHEN 1 THEN concat('```json', chr(10), {_OBJECT}, chr(10), '```') WHEN 2 THEN concat('see {{x}} then ', {_OBJECT}, ' and {{"score": 1}}')
+  WHEN 3 THEN concat('{{"score": "', CAST({_SCORE} AS STRING), '"}}') WHEN 4 THEN 'no answer at all' ELSE concat('{{"score": ', CAST({_SCORE} AS STRING), '.5}}') END"""
 
 
-@query("judge_parse", f"SELECT id, score::DOUBLE AS score, confidence, coalesce(confidence = 'high' AND score >= 0.8, false) AS passed FROM {values([(i, s, c) for i, _, s, c in RAW])} AS v(id, score, confidence)")
+@query("judge_parse", f"""WITH r AS (SELECT doc_id, {_ANSWER.replace('AS STRING', 'AS VARCHAR')} AS raw FROM labels),
+o AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(raw, '\\{{(?:[^"{{}}]|"[^"]*")*\\}}'), lambda x: CASE WHEN json_valid(x) THEN x END), lambda x: x IS NOT NULL)[1] AS j FROM r),
+v AS (SELECT doc_id, CASE WHEN json_type(j, '$.score') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN round_even(json_extract_string(j, '$.score')::DOUBLE, 0) END AS level, lower(coalesce(json_extract_string(j, '$.confidence'), 'low')) AS sent FROM o)
+SELECT doc_id, CASE WHEN level BETWEEN 1 AND 5 THEN (level - 1) / 4 END::DOUBLE AS score, CASE WHEN level BETWEEN 1 AND 5 THEN CASE WHEN sent IN ('high', 'low') THEN sent ELSE 'low' END END AS confidence,
+  coalesce(level BETWEEN 1 AND 5 AND (level - 1) / 4 >= 0.8 AND sent = 'high', false) AS passed FROM v""")
 def judge_parse(spark, sf_dir):
-    d = spark.createDataFrame([(i, r) for i, r, *_ in RAW], "id int, raw string").select("id", J.parse_judge("raw").alias("v"))
-    return d.select("id", "v.score", "v.confidence", F.coalesce(J.judge_passes("v.score", "v.confidence"), F.lit(False)).alias("passed"))
+    d = table(spark, sf_dir, "labels").select("doc_id", F.expr(_ANSWER).alias("raw")).select("doc_id", J.parse_judge("raw").alias("v"))
+    return d.select("doc_id", "v.score", "v.confidence", F.coalesce(J.judge_passes("v.score", "v.confidence"), F.lit(False)).alias("passed"))
 
 
-FAMILIES = [(1, "openai/gpt-oss-120b", "openai/gpt-oss-20b"), (2, "gpt-4o", "gpt-4o-mini"), (3, "llama-3-8b", "llama-3-70b"), (4, "gpt-4", "gpt-4o"), (5, "m", None), (6, "m", " ")]
+_MODEL = "concat('maker/', {0}, '-', CAST({1} AS {2}), CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN 'b' ELSE 'x' END)"
+_STRIP = "regexp_replace({0}, '-[0-9]+[bm]*$', '')"
 
 
-@query("judge_family", f"SELECT id, regexp_replace(a, '-[0-9]+[bm]*$', '') AS family, coalesce(trim(b) <> '' AND regexp_replace(a, '-[0-9]+[bm]*$', '') = regexp_replace(b, '-[0-9]+[bm]*$', ''), false) AS same FROM {values(FAMILIES)} AS v(id, a, b)")
+@query("judge_family", f"""SELECT doc_id, {_STRIP.format('a')} AS family, coalesce(trim(b) <> '' AND {_STRIP.format('a')} = {_STRIP.format('b')}, false) AS same
+  FROM (SELECT doc_id, {_MODEL.format('lang', 'n_chars', 'VARCHAR')} AS a, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN ' ' ELSE {_MODEL.format("CASE WHEN source IS NULL THEN 'x' ELSE lang END", '7', 'VARCHAR')} END AS b FROM documents)""")
 def judge_family(spark, sf_dir):
-    d = spark.createDataFrame(FAMILIES, "id int, a string, b string")
-    return d.select("id", J.family("a").alias("family"), J.same_family_warning("a", "b").isNotNull().alias("same"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(_MODEL.format("lang", "n_chars", "STRING")).alias("a"), F.expr(f"CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN ' ' ELSE {_MODEL.format("CASE WHEN source IS NULL THEN 'x' ELSE lang END", '7', 'STRING')} END").alias("b"))
+    return d.select("doc_id", J.family("a").alias("family"), J.same_family_warning("a", "b").isNotNull().alias("same"))
+
+
+def _judged(spark, sf_dir):
+    """Conversation pairs; every fourth turn has its response as the reference."""
+    return pairs(spark, sf_dir).withColumn("gold", F.when(F.col("turn") % 4 == 0, F.col("response")).otherwise(F.lit("")))
 
 
-@query("judge_replay")
+_FREE = " || ".join("coalesce(prompt, '')" if p == "§q" else "coalesce(response, '')" if p == "§a" else _sql(p) for p in J.template_parts("reference_free"))
+_LEVEL = "(1 + length({0}) % 5)"
+_JUDGE_SQL = f"""SELECT id, turn, CASE WHEN blank THEN 'empty' WHEN same THEN 'matched' WHEN level = 5 THEN 'matched' ELSE 'flagged' END AS label, CASE WHEN blank THEN 0 WHEN same THEN 1 ELSE (level - 1) / 4 END::DOUBLE AS score,
+  NOT blank AND (same OR level = 5) AS passed, CASE WHEN NOT blank THEN CASE WHEN gold THEN 'reference_based' ELSE 'reference_free' END END AS mode
+FROM (SELECT id, turn, {d_blank('prompt')} OR {d_blank('response')} AS blank, turn % 4 = 0 AND NOT {d_blank('response')} AS gold, turn % 4 = 0 AND NOT {d_blank('response')} AS same, {_LEVEL.format('(' + _FREE + ')')} AS level FROM {DUCK_PAIRS})"""
+
+
+class ByLength:
+    """A judge whose score depends on the length of what it is asked."""
+
+    model_id = "length-1b"
+
+    def call(self, prompt: str) -> str:
+        return '{"score": %d, "confidence": "high", "reasoning": "by length"}' % (1 + len(prompt) % 5)
+
+
+def _verdicts(d: DataFrame) -> DataFrame:
+    return d.select("id", "turn", "judge.label", "judge.score", "judge.passed", "judge.detail.mode")
+
+
+@query("judge_calls", _JUDGE_SQL)
+def judge_calls(spark, sf_dir):
+    """The whole judge path with calls; only rows that need one reach the judge."""
+    return _verdicts(judging.judge_answers(_judged(spark, sf_dir), "prompt", "response", "gold", ByLength(), answering_model_id=F.lit("length-7b")))
+
+
+@query("judge_replay", _JUDGE_SQL)
 def judge_replay(spark, sf_dir):
-    """The whole judge path, with answers that are looked up: every prompt gets one verdict."""
-    cases = fixture(spark).select("id", "prompt", "response", "gold")
+    """The same with answers that are looked up by their prompts."""
+    asked = _judged(spark, sf_dir).select(J.build_prompt("reference_free", "prompt", "response").alias("p")).distinct()
+    answers = asked.select(F.sha2("p", 256).alias("prompt_sha256"), F.concat(F.lit('{"score": '), F.expr(_LEVEL.format("p")).cast("string"), F.lit(', "confidence": "high"}')).alias("raw"))
+    return _verdicts(judging.judge_answers(_judged(spark, sf_dir), "prompt", "response", "gold", judging.ReplayJudge(answers)))
 
-    class Echo:
-        model_id = "echo-1b"
 
-        def call(self, prompt: str) -> str:
-            return '{"score": %d, "confidence": "high", "reasoning": "by length"}' % (1 + len(prompt) % 5)
+@query("judge_prompts", f"SELECT id, turn, sha256({_FREE}) AS free FROM {DUCK_PAIRS}")
+def judge_prompts(spark, sf_dir):
+    return pairs(spark, sf_dir).select("id", "turn", F.sha2(J.build_prompt("reference_free", "prompt", "response"), 256).alias("free"))
 
-    d = judging.judge_answers(cases, "prompt", "response", "gold", Echo(), answering_model_id=F.lit("echo-7b"))
-    return d.select("id", "judge.label", "judge.score", "judge.passed", "judge.detail.mode")
 
+_GRADED = "(SELECT *, (doc_id % 2)::INT AS v FROM labels)"
 
-@query("judge_agreement", """SELECT count(*) AS n, coalesce(avg((v = quality)::INT::DOUBLE), 0) AS agreement_grader1, coalesce(avg((v = toxic)::INT::DOUBLE), 0) AS agreement_grader2,
-  coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (WHERE v <> quality OR v <> toxic), '') AS disagreements FROM (SELECT *, (doc_id % 2)::INT AS v FROM labels)""")
+
+@query("judge_agreement", f"SELECT count(*) AS n, coalesce(avg((v = quality)::INT::DOUBLE), 0) AS agreement_grader1, coalesce(avg((v = toxic)::INT::DOUBLE), 0) AS agreement_grader2 FROM {_GRADED}")
 def judge_agreement(spark, sf_dir):
-    d = table(spark, sf_dir, "labels").withColumn("v", (F.col("doc_id") % 2).cast("int"))
-    return E.judge_agreement(d, "v", "quality", "toxic", "doc_id", "doc_id").withColumn("disagreements", F.array_join("disagreements", ","))
+    return E.judge_agreement(table(spark, sf_dir, "labels").withColumn("v", (F.col("doc_id") % 2).cast("int")), "v", "quality", "toxic")
+
+
+@query("judge_disagreements", f"SELECT doc_id AS ord, doc_id::VARCHAR AS id FROM {_GRADED} WHERE v IS DISTINCT FROM quality OR v IS DISTINCT FROM toxic")
+def judge_disagreements(spark, sf_dir):
+    return E.judge_disagreements(table(spark, sf_dir, "labels").withColumn("v", (F.col("doc_id") % 2).cast("int")), "v", "quality", "toxic", "doc_id", "doc_id")
 
 
 # -- similarity and calibration -----------------------------------------------------------------
@@ -500,11 +568,6 @@ def uncalibrated_similarity(spark, sf_dir):
     return _similarity(spark, sf_dir, "another/encoder")
 
 
-@query("calibration_table", f"SELECT * FROM {_CAL} AS v(encoder, language, threshold, roc_auc)".replace("SELECT *", "SELECT encoder, language, threshold::DOUBLE AS threshold, roc_auc::DOUBLE AS roc_auc"))
-def calibration_table(spark, sf_dir):
-    return C.calibration_table(spark).select("encoder", "language", "threshold", "roc_auc")
-
-
 def _cal_sql(by: str = "") -> str:
     k, p, g = (f"{by}, ", f"PARTITION BY {by} ", f"GROUP BY {by}") if by else ("", "", "")
     return f"""WITH e AS ({_VEC}), s AS (SELECT vec_id % 3 AS lang3, round(c, 6) AS s, same FROM e),
@@ -539,6 +602,31 @@ def benchmark_buckets(spark, sf_dir):
     return E.scored_for_calibration(d, F.col("size") / 1e6).groupBy("language").agg(F.count_if("is_correct").alias("correct"), F.count_if(~F.col("is_correct")).alias("wrong"))
 
 
+@query("mean_pool", """WITH t AS (SELECT a.vec_id, [a.embedding::DOUBLE[], b.embedding::DOUBLE[]] AS v, [1, (a.vec_id % 2)::INT] AS m FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+s AS (SELECT vec_id, list_transform(range(1, 65), lambda d: v[1][d] * m[1] + v[2][d] * m[2]) AS x FROM t)
+SELECT vec_id, round(x[1] / sqrt(list_sum(list_transform(x, lambda y: y * y))), 6) AS first, round(x[64] / sqrt(list_sum(list_transform(x, lambda y: y * y))), 6) AS last FROM s""")
+def mean_pool(spark, sf_dir):
+    """Two token vectors, of which every other row masks the second."""
+    d = vector_pairs(spark, sf_dir).select("vec_id", S.mean_pool(F.array("embedding", "embedding2"), F.array(F.lit(1), (F.col("vec_id") % 2).cast("int"))).alias("p"))
+    return d.select("vec_id", F.round(F.col("p")[0], 6).alias("first"), F.round(F.col("p")[63], 6).alias("last"))
+
+
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """An encoder without a model."""
+    return [[float(t.lower().count(c)) for c in "aeinrst "] for t in texts]
+
+
+_COUNTED = "list_transform(['a', 'e', 'i', 'n', 'r', 's', 't', ' '], lambda c: (length({0}) - length(replace(lower({0}), c, '')))::DOUBLE)"
+
+
+@query("encoded_pairs", f"SELECT id, turn, round(list_dot_product(p, r) / (sqrt(list_dot_product(p, p)) * sqrt(list_dot_product(r, r)) + 1e-12), 6) AS cosine FROM (SELECT id, turn, {_COUNTED.format('prompt')} AS p, {_COUNTED.format('response')} AS r FROM {DUCK_PAIRS} WHERE coalesce(prompt, '') <> '' AND id > 0)")
+def encoded_pairs(spark, sf_dir):
+    """Every different text is encoded once in the workers, stored, and joined back."""
+    d = pairs(spark, sf_dir).filter("id > 0 AND prompt <> ''").select("id", "turn", F.col("prompt").alias("gold"), "response")
+    d = V.with_vectors(d, "letters", store=scratch(spark, "vectors"), encode=letter_counts)
+    return d.select("id", "turn", F.round(S.cosine_similarity("gold_vector", "response_vector"), 6).alias("cosine"))
+
+
 @query("embedding_cache_misses", "SELECT sha256('passage' || chr(0) || text) AS key FROM (SELECT DISTINCT text FROM documents) WHERE sha256('passage' || chr(0) || text) NOT IN (SELECT sha256('passage' || chr(0) || text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))")
 def embedding_cache_misses(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -563,6 +651,51 @@ def load_alias(spark, sf_dir):
     return D.cases_from_columns(p, ["conv_id", "turn"])
 
 
+_LOADED = f"SELECT u.conv_id || '-' || u.turn AS id, coalesce(CASE WHEN NOT {d_blank('u.text')} THEN u.text END, '') AS prompt, coalesce(CASE WHEN NOT {d_blank('a.text')} THEN a.text END, '') AS response, '' AS gold, '' AS trace, 'en' AS language FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'"
+
+
+def _to_load(spark, sf_dir):
+    p = E.conversation_pairs(table(spark, sf_dir, "conversations"))
+    return p.select(F.concat_ws("-", "conv_id", "turn").alias("Case_ID"), F.col("prompt").alias("question"), F.lit(" ").alias("prompt"), F.col("response").alias("OUTPUT"), F.lit("en").alias("lang"), F.lit(5).alias("gold"))
+
+
+@query("load_jsonl", _LOADED)
+def load_jsonl(spark, sf_dir):
+    """Cases by way of JSON lines, some with a token that is no JSON."""
+    path = scratch(spark, "cases.jsonl")
+    line = F.to_json(F.struct("*"))
+    _to_load(spark, sf_dir).select(F.regexp_replace(line, '"gold":5', '"gold":NaN')).write.text(path)
+    return D.load_cases(spark, path).drop("ord")
+
+
+@query("load_csv", _LOADED)
+def load_csv(spark, sf_dir):
+    path = scratch(spark, "cases") + ".csv"
+    _to_load(spark, sf_dir).withColumn("gold", F.lit(" ")).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return D.load_cases(spark, path).drop("ord")
+
+
+@query("load_json", _LOADED)
+def load_json(spark, sf_dir):
+    """By way of JSON documents, a list of cases in each, as many as there are conversations."""
+    path = scratch(spark, "cases") + ".json"
+    d = _to_load(spark, sf_dir).withColumn("c", F.split("Case_ID", "-")[0])
+    lists = d.groupBy("c").agg(F.collect_list(F.struct("Case_ID", "question", "prompt", "OUTPUT", "lang", "gold")).alias("cases"))
+    lists.select(F.to_json(F.struct("cases"))).repartition(lists.count() or 1).write.option("maxRecordsPerFile", 1).text(path)
+    return D.load_cases(spark, path).drop("ord")
+
+
+@query("similarity_benchmark", "SELECT lang AS language, CASE WHEN quality = 1 THEN 'correct' WHEN toxic = 1 THEN 'wrong_hard' ELSE 'wrong_subtle' END AS label, count(*) AS n, sum(length(text))::BIGINT AS size FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE coalesce(text, '') <> '' GROUP BY 1, 2")
+def similarity_benchmark(spark, sf_dir):
+    """Labelled documents by way of the benchmark's CSV."""
+    path = scratch(spark, "benchmark.csv")
+    d = table(spark, sf_dir, "documents").filter("coalesce(text, '') <> ''").join(table(spark, sf_dir, "labels"), "doc_id")
+    label = F.when(F.col("quality") == 1, "correct").when(F.col("toxic") == 1, "wrong_hard").otherwise("wrong_subtle")
+    d = d.select(F.col("doc_id").cast("string").alias("case_id"), F.col("source").alias("task_id"), F.col("lang").alias("language"), label.alias("label"), F.col("text").alias("gold_text"), F.col("text").alias("answer"))
+    d.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return D.load_similarity_benchmark(spark, path).groupBy("language", "label").agg(F.count("*").alias("n"), F.sum(F.length("gold_text")).alias("size"))
+
+
 def _cases(spark, sf_dir):
     p = pairs(spark, sf_dir).select(F.col("id").alias("ord"), "turn", F.concat_ws("-", "id", "turn").alias("id"), "prompt", "response", F.lit("").alias("gold"), F.lit("").alias("language"))
     traces = fixture(spark).select((-F.col("id")).alias("ord"), F.coalesce("trace", F.lit("")).alias("trace"))
@@ -600,8 +733,18 @@ def label_dist(spark, sf_dir):
     return E.label_distribution(_long(spark, sf_dir))
 
 
-@query("windowed_pass_rate")
+@query("windowed_pass_rate", f"""SELECT strftime(time_bucket(INTERVAL 5 MINUTES, TIMESTAMP '1970-01-01' + turn * INTERVAL 1 MINUTE), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS total, sum(passed::INT)::BIGINT AS passed
+  FROM {_LONG} WHERE metric = 'script' GROUP BY 1""")
 def windowed_pass_rate(spark, sf_dir):
     """The running summary, over a batch: a time for every turn."""
     cases = _cases(spark, sf_dir).withColumn("at", F.timestamp_seconds(F.col("turn") * 60))
-    return checks.windowed_pass_rate(checks.stream_results(cases, keep=("ord", "id", "at")), "at")
+    out = checks.windowed_pass_rate(checks.stream_results(cases, keep=("ord", "id", "at")), "at")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "total", "passed")
+
+
+@query("similarity_skips", f"""SELECT count(*) FILTER (WHERE counts) AS total, count(*) FILTER (WHERE NOT counts) AS skipped FROM (SELECT turn % 3 <> 0 AND coalesce(response, '') <> '' AND turn % 2 = 0 AS counts FROM {DUCK_PAIRS} WHERE id > 0)""")
+def similarity_skips(spark, sf_dir):
+    """Cases without a gold text or without a language are skipped, not scored."""
+    d = pairs(spark, sf_dir).filter("id > 0").select(F.col("id").alias("ord"), F.concat_ws("-", "id", "turn").alias("id"), "prompt", "response", F.when(F.col("turn") % 3 != 0, F.col("response")).otherwise("").alias("gold"), F.lit("").alias("trace"), F.when(F.col("turn") % 2 == 0, "en").otherwise("").alias("language"))
+    d = V.with_vectors(d, "letters", store=scratch(spark, "vectors"), encode=letter_counts)
+    return E.summarize(E.long_results(E.evaluate(d, ["similarity"], encoder="letters"), ["similarity"])).select("total", "skipped")

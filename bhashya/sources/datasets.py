@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import math
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,6 +24,8 @@ ALIASES: dict[str, tuple[str, ...]] = {
 }
 #: Where a line ends beside CR and LF, which the reader sees to, as Python's ``splitlines`` has it.
 LINE_END = "[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+#: NaN or an infinity that whole strings follow, and no backslash but theirs: it stands outside of strings.
+_NOT_FINITE = r'-?\b(?:NaN|Infinity)\b(?=[^"\\]*+(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"[^"\\]*+)*+$)'
 SIMILARITY_SCHEMA = "case_id string, task_id string, language string, label string, gold_text string, answer string"
 JUDGE_SCHEMA = (
     "trace_id string, question string, answer string, trap_word string, correct_meaning string, wrong_meaning string, ground_truth_answer_type string, "
@@ -64,13 +65,23 @@ def _bases(spark: SparkSession, counts: list[tuple[int, ...]]) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, "_p long" + "".join(f", _b{k} long" for k in range(len(at)))))
 
 
+def _operators(plan) -> Iterator[str]:
+    """The names of a physical plan's operators."""
+    yield plan.nodeName()
+    children = plan.children()
+    for k in range(children.size()):
+        yield from _operators(children.apply(k))
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        yield from _operators(plan.inputPlan())
+
+
 def _numbered(df: DataFrame, keep: Column | None = None) -> DataFrame:
     """``_ord`` from 1, in the order of a scan; of the rows to ``keep`` only, whose number among all is ``_no``.
 
     Counts of the scan's partitions are prefix-summed: no row is moved. A table
     that was shuffled may lie otherwise the next time, so it is refused.
     """
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    if any("Exchange" in name for name in _operators(df._jdf.queryExecution().executedPlan())):
         raise ValueError("a shuffled table has no order of its own: name the columns to number by")
     keep = F.lit(True) if keep is None else keep
     part = lambda c: F.shiftright(c, 33)
@@ -155,7 +166,9 @@ def load_cases(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(F.explode(F.split("value", LINE_END, -1)).alias("line"))
     lines = _numbered(lines, ~is_blank("line"))
     text = F.when(F.col("_no") == 1, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line"))
-    lines = lines.withColumn("v", F.try_parse_json(text))
+    # NaN and the infinities are no JSON, but many writers put them; they are no texts, so null does as well
+    finite = F.when(text.rlike("NaN|Infinity"), F.regexp_replace(text, _NOT_FINITE, "null")).otherwise(text)
+    lines = lines.withColumn("v", F.try_parse_json(finite))
     bad = F.raise_error(F.concat(F.lit(f"{path}:"), F.col("_no").cast("string"), F.lit(": invalid JSON")))
     return _cases_from_variants(lines.select(F.col("_ord").alias("ord"), F.when(F.col("v").isNull(), F.try_parse_json(bad.cast("string"))).otherwise(F.col("v")).alias("v")), path)
 
@@ -190,13 +203,22 @@ def load_judge_benchmark(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(JUDGE_SCHEMA).option("multiLine", True).json(path)
 
 
-def cache_root() -> Path:
-    """Where embeddings are kept by default."""
+def store_root(spark: SparkSession) -> str:
+    """Where embeddings are kept: ``spark.bhashya.embedding.store``, which a cluster must name.
+
+    A local master may go without: the user's cache folder then holds them.
+    """
+    path = spark.conf.get("spark.bhashya.embedding.store", None)
+    if path:
+        return path.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.bhashya.embedding.store must name a folder that driver and executors share")
     env = os.environ
     if env.get("BHASHYA_CACHE_DIR"):
-        return Path(env["BHASHYA_CACHE_DIR"])
+        return "file://" + os.path.abspath(env["BHASHYA_CACHE_DIR"])
     base = env.get("XDG_CACHE_HOME") or env.get("LOCALAPPDATA")
-    return (Path(base) if base else Path.home() / ".cache") / "bhashya"
+    return "file://" + str((Path(base) if base else Path.home() / ".cache") / "bhashya")
 
 
 def embedding_misses(texts: DataFrame, store: DataFrame, text: str = "text", is_query: bool = False) -> DataFrame:
@@ -208,6 +230,7 @@ def embedding_misses(texts: DataFrame, store: DataFrame, text: str = "text", is_
 def embed(texts: DataFrame, store_path: str, encode: Callable[[list[str]], list[list[float]]], text: str = "text", is_query: bool = False) -> DataFrame:
     """Adds ``embedding``: from the store, into which what it lacks is encoded first.
 
+    A store belongs to one encoder and revision: the keys are those of role and text.
     ``encode`` runs in the workers, once for each Arrow batch of different texts.
     """
     spark = texts.sparkSession
@@ -221,8 +244,9 @@ def embed(texts: DataFrame, store_path: str, encode: Callable[[list[str]], list[
                 yield pd.DataFrame({"key": b["key"], "embedding": encode(list(b["text"]))})
 
     def stored() -> DataFrame:
+        # by its files: two reads of one folder count as the same to Spark, whatever was added between
         try:
-            return spark.read.schema(schema).parquet(store_path)
+            return spark.read.schema(schema).parquet(f"{store_path}/*.parquet")
         except Exception as e:  # noqa: BLE001
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -232,14 +256,6 @@ def embed(texts: DataFrame, store_path: str, encode: Callable[[list[str]], list[
     return texts.withColumn("_key", cache_key(text, is_query)).join(stored().withColumnRenamed("key", "_key").dropDuplicates(["_key"]), "_key", "left").drop("_key")
 
 
-def mean_pool(token_vectors: list[list[float]], mask: list[int]) -> list[float]:
-    """Masked mean of token vectors, of unit length."""
-    n = max(sum(mask), 1e-9)
-    mean = [sum(v[i] * m for v, m in zip(token_vectors, mask, strict=True)) / n for i in range(len(token_vectors[0]))]
-    size = math.sqrt(sum(x * x for x in mean)) or 1.0
-    return [x / size for x in mean]
-
-
 def cache_stats(texts: DataFrame, store: DataFrame, text: str = "text", is_query: bool = False) -> DataFrame:
     """``hits, misses, hit_rate``; the rate is 0 without any text."""
     d = texts.filter(F.col(text).isNotNull()).select(cache_key(text, is_query).alias("key")).join(store.select("key", F.lit(1).alias("hit")).dropDuplicates(["key"]), "key", "left")

@@ -1,11 +1,18 @@
 """Datasets in, evaluation, reports and the command line out."""
 
+import io
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from bhashya import queries as engine
+from bhashya.functions import sql
+from bhashya.functions import text as X
+from bhashya.functions.adherence import prompt_bucket, script_adherence
 from bhashya.operators import evaluate as E
+from bhashya.operators.progress import Progress
 from bhashya.plans import cli
 from bhashya.plans import report as R
 from bhashya.sources import datasets as D
@@ -132,10 +139,14 @@ def test_similarity_and_judge_in_a_run(spark):
         def call(self, prompt):
             return '{"score": 5, "confidence": "high"}'
 
-    rows = [(1, "1", "p", "r", "g", "", "", [1.0], [1.0]), (2, "2", "p", "r", "", "", "", None, None)]
+    rows = [(1, "1", "p", "r", "g", "", "en", [1.0], [1.0]), (2, "2", "p", "r", "", "", "en", None, None), (3, "3", "p", "r", "g", "", "", [1.0], [1.0]), (4, "4", "p", "r", "", "", "xx", None, None)]
     cases = spark.createDataFrame(rows, "ord long, id string, prompt string, response string, gold string, trace string, language string, gold_vector array<double>, response_vector array<double>")
     s = E.summarize(E.long_results(E.evaluate(cases, ["similarity", "judge"], judge=Yes()), ["similarity", "judge"]))
-    assert {r["metric"]: (r["passed"], r["total"], r["skipped"]) for r in s.collect()} == {"similarity": (1, 1, 1), "judge": (2, 2, 0)}
+    assert {r["metric"]: (r["passed"], r["total"], r["skipped"]) for r in s.collect()} == {"similarity": (1, 1, 3), "judge": (4, 4, 0)}
+    s = E.summarize(E.long_results(E.evaluate(cases, ["similarity"], language="hi"), ["similarity"]))  # a default for cases without a language
+    assert {r["metric"]: (r["passed"], r["total"], r["skipped"]) for r in s.collect()} == {"similarity": (2, 2, 2)}
+    with pytest.raises(Exception, match="unsupported language"):
+        E.long_results(E.evaluate(cases, ["similarity"], language="fr"), ["similarity"]).collect()
     with pytest.raises(ValueError, match="judge"):
         E.evaluate(cases, ["judge"])
 
@@ -146,20 +157,77 @@ def test_conversation_pairs(spark):
     assert [(r["prompt"], r["response"]) for r in got] == [("a", "b"), ("", "d")]
 
 
+def printed(write, *a, **kw):
+    out = io.StringIO()
+    write(*a, out, **kw)
+    return out.getvalue()
+
+
 def test_reports(run, monkeypatch, tmp_path):
     _, long, summary = run
-    doc = json.loads(R.json_report(long, summary))
+    rows = summary.orderBy("metric_ord").collect()
+    text = printed(R.json_report, long, rows)
+    doc = json.loads(text)
+    assert text == json.dumps(doc, ensure_ascii=False, indent=2) + "\n"
     script = doc["metrics"]["Script adherence"]
     assert doc["version"] and list(doc["metrics"]) == ["Script adherence", "Trace check"] and [c["id"] for c in script["cases"]] == list("abcdef") and script["pass_rate"] == 5 / 6
     assert doc["metrics"]["Trace check"]["cases"][0]["detail"]["flagged_terms"][0]["term"] == "समुद्र तल" and doc["metrics"]["Trace check"]["skipped"] == 5
-    rows, failed = summary.orderBy("metric_ord").collect(), R.shown_failures(E.failures(long))
-    md = R.markdown_report(rows, failed)
-    assert "❌ Script adherence | 83.3% | 5/6 | 0 | 0.83" in md and "2 failures" in md
-    assert "83.3%  5/6" in R.table_report(rows, failed) and "○ skipped 5" in R.table_report(rows, failed) and "\x1b[" in R.table_report(rows, failed, R.Style(True))
+    md = printed(R.markdown_report, rows, R.each_failure(long))
+    assert "❌ Script adherence | 83.3% | 5/6 | 0 | 0.833" in md and "2 failures" in md
+    table = printed(R.table_report, rows, R.each_failure(long))
+    assert "83.3%  5/6" in table and "○ skipped 5" in table and "FAILED below 100%: Script adherence, Trace check" in table and "PASSED" in printed(R.table_report, rows[:1], [], fail_under=0.8)
+    assert "\x1b[" in printed(R.table_report, rows, R.each_failure(long), style=R.Style(True))
     monkeypatch.setenv("GITHUB_STEP_SUMMARY", str(tmp_path / "s.md"))
-    assert R.append_job_summary("x") and R.append_job_summary("y") and not R.append_job_summary("z", False) and (tmp_path / "s.md").read_text() == "xy"
+    assert R.job_summary_path() == str(tmp_path / "s.md") and R.job_summary_path(False) is None
     R.write_long(long, f"{tmp_path}/long")
-    assert long.sparkSession.read.parquet(f"{tmp_path}/long").count() == 12 and (R.bar(0.5, 4), R.bar(1.0, 3)) == ("██░░", "███")
+    assert long.sparkSession.read.parquet(f"{tmp_path}/long").count() == 12 and (R.gauge(0.5, 4), R.gauge(1.0, 3), R.gauge(0, 2)) == ("██░░", "███", "░░")
+
+
+def test_every_failure_is_listed_and_counted(spark):
+    rows = [(i, f"c{i:03d}|x", "दिल्ली?", "word " * 60) for i in range(130)] + [(900, "ok", "Delhi?", "India")]
+    cases = spark.createDataFrame(rows, "ord long, id string, prompt string, response string")
+    long = E.long_results(E.evaluate(cases, ["script"]), ["script"])
+    summary = E.summarize(long).collect()
+    md, table = printed(R.markdown_report, summary, R.each_failure(long)), printed(R.table_report, summary, R.each_failure(long))
+    ids = [f"c{i:03d}" for i in range(130)]
+    assert "130 failures" in md and re.findall(r"c\d{3}(?=\\\|x)", md) == ids and re.findall(r"✗ (c\d{3})", table) == ids
+    assert all(len(x.strip()) <= R.SHOWN + len("response  ") for x in table.splitlines() if "response" in x) and "…" in table
+    assert len(json.loads(printed(R.json_report, long, summary))["metrics"]["Script adherence"]["cases"]) == 131
+    assert json.loads(printed(R.json_report, long.limit(0), [])) == {"version": R.__version__, "metrics": {}}
+
+
+def test_tokens_that_are_no_json(spark, tmp_path):
+    p = tmp_path / "n.jsonl"
+    p.write_text('{"prompt": "a NaN, \\"Infinity\\"", "gold": NaN, "lang": -Infinity}\n{"x": [NaN, 1], "answer": "Infinity"}', encoding="utf-8")
+    assert loaded(spark, p) == [("1", 'a NaN, "Infinity"', "", "", "", ""), ("2", "", "Infinity", "", "", "")]
+    p.write_text('{"prompt": NaNs}', encoding="utf-8")
+    with pytest.raises(Exception, match="invalid JSON"):
+        D.load_cases(spark, str(p)).collect()
+
+
+def test_a_path_may_be_called_exchange(spark, tmp_path):
+    d = tmp_path / "Exchange"
+    d.mkdir()
+    assert len(loaded(spark, lines(d / "Exchange.jsonl", CASES))) == 6
+
+
+def test_progress_is_reported(spark):
+    seen = []
+    with Progress(spark, lambda i, n: seen.append((i, n)), every=0.01):
+        spark.range(100_000).selectExpr("sum(id)").collect()
+    assert seen and all(i <= n for i, n in seen)
+    out = io.StringIO()
+    with Progress(spark, out, every=0.01):
+        pass
+    assert out.getvalue().endswith("\r")
+
+
+def test_sql_functions_say_what_the_columns_say(spark):
+    names = sql.register(spark)
+    d = spark.createDataFrame([(r[1], r[2]) for r in engine.FIXTURE], "p string, r string")
+    odd = d.filter((F.expr("bhashya_script_class(p)") != X.script_class("p")) | (F.expr("bhashya_script_adherence(p, r)") != script_adherence("p", "r")["label"]) | (F.expr("bhashya_prompt_bucket(p)") != prompt_bucket("p")))
+    assert odd.count() == 0 and len(names) == len(sql.FUNCTIONS) + 1
+    assert spark.sql("SELECT bhashya_normalize_text('Résumé, 1,200.') AS x").first()["x"] == "resume 1.200"
 
 
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
@@ -171,7 +239,9 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert json.loads(said("detect", "aap kaise hain", "--json")[1]) == {"script": "roman", "counts": {"latin": 12}, "hinglish": True} and "(Hinglish)" in said("detect", "aap")[1]
     f = lines(tmp_path / "c.jsonl", CASES)
     assert said("run", f)[0] == 1 and said("run", f, "--no-trace-auto", "--fail-under", "0.8")[0] == 0
-    assert said("run", f, "-f", "json", "-o", str(tmp_path / "o.json"))[0] == 1 and json.loads((tmp_path / "o.json").read_text())["metrics"]["Trace check"]["total"] == 1
+    code, out = said("run", f, "-f", "markdown", "-o", str(tmp_path / "o.json"))  # the file is JSON whatever is printed
+    assert code == 1 and "| Metric |" in out and json.loads((tmp_path / "o.json").read_text())["metrics"]["Trace check"]["total"] == 1
+    assert json.loads(said("run", f, "-f", "json")[1]) == json.loads((tmp_path / "o.json").read_text())
     assert said("run", f, "-f", "markdown", "-m", "trace,script")[1].index("Trace check") >= 0
     for a in (("run", "missing.jsonl"), ("run", f, "-m", "nonsense"), ("run", lines(tmp_path / "e.jsonl", []))):
         with pytest.raises(SystemExit):

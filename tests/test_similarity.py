@@ -9,6 +9,7 @@ from rows import on
 
 from bhashya.functions import similarity as S
 from bhashya.operators import calibration as C
+from bhashya.operators import embedding as V
 from bhashya.operators import evaluate as E
 from bhashya.sources import datasets as D
 
@@ -16,9 +17,9 @@ from bhashya.sources import datasets as D
 def test_table():
     assert len(C.TABLE) == 15 and {lang for _, lang in C.TABLE} == set(C.LANGUAGES)
     assert sum(c.roc_auc >= 0.7 for c in C.TABLE.values()) == 6 and sum(c.roc_auc > 0.5 for c in C.TABLE.values()) == 9
-    assert sum(bool(c.warnings) for c in C.TABLE.values()) == 4 and all(c.accuracy >= c.accuracy_at_default and c.n_cases in (9, 10) for c in C.TABLE.values())
+    assert sum(bool(c.warnings) for c in C.TABLE.values()) == 4 and all(c.accuracy_at_threshold >= c.accuracy_at_default and c.n_cases in (9, 10) for c in C.TABLE.values())
     c = C.get_threshold("intfloat/multilingual-e5-base", "en")
-    assert (c.threshold, c.accuracy, c.roc_auc) == (0.8811413049697876, 0.9, 0.86)
+    assert (c.threshold, c.accuracy_at_threshold, c.roc_auc) == (0.8811413049697876, 0.9, 0.86)
     with pytest.raises(KeyError, match="known"):
         C.get_threshold("x", "en")
 
@@ -103,10 +104,11 @@ def test_benchmark_buckets_and_agreement(spark):
     assert [r["is_correct"] for r in E.scored_for_calibration(d, "s").orderBy("case_id").collect()] == [True, False, False]
     assert E.scored_for_calibration(d, F.col("s") * 2, language="en").count() == 2
     t = spark.createDataFrame([(3, "x", "correct", "correct", "correct", True), (1, "y", "wrong", "correct", "wrong", False), (2, "z", "wrong", "correct", "correct", False)], "o int, i string, v string, g1 string, g2 string, holdout boolean")
-    r = E.judge_agreement(t, "v", "g1", "g2", "i", "o").first()
-    assert (r["n"], round(r["agreement_grader1"], 6), round(r["agreement_grader2"], 6), r["disagreements"]) == (3, 0.333333, 0.666667, ["y", "z"])
-    assert tuple(E.judge_agreement(t, "v", "g1", "g2", "i", "o", F.col("holdout")).first()) == (1, 1.0, 1.0, [])
-    assert tuple(E.judge_agreement(t.limit(0), "v", "g1", "g2", "i", "o").first()) == (0, 0.0, 0.0, [])
+    r = E.judge_agreement(t, "v", "g1", "g2").first()
+    assert (r["n"], round(r["agreement_grader1"], 6), round(r["agreement_grader2"], 6)) == (3, 0.333333, 0.666667)
+    odd = lambda *a: [r["id"] for r in E.judge_disagreements(t, "v", "g1", "g2", "i", "o", *a).orderBy("ord").collect()]
+    assert odd() == ["y", "z"] and odd(F.col("holdout")) == []
+    assert tuple(E.judge_agreement(t, "v", "g1", "g2", F.col("holdout")).first()) == (1, 1.0, 1.0) and tuple(E.judge_agreement(t.limit(0), "v", "g1", "g2").first()) == (0, 0.0, 0.0)
 
 
 def test_embedding_store(spark, tmp_path):
@@ -132,6 +134,31 @@ def test_roles_pooling_and_keys(spark, monkeypatch, tmp_path):
     assert on(spark, ["x"], "t string", S.prepared("t", e5, True), S.prepared("t", e5, False), S.prepared("t", "other", True)) == [("query: x", "passage: x", "x")]
     a, b = on(spark, ["x"], "t string", S.cache_key("t", True), S.cache_key("t", False))[0]
     assert a != b and len(a) == 64
-    assert D.mean_pool([[3.0, 0.0], [0.0, 4.0], [9.0, 9.0]], [1, 1, 0]) == pytest.approx([0.6, 0.8]) and D.mean_pool([[1.0]], [0]) == [0.0]
+    pooled = on(spark, [([[3.0, 0.0], [0.0, 4.0], [9.0, 9.0]], [1, 1, 0]), ([[1.0]], [0])], "v array<array<float>>, m array<int>", S.mean_pool("v", "m"))
+    assert pooled == [pytest.approx([0.6, 0.8]), [0.0]]
+    assert V.mean_pool([[[3.0, 0.0], [0.0, 4.0], [9.0, 9.0]]], [[1, 1, 0]])[0] == pytest.approx([0.6, 0.8]) and V.mean_pool([[[1.0]]], [[0]]).tolist() == [[0.0]]
     monkeypatch.setenv("BHASHYA_CACHE_DIR", str(tmp_path))
-    assert D.cache_root() == tmp_path
+    assert D.store_root(spark) == f"file://{tmp_path}"
+    spark.conf.set("spark.bhashya.embedding.store", "/shared/vectors/")
+    assert D.store_root(spark) == "/shared/vectors"
+    spark.conf.unset("spark.bhashya.embedding.store")
+
+
+def test_a_model_is_loaded_once_and_missing_libraries_are_named():
+    loads = []
+    load = lambda name, revision: loads.append(name) or (lambda texts: [[1.0]] * len(texts))
+    for _ in range(3):
+        assert V.model_of("m", "r1", load)(["a"]) == [[1.0]]
+    V.model_of("m", "r2", load)
+    assert loads == ["m", "m"] and V.Encoder("m", "r1").ident == "m@r1" and V.Encoder("m", "r1")(["a", "b"]) == [[1.0], [1.0]]
+    with pytest.raises(ImportError):
+        V.Encoder("sentence-transformers/none")(["a"])
+    with pytest.raises(ValueError, match="allow_muril"):
+        V.with_vectors(None, C.MURIL)
+
+
+def test_vectors_of_cases_by_encoder_and_role(spark, tmp_path):
+    cases = spark.createDataFrame([(1, "g", "rr"), (2, "", "g"), (3, "rr", "g")], "id int, gold string, response string")
+    of = lambda k: {r["id"]: (r["gold_vector"], r["response_vector"]) for r in V.with_vectors(cases, V.Encoder("e", str(k)), store=f"{tmp_path}/s", encode=lambda ts: [[float(len(t) * k)] for t in ts]).collect()}
+    assert of(1) == {1: ([1.0], [2.0]), 2: (None, None), 3: ([2.0], [1.0])} and of(3) == {1: ([3.0], [6.0]), 2: (None, None), 3: ([6.0], [3.0])}
+    assert of(1)[1] == ([1.0], [2.0])  # revisions don't mix

@@ -1,6 +1,7 @@
 """Trace check, judge parsing, gate, prompts, providers, and the split by need."""
 
 import hashlib
+import random
 
 import pytest
 from rows import on
@@ -48,10 +49,18 @@ def test_a_dictionary_must_hold_terms(spark):
 
 
 def test_dictionary_as_a_table(spark):
-    df = spark.createDataFrame([(1, "कल आओ", "yesterday"), (2, "कलम", "yesterday"), (3, SEA, "the sea floor"), (4, None, None)], "k int, s string, t string")
-    terms = spark.createDataFrame([("कल", "tomorrow", "yesterday"), ("समुद्र तल", "sea level", "sea floor")], "term string, reading_a string, reading_b string")
-    got = {r["k"]: [f["term"] for f in r["flagged_terms"]] for r in R.check_trace_with(df, "s", "t", terms, "k").collect()}
-    assert got == {1: ["कल"], 3: ["समुद्र तल"]}
+    """The same flags as the unrolled form, over random dictionaries, in the dictionary's order."""
+    rng = random.Random(5)
+    words, glosses = ["कल", "कलम", "ATM कल", "तल", "समुद्र तल", "ATM", "a.b", "x\\Ey", "वर्ग", "(क)", "$1", "कल-तल"], ["tomorrow", "yesterday", "sea level", "sea floor (bottom)", "pen", "C++", "a|b", "Square", "é"]
+    for _ in range(4):
+        terms = [R.AmbiguousTerm(rng.choice(words), rng.choice(glosses), rng.choice(glosses)) for _ in range(9)]
+        rows = [(i, " ".join(rng.choice([*words, "और", "।"]) for _ in range(rng.randrange(6))), ", ".join(rng.choice(glosses).upper() for _ in range(rng.randrange(4)))) for i in range(60)] + [(60, None, "pen"), (61, "कल", None), (62, "कल", " ")]
+        df = spark.createDataFrame(rows, "k int, s string, t string")
+        table = spark.createDataFrame([(i, t.term, t.reading_a, t.reading_b) for i, t in enumerate(terms)], "ord int, term string, reading_a string, reading_b string")
+        plain = df.select("k", R.check_trace("s", "t", terms)["detail"]["flagged_terms"].alias("flagged_terms"))
+        flags = lambda d: {r["k"]: [tuple(f) for f in r["flagged_terms"] or ()] for r in d.collect()}
+        assert flags(R.check_trace_with(df, "s", "t", table, "k")) == flags(plain)
+    assert len(flags(R.check_trace_with(df, "s", "t", table.limit(0), "k"))) == 63
 
 
 RAW = {
@@ -68,9 +77,10 @@ def test_parse(spark):
     assert got[4]["raw_confidence"] == "medium"
 
 
-def test_balanced_objects_revisit_inner_ones():
-    assert J.balanced_objects('x {"a": {"b": "}"}} {') == ['{"a": {"b": "}"}}', '{"b": "}"}']
-    assert J.extract_json('{"a" {"b": 1}') == '{"b": 1}'
+def test_the_first_object_wherever_it_stands():
+    assert J.first_object('x {"a": {"b": "}"}} {') == {"a": {"b": "}"}} and J.first_object('{"a" {"b": 1}') == {"b": 1}
+    assert J.first_object("```json\n{}\n``` {\"a\": 1}") == {} and J.first_object("``` x ``` {\"a\": 1}") is None and J.first_object("{" * 5000) is None and J.first_object(None) is None
+    assert J.first_object('{"a":' * 3000) is None
 
 
 def test_gate_and_families(spark):
@@ -116,7 +126,7 @@ def test_judge_asks_only_where_it_must(spark, tmp_path):
     df = spark.createDataFrame(rows, "id int, q string, a string, g string")
     got = {r["id"]: r["judge"] for r in judging.judge_answers(df, "q", "a", "g", Counting(), answering_model_id=F_lit("c-9b")).collect()}
     assert {k: v["label"] for k, v in got.items()} == {1: "matched", 2: "matched", 3: "matched", 4: "empty", 5: "judge_error", 6: "flagged", 7: "empty"}
-    assert got[3]["detail"]["aligned"] and got[6]["score"] == 0.25 and got[6]["detail"]["mode"] == "reference_based" and got[6]["detail"]["raw_confidence"] == "Sure"
+    assert got[3]["detail"]["aligned"] and got[3]["detail"]["reasoning"] and got[3]["detail"]["judge_reasoning"] is None and got[1]["detail"]["reasoning"] is None and got[6]["score"] == 0.25 and got[6]["detail"]["mode"] == "reference_based" and got[6]["detail"]["raw_confidence"] == "Sure"
     assert got[5]["detail"]["raw_response"] == "broken" and got[1]["detail"]["self_enhancement_bias_warning"] and got[4]["detail"]["mode"] is None
     assert len(open(log).read()) == 3  # rows 1 and 2 share a prompt
 
