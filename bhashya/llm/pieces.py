@@ -154,8 +154,12 @@ class PieceModel:
                 if a is not None and b is not None:
                     keys.append(a * self.size + b)
                     made.append(int(rank[i]))
-        o = np.argsort(np.array(keys, np.int64))
-        self.pair, self.pair_rank = np.array(keys, np.int64)[o], np.array(made, np.int64)[o]
+        pair, made = np.array(keys, np.int64), np.array(made, np.int64)
+        self.bits = max(4, (4 * len(pair)).bit_length())
+        place = self._place(pair)
+        o = np.argsort(place, kind="stable")
+        self.pair, self.pair_rank = pair[o], made[o]  # those of one place side by side
+        self.begin = np.searchsorted(place[o], np.arange((1 << self.bits) + 1)).astype(np.int32)
         for s, i in of.items():
             if len(s) == 1:
                 self.reach.append(i)
@@ -177,6 +181,24 @@ class PieceModel:
                 self.reach.append(i)
         self.rank, self.left, self.right = rank, left, right
 
+    def _place(self, pair: np.ndarray) -> np.ndarray:
+        return ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _ranks(self, pair: np.ndarray) -> np.ndarray:
+        """The rank at which each pair of tokens merges; beyond all ranks if it doesn't."""
+        out = np.full(len(pair), np.iinfo(np.int64).max, np.int64)
+        place = self._place(pair)
+        at, end = self.begin[place], self.begin[place + 1]
+        left = np.flatnonzero(at < end)
+        at, end, key = at[left], end[left], pair[left]
+        while len(left):
+            same = self.pair[at] == key
+            out[left[same]] = self.pair_rank[at[same]]
+            at = at + 1
+            on = ~same & (at < end)
+            left, at, end, key = left[on], at[on], end[on], key[on]
+        return out
+
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether BPE on the two tokens' text gives the two tokens again."""
         ok = np.ones(len(a), bool)
@@ -184,9 +206,7 @@ class PieceModel:
         x, y = a.astype(np.int64), b.astype(np.int64)
         limit = np.full(len(a), np.iinfo(np.int64).max // 2, np.int64)
         while len(live):
-            k = x * self.size + y
-            at = np.minimum(np.searchsorted(self.pair, k), len(self.pair) - 1)
-            bad = (self.pair[at] == k) & (self.pair_rank[at] < limit)
+            bad = self._ranks(x * self.size + y) < limit
             ok[live[bad]] = False
             # undo the later of the two tokens' own last merges
             rx = np.where(self.right[x] >= 0, self.rank[x], -1)
@@ -231,10 +251,15 @@ class PieceModel:
         o = np.argsort(sa, kind="stable") if np.any(sa[1:] < sa[:-1]) else None
         if o is not None:
             sa, order = sa[o], order[o]
-        high = self.low.copy()
+        kind = f"S{2 * depth}"
+        low, high = self.low.view(kind).ravel(), self.low.copy()
+        lo = np.searchsorted(sa, low, "left")
         high[high == 0] = 0xFFFF
-        lo = np.searchsorted(sa, self.low.view(f"S{2 * depth}").ravel(), "left")
-        hi = np.searchsorted(sa, high.view(f"S{2 * depth}").ravel(), "right")
+        high = high.view(kind).ravel()
+        hi = lo.copy()
+        here = np.flatnonzero(lo < len(sa))
+        here = here[sa[lo[here]] <= high[here]]  # pieces that occur at all
+        hi[here] = np.searchsorted(sa, high[here], "right")
         count = hi - lo
         piece = np.repeat(self.piece, count)
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
@@ -355,7 +380,7 @@ class PieceModel:
 
     # -- texts ----------------------------------------------------------------
 
-    def encode(self, texts: list[str | None], span: int = 200_000) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None], span: int = 400_000) -> list[np.ndarray]:
         """Ids of each text; ``span`` characters share a suffix array, which bounds its memory."""
         find, front = self.segment.findall, MARK if self.spaced else ""
         cut = [find(front + t.replace(" ", MARK)) if t else [] for t in texts]
@@ -403,7 +428,7 @@ def _encoder(handle, chars: int, decode: bool, want_ids: bool):
     return run
 
 
-def encode(docs: DataFrame, *, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", want_ids: bool = True, decode: bool = False, chars: int = 2 << 20) -> DataFrame:
+def encode(docs: DataFrame, *, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", want_ids: bool = True, decode: bool = False, chars: int = 4 << 20) -> DataFrame:
     """``id, n_tokens, ids_sha256[, ids][, n_chars_decoded, round_trip]`` for each row.
 
     ``chars`` bounds the text that is held at once, not what is encoded.
