@@ -30,36 +30,31 @@ _CONSONANTS = {
     "q": "क़", "K": "ख़", "G": "ग़", "z": "ज़", "J": "ज़", "f": "फ़", ".D": "ड़", ".Dh": "ढ़",
 }
 _MARKS = {"M": "ं", ".n": "ं", ".m": "ं", "H": "ः", ".N": "ँ", ".a": "ऽ", "OM": "ॐ", "AUM": "ॐ", "|": "।", "||": "॥"}
-_WIDEST = 4
 #: Offset of each target block from Devanagari, in which the scripts run in parallel.
 TARGETS = {"devanagari": 0, "bengali": 0x80, "gurmukhi": 0x100, "gujarati": 0x180, "odia": 0x200, "tamil": 0x280, "telugu": 0x300, "kannada": 0x380, "malayalam": 0x400}
 _TAMIL = {"ख": "क", "ग": "क", "घ": "क", "छ": "च", "झ": "ज", "ठ": "ट", "ड": "ट", "ढ": "ट", "थ": "त", "द": "त", "ध": "त", "फ": "प", "ब": "प", "भ": "प"}
 
 
-@lru_cache(maxsize=1 << 16)
+#: Every sign, the longest first, and anything else one by one.
+_SIGN = re.compile("|".join(sorted(map(re.escape, [*_CONSONANTS, *_VOWELS, *_MARKS]), key=lambda x: -len(x))) + "|.", re.S)
+_FULL = {**_MARKS, **_VOWELS, **_CONSONANTS}
+_DEPENDENT = {part: _SIGNS[sign] for part, sign in _VOWELS.items()}
+
+
+@lru_cache(maxsize=1 << 17)
 def _run_to_devanagari(text: str) -> str:
     out: list[str] = []
-    i, bare = 0, False  # bare: the last sign is a consonant without a vowel yet
-    while i < len(text):
-        for n in range(min(_WIDEST, len(text) - i), 0, -1):
-            part = text[i : i + n]
-            if part in _CONSONANTS:
-                out += ["्"] * bare + [_CONSONANTS[part]]
-                bare = True
-            elif part in _VOWELS:
-                out.append(_SIGNS[_VOWELS[part]] if bare else _VOWELS[part])
-                bare = False
-            elif part in _MARKS:
-                out.append(_MARKS[part])
-                bare = False
-            else:
-                continue
-            i += n
-            break
-        else:
-            out += ["्"] * bare + [text[i]]
+    bare = False  # the last sign is a consonant without a vowel yet
+    for part in _SIGN.findall(text):
+        if bare and part in _DEPENDENT:
+            out.append(_DEPENDENT[part])
             bare = False
-            i += 1
+            continue
+        consonant = part in _CONSONANTS
+        if bare and part not in _MARKS:
+            out.append("्")
+        out.append(_FULL.get(part, part))
+        bare = consonant
     return "".join(out) + "्" * bare
 
 
@@ -101,7 +96,7 @@ def _class_of(points: list[int]) -> str:
 
 
 @cache
-def _tables() -> tuple[re.Pattern, re.Pattern, dict[int, str | None]]:
+def _tables() -> tuple[re.Pattern, re.Pattern, re.Pattern, dict[int, str | None]]:
     """Accents behind ASCII, the signs of numbers that go, and what each further character becomes.
 
     Built from the interpreter's Unicode tables when first needed.
@@ -119,13 +114,24 @@ def _tables() -> tuple[re.Pattern, re.Pattern, dict[int, str | None]]:
             becomes[p] = str(unicodedata.digit(c))
     d = _class_of(digits)
     loose = rf"[-.,](?:(?<=-)(?:(?!{d})|(?<=[^\W_]-))|(?<=[.,])(?:(?!{d})|(?<!{d}[.,])))"
-    return re.compile(rf"(?<=[\x00-\x7f]){_class_of(marks)}+"), re.compile(loose), becomes
+    # two classes: one of the basic plane alone is a table to the engine, a mixed one a list of ranges
+    return re.compile(f"{_class_of([p for p in marks if p < 0x10000])}+"), re.compile(f"{_class_of(marks)}+"), re.compile(loose), becomes
+
+
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _accent(m: re.Match) -> str:
+    """Marks go behind an ASCII character and stay elsewhere, at the beginning as well."""
+    at = m.start()
+    return "" if at and m.string[at - 1] < "\x80" else m[0]
 
 
 def _fold(text: str) -> str:
     """Everything from lower case on, in plain Python for texts beyond ASCII."""
-    accents, loose, becomes = _tables()
-    s = accents.sub("", unicodedata.normalize("NFKD", text.lower()))
+    accents, beyond, loose, becomes = _tables()
+    s = unicodedata.normalize("NFKD", text.lower())
+    s = (beyond if _BEYOND.search(s) else accents).sub(_accent, s)
     return " ".join(loose.sub("", s).replace(",", ".").translate(becomes).split())
 
 

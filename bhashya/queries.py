@@ -5,6 +5,8 @@ The driver's tables hold no Indic text; ``FIXTURE`` is unioned in on both sides.
 
 from __future__ import annotations
 
+import io
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -24,6 +26,7 @@ from .operators import calibration as C
 from .operators import embedding as V
 from .operators import evaluate as E
 from .operators import judging
+from .plans import report as reports
 from .sources import datasets as D
 from .streaming import checks
 
@@ -323,9 +326,8 @@ def normalize_documents(spark, sf_dir):
 
 @query("transliterate")
 def transliterate(spark, sf_dir):
-    """Every document in another of the scripts; the tests hold examples and plain Python against it."""
-    d = texts(spark, sf_dir)
-    return d.select("id", *[F.sha2(N.transliterate("text", script), 256).alias(script) for script in ("devanagari", "kannada", "tamil")])
+    """Every document in Devanagari, as if it were romanised; the tests hold examples and plain Python against it."""
+    return texts(spark, sf_dir).select("id", F.sha2(N.transliterate("text"), 256).alias("devanagari"))
 
 
 def doc_pairs(spark, sf_dir):
@@ -341,7 +343,11 @@ def _flat(c: str):
 @query("exact_match", f"""WITH p AS (SELECT doc_id, coalesce(text, '') AS t, {d_norm("coalesce(text, '')")} AS n, NOT {_PLAIN} AS h FROM documents)
 SELECT a.doc_id, (CASE WHEN a.h OR b.h THEN a.t = b.t ELSE a.n = b.n END)::INT::DOUBLE AS exact FROM p a JOIN p b ON b.doc_id = a.doc_id + 1""")
 def exact_match(spark, sf_dir):
-    return doc_pairs(spark, sf_dir).select("doc_id", M.exact_match("text", "other").alias("exact"))
+    """Every document is normalised once and meets its neighbours by its hash."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(N.normalize("text"), 256).alias("n"))
+    sides = F.array(F.struct(F.col("doc_id"), F.col("n").alias("a"), F.lit(None).cast("string").alias("b")), F.struct((F.col("doc_id") - 1).alias("doc_id"), F.lit(None).cast("string").alias("a"), F.col("n").alias("b")))
+    pairs_ = d.select(F.inline(sides)).groupBy("doc_id").agg(F.max("a").alias("a"), F.max("b").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    return pairs_.select("doc_id", M.exact_match_of(F.col("a"), F.col("b")).alias("exact"))
 
 
 @query("token_f1", f"""WITH p AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[{_WS}]+', ' ', 'g')) AS n FROM documents),
@@ -733,6 +739,30 @@ def label_dist(spark, sf_dir):
     return E.label_distribution(_long(spark, sf_dir))
 
 
+_ICON, _TITLE = "CASE WHEN passed = total THEN '✅' ELSE '❌' END", "CASE metric WHEN 'script' THEN 'Script adherence' ELSE 'Trace check' END"
+
+
+@query("report_markdown", f"""SELECT printf('| %s %s | %.1f%% | %d/%d | %d | %.3f |', {_ICON}, {_TITLE}, pass_rate * 100, passed::BIGINT, total::BIGINT, skipped::BIGINT, mean_score) AS line FROM ({_SUMMARY})
+UNION ALL SELECT '| ' || {_TITLE} || ' | ' || id || '-' || turn || ' | ' || label || ' |' FROM {_LONG} WHERE NOT passed""")
+def report_markdown(spark, sf_dir):
+    """The rows of the Markdown report, without the wording of the reasons."""
+    long = _long(spark, sf_dir).cache()
+    out = io.StringIO()
+    reports.markdown_report(E.summarize(long).orderBy("metric_ord").collect(), reports.each_failure(long), out)
+    rows = [x for x in out.getvalue().splitlines() if x.startswith("| ") and not x.startswith("| Metric")]
+    return spark.createDataFrame([(x if x[2] in "✅❌" else x[: x.rindex(" | ") + 2],) for x in rows], "line string")
+
+
+@query("report_json", f"SELECT {_TITLE} AS title, id || '-' || turn AS id, label, passed, score FROM {_LONG}")
+def report_json(spark, sf_dir):
+    """The cases of the JSON report, read back."""
+    long = _long(spark, sf_dir).cache()
+    out = io.StringIO()
+    reports.json_report(long, E.summarize(long).orderBy("metric_ord").collect(), out)
+    metrics = json.loads(out.getvalue())["metrics"]
+    return spark.createDataFrame([(title, c["id"], c["label"], c["passed"], c["score"]) for title, m in metrics.items() for c in m["cases"]], "title string, id string, label string, passed boolean, score double")
+
+
 @query("windowed_pass_rate", f"""SELECT strftime(time_bucket(INTERVAL 5 MINUTES, TIMESTAMP '1970-01-01' + turn * INTERVAL 1 MINUTE), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS total, sum(passed::INT)::BIGINT AS passed
   FROM {_LONG} WHERE metric = 'script' GROUP BY 1""")
 def windowed_pass_rate(spark, sf_dir):
