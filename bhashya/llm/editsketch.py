@@ -14,9 +14,10 @@ along with the text, so only the walks that it falls into change. The walks toge
 cover the whole text.
 
 The fingerprint samples the embedding at ``SLOTS`` positions (four bits each). A slot
-takes the walk whose starting place has the smallest random priority, and of its steps
-again that of the smallest; both choices change little as texts do. The share of equal
-slots, corrected for chance, estimates which part of all walks two texts share; likeness
+takes the walk whose starting place has the smallest random waiting time (in proportion
+to the length of the walk, so that each character counts alike), and of its steps that of
+the smallest priority; both choices change little as texts do. The share of equal
+slots, corrected for chance, estimates which part of both texts they share; likeness
 is that share put as twice what is common by the sum of both, which is a half for a text
 of which half was replaced.
 
@@ -155,15 +156,17 @@ class Embedding:
         offset = np.cumsum(active) - active
         trail = np.concatenate(trail)
         place = np.argsort(order)
-        # for each slot the walk of smallest priority, with its number in the low bits
+        # for each slot the walk of smallest priority; the longer one is, the sooner its time comes
         first = np.cumsum(walks) - walks
-        nth = (np.arange(len(begin)) - np.repeat(first, walks)).astype(np.uint64)
+        number, none = np.arange(len(begin)), len(begin)
         walk = np.empty((self.slots, len(some)), np.int64)
         for s in range(self.slots):
             v = hashes * self.order[s]
             v ^= v >> np.uint64(32)
             v *= np.uint64(_MIX2)
-            walk[s] = first + (np.minimum.reduceat((v & np.uint64(_M - 0xFFFFFF)) | nth, first) & np.uint64(0xFFFFFF)).astype(np.int64)
+            wait = -np.log(((v >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)) / length
+            least = np.repeat(np.minimum.reduceat(wait, first), walks)
+            walk[s] = np.minimum.reduceat(np.where(wait == least, number, none), first)
         lane = place[walk]
         step = self.chosen[total[lane], np.arange(self.slots)[:, None]]
         where = go[lane] + trail[offset[step] + lane]

@@ -2,6 +2,7 @@
 
 import glob
 import hashlib
+import math
 import os
 import random
 import re
@@ -66,6 +67,20 @@ def test_decontamination_equals_brute_force(spark, block_bytes):
     assert {r[0]: tuple(r[1:]) for r in got} == want and any(v[4] for v in want.values())
 
 
+CLASHES = ("id", "text_", "fp", "key", "side", "rest", "own", "label", "n", "starts", "ends", "items", "n_words", "th", "count")
+
+
+def test_further_columns_of_any_name_change_nothing(spark):
+    rng = random.Random(19)
+    base = prose(rng, 200)
+    docs = frame(spark, [base, base + " x", None, "", prose(rng, 50), base])
+    more = docs.withColumns({c: F.lit("clash") for c in CLASHES})
+    items = spark.createDataFrame([(1, base[:90])], "item_id long, text string")
+    same = lambda f: sorted(map(str, f(docs).collect())) == sorted(map(str, f(more).collect()))
+    assert same(simhash.report) and same(lambda d: decontaminate.report(d, items.withColumn("item", F.lit("clash")))) and same(editsketch.near_report)
+    assert simhash.deduplicated(more).columns == more.columns and decontaminate.clean(more, items).columns == more.columns
+
+
 def test_clean_keeps_columns_and_clean_rows(spark):
     docs = frame(spark, ["a b c", None]).withColumn("id", F.lit("clash")).withColumn("row", F.lit(1))
     out = decontaminate.clean(docs, spark.createDataFrame([(1, "a b")], "item_id long, text string"))
@@ -340,12 +355,13 @@ def plain_walks(e, text):
                 starts.append((p, context(p)))
                 last = p
     out = []
-    ends = [s for s, _ in starts[1:]] + [n]
+    ends = [s for s, _ in starts[1:]] + [n]  # of each walk
     for slot in range(e.slots):
         def priority(i):
             v = starts[i][1] * int(e.order[slot]) & M64
             v ^= v >> 32
-            return (v * 0xBF58476D1CE4E5B9 & M64) >> 24, i
+            v = v * 0xBF58476D1CE4E5B9 & M64
+            return -math.log(((v >> 11) + 0.5) / (1 << 53)) / (ends[i] - starts[i][0]), i
 
         i = min(range(len(starts)), key=priority)
         (begin, name), end = starts[i], ends[i]
@@ -397,6 +413,9 @@ def test_likeness_follows_what_was_edited():
     strangers = ["".join(rng.choice("qwertyuiop ") for _ in range(2000)) for _ in range(30)]
     assert like(strangers) < 0.05
     assert 0.35 < like([t[: len(t) // 2] + s[: len(t) // 2] for t, s in zip(texts, strangers)]) < 0.65
+    # what two texts share counts by its length, not by its walks
+    a, b = e.fingerprints([texts[0][:371] + texts[1][:53], texts[2][:96] + texts[1][:53]])
+    assert editsketch.likeness(a, b) < 0.5
     # an insertion of any length costs what it changes, wherever it stands
     long = [prose(rng, 4000) for _ in range(6)]
     base = e.fingerprints(long)
