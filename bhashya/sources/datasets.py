@@ -56,13 +56,11 @@ def cases_from_columns(df: DataFrame, order: str | list[str] | None = None) -> D
 _PLACE = (1 << 33) - 1
 
 
-def _bases(spark: SparkSession, counts: list[tuple[int, ...]]) -> DataFrame:
-    """Per part, how much lies in the parts before it; a row for each part."""
-    rows, at = [], [0] * (len(counts[0]) - 1 if counts else 2)
-    for p, *n in sorted(counts):
-        rows.append((p, *at))
-        at = [a + k for a, k in zip(at, n, strict=True)]
-    return F.broadcast(spark.createDataFrame(rows, "_p long" + "".join(f", _b{k} long" for k in range(len(at)))))
+def _bases(counts: DataFrame, names: list[str]) -> DataFrame:
+    """``_p, _b0, ...``: how much lies in the parts before each; a row for each part, a few
+    numbers each. Spark sees their size and broadcasts them if it fits."""
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("_p", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_b{k}") for k, c in enumerate(names)])
 
 
 def _operators(plan) -> Iterator[str]:
@@ -86,9 +84,9 @@ def _numbered(df: DataFrame, keep: Column | None = None) -> DataFrame:
     keep = F.lit(True) if keep is None else keep
     part = lambda c: F.shiftright(c, 33)
     d = df.withColumn("_m", F.monotonically_increasing_id())
-    counts = [tuple(r) for r in d.groupBy(part("_m").alias("_p")).agg(F.count("*"), F.count_if(keep)).collect()]
+    counts = d.groupBy(part("_m").alias("_p")).agg(F.count("*").alias("n"), F.count_if(keep).alias("k"))
     d = d.filter(keep).withColumn("_k", F.monotonically_increasing_id()).withColumn("_p", part("_m"))
-    d = d.join(_bases(df.sparkSession, counts), "_p")
+    d = d.join(_bases(counts, ["n", "k"]), "_p")
     place = lambda c: F.col(c).bitwiseAND(_PLACE) + 1
     return d.withColumn("_no", F.col("_b0") + place("_m")).withColumn("_ord", F.col("_b1") + place("_k")).drop("_p", "_m", "_k", "_b0", "_b1")
 
@@ -113,7 +111,7 @@ def _numbered_by(df: DataFrame, cols: list[str], parts: int = 64) -> DataFrame:
         return F.when(key < literal(cuts[mid]), bucket(low, mid)).otherwise(bucket(mid + 1, high))
 
     d = df.withColumn("_p", bucket(0, len(cuts)))
-    base = _bases(df.sparkSession, [tuple(r) for r in d.groupBy("_p").count().collect()])
+    base = _bases(d.groupBy("_p").count(), ["count"])
     nth = F.row_number().over(Window.partitionBy("_p").orderBy(*cols))
     return d.withColumn("_n", nth).join(base, "_p").withColumn("_ord", F.col("_b0") + F.col("_n")).drop("_p", "_n", "_b0")
 
