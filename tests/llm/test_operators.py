@@ -18,6 +18,38 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from bhashya.llm import chat, components, decontaminate, editsketch, extract, langid, pieces, pii, simhash, warc  # noqa: E402
 
+def test_a_cluster_needs_a_shared_folder_and_tables_are_deleted(spark):
+    from types import SimpleNamespace
+
+    from bhashya.llm import common
+
+    made = []
+    session = lambda master, dir_=None: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: dir_), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=made.append))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(session(master))
+        assert common.shared_dir(session(master, "hdfs://x/y/")) == "hdfs://x/y"
+    assert common.shared_dir(session("local[4]")).startswith("file://") and len(made) == 4
+    t = common.materialise(spark.range(3), "t")
+    path = vars(t)["kept_at"].removeprefix("file://")
+    assert os.path.exists(path) and t.count() == 3
+    common.discard(t, None, spark.range(1))
+    common.discard(t)
+    assert not os.path.exists(path)
+
+
+def test_batches_are_cut_by_bytes():
+    import pyarrow as pa
+
+    from bhashya.llm import common
+
+    b = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["x" * (5000 if i == 7 else 10) for i in range(40)])], ["a", "b"])
+    parts = list(common.bounded([b], 200))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([b])) and all(p.nbytes <= 200 or p.num_rows == 1 for p in parts)
+    tables = list(common.groups([b, b], 400))
+    assert sum(t.num_rows for t in tables) == 80 and all(t.nbytes <= 800 or t.num_rows == 1 for t in tables) and len(tables) < len(parts)
+
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
