@@ -681,16 +681,35 @@ def load_csv(spark, sf_dir):
     return D.load_cases(spark, path).drop("ord")
 
 
+def _write_lists(d: DataFrame, key: str, path: str, wrap: Callable, size: int = 50) -> None:
+    """JSON documents, each with a list of about ``size`` rows, one to a file."""
+    parts = d.count() // size + 1
+    lists = d.groupBy(F.pmod(F.xxhash64(key), F.lit(parts)).alias("_part")).agg(F.collect_list(F.struct(*d.columns)).alias("rows"))
+    lists.select(F.to_json(wrap(F.col("rows")))).write.option("maxRecordsPerFile", 1).text(path)
+
+
 @query("load_json", _LOADED)
 def load_json(spark, sf_dir):
-    """By way of JSON documents, a list of cases in each, as many as there are conversations."""
+    """By way of JSON documents with lists of cases."""
     path = scratch(spark, "cases") + ".json"
-    d = _to_load(spark, sf_dir).withColumn("c", F.split("Case_ID", "-")[0])
-    lists = d.groupBy("c").agg(F.collect_list(F.struct("Case_ID", "question", "prompt", "OUTPUT", "lang", "gold")).alias("cases"))
-    lists.select(F.to_json(F.struct("cases"))).repartition(lists.count() or 1).write.option("maxRecordsPerFile", 1).text(path)
+    _write_lists(_to_load(spark, sf_dir), "Case_ID", path, lambda rows: F.struct(rows.alias("cases")))
     return D.load_cases(spark, path).drop("ord")
 
 
+@query("judge_benchmark", "SELECT lang AS ground_truth_answer_type, count(*) AS n, sum((d.doc_id % 3 = 0)::INT)::BIGINT AS holdout, sum((quality = toxic)::INT)::BIGINT AS agree FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
+def judge_benchmark(spark, sf_dir):
+    """Labelled documents by way of the judge benchmark's JSON lists."""
+    path = scratch(spark, "traces") + ".json"
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    d = d.select(
+        F.col("doc_id").cast("string").alias("trace_id"), F.lit("q").alias("question"), F.col("source").alias("answer"), F.col("lang").alias("ground_truth_answer_type"),
+        F.col("quality").cast("string").alias("human_verdict_grader1"), F.col("toxic").cast("string").alias("human_verdict_grader2_independent"), (F.col("doc_id") % 3 == 0).alias("is_holdout"),
+    )
+    _write_lists(d, "trace_id", path, lambda rows: rows)
+    got = D.load_judge_benchmark(spark, path).groupBy("ground_truth_answer_type")
+    return got.agg(F.count("*").alias("n"), F.count_if("is_holdout").alias("holdout"), F.count_if(F.col("human_verdict_grader1") == F.col("human_verdict_grader2_independent")).alias("agree"))
+
+
 @query("similarity_benchmark", "SELECT lang AS language, CASE WHEN quality = 1 THEN 'correct' WHEN toxic = 1 THEN 'wrong_hard' ELSE 'wrong_subtle' END AS label, count(*) AS n, sum(length(text))::BIGINT AS size FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE coalesce(text, '') <> '' GROUP BY 1, 2")
 def similarity_benchmark(spark, sf_dir):
     """Labelled documents by way of the benchmark's CSV."""
@@ -749,6 +768,7 @@ def report_markdown(spark, sf_dir):
     long = _long(spark, sf_dir).cache()
     out = io.StringIO()
     reports.markdown_report(E.summarize(long).orderBy("metric_ord").collect(), reports.each_failure(long), out)
+    long.unpersist()
     rows = [x for x in out.getvalue().splitlines() if x.startswith("| ") and not x.startswith("| Metric")]
     return spark.createDataFrame([(x if x[2] in "✅❌" else x[: x.rindex(" | ") + 2],) for x in rows], "line string")
 
@@ -759,6 +779,7 @@ def report_json(spark, sf_dir):
     long = _long(spark, sf_dir).cache()
     out = io.StringIO()
     reports.json_report(long, E.summarize(long).orderBy("metric_ord").collect(), out)
+    long.unpersist()
     metrics = json.loads(out.getvalue())["metrics"]
     return spark.createDataFrame([(title, c["id"], c["label"], c["passed"], c["score"]) for title, m in metrics.items() for c in m["cases"]], "title string, id string, label string, passed boolean, score double")
 
