@@ -28,6 +28,7 @@ from .operators import evaluate as E
 from .operators import judging
 from .plans import report as reports
 from .sources import datasets as D
+from .sources.tables import table
 from .streaming import checks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,10 +89,6 @@ def fixture(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FIXTURE, "id long, prompt string, response string, trace string, gold string, language string")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the session shares; a temporary one for a local master without it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -336,10 +333,6 @@ def doc_pairs(spark, sf_dir):
     return d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
 
 
-def _flat(c: str):
-    return F.trim(F.regexp_replace(F.lower(c), r"(?U)[\s\x1c-\x1f]+", " "))
-
-
 @query("exact_match", f"""WITH p AS (SELECT doc_id, coalesce(text, '') AS t, {d_norm("coalesce(text, '')")} AS n, NOT {_PLAIN} AS h FROM documents)
 SELECT a.doc_id, (CASE WHEN a.h OR b.h THEN a.t = b.t ELSE a.n = b.n END)::INT::DOUBLE AS exact FROM p a JOIN p b ON b.doc_id = a.doc_id + 1""")
 def exact_match(spark, sf_dir):
@@ -358,7 +351,7 @@ o AS (SELECT ta.doc_id, sum(least(ta.c, tb.c)) AS ov FROM ta JOIN tb ON ta.doc_i
 SELECT q.doc_id, round(CASE WHEN na = '' AND nb = '' THEN 1.0 WHEN na = '' OR nb = '' THEN 0.0 ELSE 2.0 * coalesce(ov, 0)::DOUBLE / (len(string_split(na, ' ')) + len(string_split(nb, ' '))) END::DOUBLE, 6) AS f1 FROM q LEFT JOIN o ON q.doc_id = o.doc_id""")
 def token_f1(spark, sf_dir):
     """Over texts that are in lower case only: normalised ones are a matter of ``normalize_latin``."""
-    d = doc_pairs(spark, sf_dir).select("doc_id", _flat("text").alias("na"), _flat("other").alias("nb"))
+    d = doc_pairs(spark, sf_dir).select("doc_id", F.lower("text").alias("na"), F.lower("other").alias("nb"))
     return d.select("doc_id", F.round(M.token_f1_of(F.col("na"), F.col("nb")), 6).alias("f1"))
 
 
