@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["bounded", "cut", "discard", "fresh_path", "groups", "ids_and_text", "materialise", "shared_dir", "table"]
 
 
 def shared_dir(spark: SparkSession) -> str:
