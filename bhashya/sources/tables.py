@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 #: Below this many bytes a table isn't worth dealing out.
-LEAST = 1 << 20
+LEAST = 2 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
