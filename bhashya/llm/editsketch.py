@@ -51,7 +51,7 @@ from .components import components, one_of_each, with_class
 
 SLOTS = 128
 CONTEXT = 8
-MEAN, LEAST, MOST = 128, 32, 1024
+MEAN, LEAST, MOST = 64, 16, 1024
 SEED = 20231
 #: A pair of likeness 0.8 agrees in a band with probability 0.05, and in none of 60 with 0.05.
 BANDS, ROWS = 60, 8

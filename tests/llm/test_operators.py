@@ -885,7 +885,7 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
 
     rng = random.Random(12)
     item = prose(rng, 30)
-    texts = ["12 34", None, prose(rng, 120), prose(rng, 90) + " " + item + " end", "mail a.b@c.org " + prose(rng, 100), prose(rng, 150)]
+    texts = ["12 34", None, prose(rng, 120), prose(rng, 90) + " " + item + " end", "mail a.b@c.org " + prose(rng, 100), prose(rng, 400)]
     texts += [texts[2], texts[5], texts[5][:400] + " slightly " + texts[5][400:]]
     folder = tables(spark, tmp_path, frame(spark, texts).withColumn("row", F.lit("clash")).withColumn("th", F.lit(1)), [(1, item)])
     out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, folder).collect()}
