@@ -24,9 +24,10 @@ of which half was replaced.
 Near-duplicates: distinct fingerprints are dealt into ``BANDS`` bands, each a sample
 of ``ROWS`` slots. What shares a band's slots is laid in an order of chance, a new one in
 each band, and every fingerprint is verified, over all slots, against the first one and
-the ``NEIGHBOURS`` before it. That is all pairs of a bucket with up to that many and one;
-of a larger one, whose members mostly are near its first, a number in proportion to its
-members. Fingerprints that are near agree in several bands, with other neighbours in each.
+the ``NEIGHBOURS`` before it. That is all pairs of a bucket with up to that many and two.
+Of a larger one it is a number in proportion to its members, which mostly are near its
+first; where they are not all of one class by then, all pairs of its classes are
+verified as well (``across``). The classes are thus those of all pairs that share a bucket.
 
 Null texts count as empty; an empty text has the fingerprint of zeros, and two
 equal fingerprints have likeness 1. Whole texts are walked. Repeated rows give repeated
@@ -57,6 +58,8 @@ SEED = 20231
 BANDS, ROWS = 60, 8
 NEIGHBOURS = 4
 LIKENESS = 0.8
+#: Members of a bucket that are compared in one place; larger buckets are dealt out as pairs of blocks.
+BLOCK = 16384
 RANGE_BYTES = 16 << 20
 _EMPTY = "0" * SLOTS
 _M = (1 << 64) - 1
@@ -263,12 +266,22 @@ def band_keys(fps: DataFrame, bands: int, rows: int, seed: int) -> DataFrame:
     return fps.select("fid", "fp").mapInArrow(run, "key long, fid long")
 
 
-def candidates(keyed: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """Distinct pairs ``a < b``: each member of a bucket with the first and the ones before it.
+def shared(keyed: DataFrame) -> DataFrame:
+    """``key, fid`` of the buckets with more than one member.
 
     One shuffle, by bucket; a bucket is passed through, never held. Each document is in as
     many buckets as there are bands, so a group of copies is a small part of a task's rows.
     """
+    w = Window.partitionBy("key").orderBy("fid")
+    beside = F.coalesce(F.lag("fid", 1).over(w), F.lead("fid", 1).over(w))
+    return keyed.select("key", "fid", beside.alias("beside")).filter("beside IS NOT NULL").select("key", "fid")
+
+
+def candidates(keyed: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """Distinct pairs ``a < b``: each member of a bucket with the first and the ones before it.
+
+    Of a bucket with more than ``neighbours + 2`` members these are not all pairs (see ``across``).
+    """
     w = Window.partitionBy("key").orderBy("o")
     dealt = keyed.repartition("key").withColumn("o", F.xxhash64("key", "fid"))
     first = F.first("fid").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -278,6 +291,94 @@ def candidates(keyed: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     return pairs.select(F.least("fid", "other").alias("a"), F.greatest("fid", "other").alias("b")).distinct()
 
 
+def _planes(raw: np.ndarray) -> np.ndarray:
+    """Fingerprints of 64 bytes each as four planes of 128 bits, one bit of every slot."""
+    bit = np.unpackbits(raw, axis=1).reshape(len(raw), SLOTS, 4)
+    return np.ascontiguousarray(np.packbits(bit.transpose(0, 2, 1), axis=2).view(np.uint64).transpose(1, 2, 0))
+
+
+def _slots_apart(planes: np.ndarray, one: int, of: slice) -> np.ndarray:
+    """In how many slots the fingerprints ``of`` differ from number ``one``."""
+    x, many = planes[:, :, one, None], planes[:, :, of]
+    out = 0
+    for word in range(many.shape[1]):
+        any_bit = many[0, word] ^ x[0, word]
+        for p in range(1, 4):
+            any_bit |= many[p, word] ^ x[p, word]
+        out = out + np.bitwise_count(any_bit)
+    return out.astype(np.int64)
+
+
+def linked_classes(label: np.ndarray, raw: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Pairs of labels that connect what the links between members of different labels connect.
+
+    The number of differing slots is a metric: a member further from a class's first one than
+    ``most`` and the class's radius is linked to none of that class. All others are compared
+    with its every member, until the two classes are found to be one.
+    """
+    names, group, size = np.unique(label, return_inverse=True, return_counts=True)
+    by = np.argsort(-size, kind="stable")  # the largest class first
+    names, size, group = names[by].tolist(), size[by].tolist(), np.argsort(by)[group]
+    order = np.argsort(group, kind="stable")
+    member, planes = group[order].tolist(), _planes(raw[order])
+    root, found, begin = list(range(len(names))), [], 0
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    for c, n in enumerate(size[:-1]):
+        apart = _slots_apart(planes, begin, slice(begin, None))
+        others = apart[n:]
+        near = np.flatnonzero(others <= most + int(apart[:n].max()))
+        for m in near[np.argsort(others[near], kind="stable")].tolist():
+            other = member[begin + n + m]
+            if find(other) != find(c) and (others[m] <= most or (_slots_apart(planes, begin + n + m, slice(begin, begin + n)) <= most).any()):
+                root[find(other)] = find(c)
+                found.append((names[c], names[other]))
+        begin += n
+    return found
+
+
+def across(members: DataFrame, fps: DataFrame, most: int, *, more_than: int = NEIGHBOURS + 2, block: int = BLOCK) -> DataFrame:
+    """``a, b``: pairs of labels that connect what the links within the buckets of ``members``
+    (``key, fid, label``) with more than so many connect, as far as the labels don't.
+
+    Buckets of a single label are done. The pairs of the others are all covered: a bucket of more
+    than ``block`` members is cut into blocks, and each two of these meet in one place.
+    """
+    several = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("greatest"))
+    several = several.filter((F.col("n") > more_than) & F.expr("least < greatest")).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = members.join(several, "key").join(fps.select("fid", F.unhex("fp").alias("raw")), "fid")
+    dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(fid), blocks) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("CASE WHEN blocks = 1 THEN array(0) ELSE filter(sequence(0, blocks - 1), o -> o <> own) END")))
+    place = ["key", "i", "j"]
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "label", "raw")
+
+    def answer(t: pa.Table):
+        raw = np.frombuffer(b"".join(t.column("raw").to_pylist()), np.uint8).reshape(-1, SLOTS // 2)
+        found = linked_classes(t.column("label").to_numpy(), raw, most)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+    def run(batches):
+        held, last = [], None  # what has come of the last group, and its place
+        for b in batches:
+            at = np.stack([b.column(c).to_numpy() for c in place], axis=1)
+            starts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist()] if len(at) else []
+            for start, stop in zip(starts, [*starts[1:], len(at)]):
+                if held and at[start].tolist() != last:
+                    yield from answer(pa.Table.from_batches(held))
+                    held = []
+                held.append(b.slice(start, stop - start))
+                last = at[start].tolist()
+        if held:
+            yield from answer(pa.Table.from_batches(held))
+
+    return dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", likeness_at_least: float = LIKENESS, bands: int = BANDS, rows: int = ROWS, neighbours: int = NEIGHBOURS) -> DataFrame:
     """``id, th, fingerprint, label, component_id``: the smallest id reachable over verified
     links; ``label`` is one for each class.
@@ -292,15 +393,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     firsts = common.materialise(firsts.withColumn("fid", F.xxhash64("fp")), "edit-distinct")
     fps = firsts.filter(F.col("fp") != _EMPTY).select("fid", "fp")
 
-    pairs = candidates(band_keys(fps, bands, rows, SEED), neighbours)
+    met = common.materialise(shared(band_keys(fps, bands, rows, SEED)), "edit-shared")
+    pairs = candidates(met, neighbours)
     pairs = pairs.join(fps.select(F.col("fid").alias("a"), F.col("fp").alias("fa")), "a").join(fps.select(F.col("fid").alias("b"), F.col("fp").alias("fb")), "b")
     edges = common.materialise(pairs.filter(_differ("fa", "fb") <= most).select("a", "b"), "edit-links")
     label = components(edges).withColumnRenamed("node", "fid")
-    labelled = common.materialise(firsts.join(label, "fid", "left").withColumn("label", F.coalesce("label", "fid")), "edit-classes")
+    members = common.materialise(met.join(label, "fid", "left").withColumn("label", F.coalesce("label", "fid")), "edit-members")
+    more = common.materialise(across(members, fps, most, more_than=neighbours + 2), "edit-across")
+    labelled = firsts.join(label, "fid", "left").withColumn("label", F.coalesce("label", "fid"))
+    if not more.isEmpty():
+        joined = components(more).select(F.col("node").alias("label"), F.col("label").alias("whole"))
+        labelled = labelled.join(joined, "label", "left").withColumn("label", F.coalesce("whole", "label")).drop("whole")
+    labelled = common.materialise(labelled, "edit-classes")
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     of = labelled.join(least, "label").select(F.col("fp").alias("fingerprint"), "n", "label", "component_id")
     of = common.materialise(of, "edit-of")
-    common.discard(edges, firsts, labelled)
+    common.discard(met, members, more, edges, firsts, labelled)
     return with_class(own, of, "fingerprint").select("id", "th", "fingerprint", "label", "component_id")
 
 

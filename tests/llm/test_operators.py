@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -507,6 +508,53 @@ def test_candidates_grow_with_a_bucket_not_with_its_square(spark):
     assert {(5000, 5001), (5000, 5002), (5001, 5002)} <= got and len(got) <= 5 * 2000 + 3 and {i for p in got for i in p} >= set(range(2000))
 
 
+def united(n, pairs):
+    root = list(range(n))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def test_no_link_within_a_large_bucket_is_lost(spark):
+    rng, e = random.Random(77), editsketch.embedding()
+    common = prose(rng, 240)  # that brings many strangers into one bucket
+    texts = [common + " " + "".join(rng.choice("qwertyuiopasdfgh ") for _ in range(500)) for _ in range(300)]
+    texts += [t[:-160] + "".join(rng.choice("zxcvbnm ") for _ in range(160)) for t in texts[::5]]
+    fp = e.fingerprints(texts)
+    slots = editsketch.sampled(editsketch.BANDS, editsketch.ROWS, editsketch.SEED)
+    bands = [{(k, *(f[s] for s in at)) for k, at in enumerate(slots)} for f in fp]
+    sizes = Counter(b for own in bands for b in own)
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if editsketch.likeness(fp[i], fp[j]) >= 0.8 and bands[i] & bands[j]]
+    want = united(len(texts), links)
+    assert max(sizes.values()) > 100 and 150 < len(set(want)) < 250
+    got = {r["id"]: r["component_id"] for r in editsketch.near_duplicates(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_classes_of_a_bucket_meet_in_blocks(spark, block):
+    rng, most = random.Random(block), editsketch.most_unlike()
+    alter = lambda f, n: "".join(rng.choice("0123456789abcdef") if i in at else x for at in [set(rng.sample(range(128), n))] for i, x in enumerate(f))
+    fp, label = [], []
+    for c in range(12):  # chains, whose ends are far apart, and some that link to one before
+        f = alter(rng.choice(fp), rng.choice([30, 38, 45])) if c % 3 else alter("0" * 128, 128)
+        for _ in range(rng.choice([1, 1, 4, 9])):
+            fp.append(f)
+            label.append(1000 + c)
+            f = alter(f, 25)
+    n = len(fp)
+    apart = [[sum(x != y for x, y in zip(a, b, strict=True)) for b in fp] for a in fp]
+    want = united(2000, [(label[i], label[j]) for i in range(n) for j in range(i) if apart[i][j] <= most])
+    assert len({want[x] for x in label}) < len(set(label))
+    members = spark.createDataFrame([(k, i, label[i]) for k in (-5, 3) for i in range(n)] + [(9, 0, 1), (9, 1, 2)], "key long, fid long, label long")
+    got = editsketch.across(members, spark.createDataFrame(list(enumerate(fp)), "fid long, fp string"), most, block=block).collect()
+    assert united(2000, got) == want
+    # a single label leaves nothing to do
+    assert editsketch.across(members.withColumn("label", F.lit(1).cast("long")), spark.createDataFrame(list(enumerate(fp)), "fid long, fp string"), most).count() == 0
+
+
 def test_edit_frames_of_odd_tables(spark):
     one = frame(spark, ["abc def"])
     r = editsketch.report(one, partitions=3).collect()
