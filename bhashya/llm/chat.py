@@ -17,7 +17,8 @@ the error ``cycle``. References to calls that don't exist don't hold a call back
 empty table gives no rows. Columns other than those named, and their names, don't matter.
 
 Levels take rounds: the logarithm of the longest run of calls that each wait for one
-other, and then one round for each level of calls that wait for several.
+other, and then, in conversations of more than ``PACKED`` calls that wait for several,
+one round for each level of these. Smaller ones are placed at once.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from . import common
 
 KEY = ["conv", "call_id"]
+#: A conversation of no more calls that wait for several, and of no more edges between them, is placed as one row.
+PACKED = 128, 1024
 
 
 @dataclass(frozen=True)
@@ -81,49 +84,96 @@ def argument_errors(name: Column, arguments: Column, tools: dict[str, dict[str,
     return F.when(~is_object, F.array(F.lit("arguments: no object"))).otherwise(per_tool)
 
 
-def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """``conv, call_id, level``: one more than the highest level waited for.
+def levels(calls: DataFrame) -> DataFrame:
+    """The calls with a column ``level``: one more than the highest level waited for.
 
-    ``edges``: ``conv, call_id, after``; no key is null. Runs of calls that each wait
-    for one other are jumped over by pointer doubling, in rounds of the logarithm of
-    their length. Only calls that wait for several are then placed level by level, over
-    edges that lead from such a call to the head of a run. What waits in a circle,
-    or for such a call, gets a null level.
+    ``calls``: ``conv, call_id, after`` and others, one row for each key, no key null. Runs of
+    calls that each wait for one other are jumped over by pointer doubling, in rounds of
+    the logarithm of their length. Only calls that wait for several are then placed, over
+    edges that lead from such a call to the head of a run: a small conversation in one
+    projection, a large one level by level. A round reads the calls that still wait and those
+    of the round before, never those that wait for nothing or are done. What waits in a circle, or for such a call, gets a null level.
     """
-    edges = edges.distinct()
-    waits = edges.join(calls.select("conv", F.col("call_id").alias("after")), ["conv", "after"], "left_semi")
-    waits = common.materialise(waits.groupBy(*KEY).agg(F.collect_set("after").alias("after")), "waits")
-    none = F.lit(None).cast("int")
-    level = calls.join(waits, KEY, "left_anti").select(*KEY, F.lit(0).alias("level"))
+    lean = common.materialise(calls.select(*KEY, "after"), "calls")
+    edges = lean.select(*KEY, F.explode(F.array_distinct("after")).alias("after")).filter("after IS NOT NULL")
+    waits = edges.join(lean.select("conv", F.col("call_id").alias("after")), ["conv", "after"], "left_semi")
+    waits = common.materialise(waits.groupBy(*KEY).agg(F.collect_list("after").alias("after")), "waits")
+    common.discard(lean)
     if waits.isEmpty():
-        return level
-    # head and distance of every call that waits for one other
-    run = common.materialise(waits.filter(F.size("after") == 1).select(*KEY, F.col("after")[0].alias("head"), F.lit(1).alias("far")), "run")
+        return calls.withColumn("level", F.lit(0))
+    # head and distance of every call that waits for one other; open while the head is such a call as well
+    single = waits.filter(F.size("after") == 1).select(*KEY, F.col("after")[0].alias("head"), F.lit(1).alias("far"))
+    more = single.select("conv", F.col("call_id").alias("head"), F.lit(True).alias("more"))
+    run = common.materialise(single.join(more, ["conv", "head"], "left").select(*KEY, "head", "far", F.col("more").isNotNull().alias("open")), "run")
     for _ in range(run.count().bit_length() + 1):
-        nxt = run.select("conv", F.col("call_id").alias("head"), F.col("head").alias("head2"), F.col("far").alias("far2"))
-        if run.join(nxt, ["conv", "head"], "left_semi").isEmpty():
+        if run.filter("open").isEmpty():
             break
-        moved = run.join(nxt, ["conv", "head"], "left")
-        before, run = run, common.materialise(moved.select(*KEY, F.coalesce("head2", "head").alias("head"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far")), "run")
+        nxt = run.select("conv", F.col("call_id").alias("head"), F.col("head").alias("head2"), F.col("far").alias("far2"), F.col("open").alias("open2"))
+        moved = run.filter("open").join(nxt, ["conv", "head"]).select(*KEY, F.col("head2").alias("head"), (F.col("far") + F.col("far2")).alias("far"), F.col("open2").alias("open"))
+        before, run = run, common.materialise(run.filter("NOT open").union(moved), "run")
+        common.discard(before)
+    placed = _placed(waits, run).withColumn("several", F.lit(True))
+    at = placed.select("conv", F.col("call_id").alias("head"), "level", "several")
+    of_run = F.when(~F.col("open"), F.when(F.col("several"), F.col("level")).otherwise(0) + F.col("far"))
+    known = placed.select(*KEY, "level", "several").union(run.join(at, ["conv", "head"], "left").select(*KEY, of_run, F.lit(True))).withColumnRenamed("several", "waits")
+    return calls.join(known, KEY, "left").withColumn("level", F.when(F.col("waits"), F.col("level")).otherwise(0)).drop("waits")
+
+
+def _placed(waits: DataFrame, run: DataFrame) -> DataFrame:
+    """``conv, call_id, level`` of the calls that wait for several, null if it can't be told."""
+    several = waits.filter(F.size("after") > 1)
+    edges = several.select(*KEY, F.explode("after").alias("to"))
+    edges = edges.join(run.select("conv", F.col("call_id").alias("to"), "head", "far", "open"), ["conv", "to"], "left")
+    edges = edges.select(*KEY, F.coalesce("head", "to").alias("head"), (F.coalesce("far", F.lit(0)) + 1).alias("far"), F.coalesce("open", F.lit(False)).alias("circle"))
+    edges = edges.join(several.select("conv", F.col("call_id").alias("head"), F.lit(True).alias("later")), ["conv", "head"], "left")
+    ahead = F.when(F.col("circle") | F.col("later"), F.struct("head", "far"))
+    # level: the highest by what is known; ahead: heads without a level yet
+    state = edges.groupBy(*KEY).agg(F.max(F.when(ahead.isNull(), F.col("far"))).alias("level"), F.collect_set(ahead).alias("ahead"))
+    state = common.materialise(state, "state")
+    n = state.groupBy("conv").agg(F.count("*").alias("n"), F.sum(F.size("ahead")).alias("m"))
+    large = common.materialise(n.filter((F.col("n") > PACKED[0]) | (F.col("m") > PACKED[1])).select("conv"), "large")
+    if large.isEmpty():
+        return _packed(state)
+    return _packed(state.join(large, "conv", "left_anti")).union(_by_rounds(state.join(large, "conv", "left_semi")))
+
+
+def _packed(state: DataFrame) -> DataFrame:
+    """Levels of conversations that fit an array: as many relaxations as calls, in one projection.
+
+    Null stands for no level yet, and for none at all in the end.
+    """
+    packs = state.groupBy("conv").agg(F.collect_list(F.struct("call_id", "level", "ahead")).alias("calls"))
+    at = lambda ids: lambda e: F.struct(F.array_position(ids, e["head"]).cast("int").alias("at"), e["far"].alias("far"))
+    ids = F.transform("calls", lambda c: c["call_id"])
+    packs = packs.withColumn("ids", ids).withColumn("calls", F.transform("calls", lambda c: F.struct(c["level"].alias("level"), F.transform(c["ahead"], at(F.col("ids"))).alias("ahead"))))
+    # array_position gives 0 where a head has no level ever; -1 is then no index, and get() null
+    level_of = lambda of: lambda e: F.get(of, e["at"] - 1) + e["far"]
+    step = lambda of: F.transform("calls", lambda c: F.when(~F.exists(c["ahead"], lambda e: F.get(of, e["at"] - 1).isNull()), F.greatest(c["level"], F.array_max(F.transform(c["ahead"], level_of(of))))))
+    start = F.transform("calls", lambda c: F.lit(None).cast("int"))
+    packs = packs.withColumn("levels", F.aggregate(F.sequence(F.lit(1), F.size("calls")), start, lambda of, _: step(of)))
+    return packs.select("conv", F.inline(F.arrays_zip(F.col("ids").alias("call_id"), F.col("levels").alias("level")))).toDF(*KEY, "level")
+
+
+def _by_rounds(state: DataFrame) -> DataFrame:
+    """The same for conversations of any size, a round of jobs for each level."""
+    state = common.materialise(state, "state")
+    spark, path = state.sparkSession, common.fresh_path(state.sparkSession, "placed")
+    common.delete_at_exit(spark, path)
+    while True:
+        done, left = state.filter(F.size("ahead") == 0).select(*KEY, "level"), state.filter(F.size("ahead") > 0)
+        stuck = done.isEmpty()
+        if stuck:
+            done = left.select(*KEY, F.lit(None).cast("int").alias("level"))
+        done.write.mode("append").parquet(path)
+        if stuck or left.isEmpty():
+            common.discard(state)
+            return spark.read.schema(done.schema).parquet(path)
+        now = done.select("conv", F.col("call_id").alias("head"), F.col("level").alias("at"))
+        edges = left.select(*KEY, "level", F.explode("ahead").alias("e")).select(*KEY, "level", "e.head", "e.far").join(now, ["conv", "head"], "left")
+        ahead = F.when(F.col("at").isNull(), F.struct("head", "far"))
+        nxt = edges.groupBy(*KEY).agg(F.max(F.greatest("level", F.col("at") + F.col("far"))).alias("level"), F.collect_set(ahead).alias("ahead"))
+        before, state = state, common.materialise(nxt, "state")
         common.discard(before)
-    many = waits.filter(F.size("after") > 1).select(*KEY, F.explode("after").alias("to"))
-    far = run.select("conv", F.col("call_id").alias("to"), "head", "far")
-    many = many.join(far, ["conv", "to"], "left").groupBy(*KEY, F.coalesce("head", "to").alias("head")).agg(F.max(F.coalesce("far", F.lit(0)) + 1).alias("far"))
-    many = common.materialise(many, "many")
-    level = common.materialise(level, "level")
-    while not many.isEmpty():
-        known = level.select("conv", F.col("call_id").alias("head"), F.col("level").alias("at"))
-        by = many.join(known, ["conv", "head"], "left").groupBy(*KEY).agg(F.max(F.col("at") + F.col("far")).alias("level"), F.count_if(F.col("at").isNull()).alias("open"))
-        placed = common.materialise(by.filter("open = 0").select(*KEY, "level"), "placed")
-        if placed.isEmpty():
-            level = level.union(many.select(*KEY).distinct().select("*", none))
-            break
-        old = level, many, placed
-        level = common.materialise(level.union(placed), "level")
-        many = common.materialise(many.join(placed, KEY, "left_anti").select("conv", "call_id", "head", "far"), "many")
-        common.discard(*old)
-    known = level.select("conv", F.col("call_id").alias("head"), F.col("level").alias("at"))
-    return level.union(run.join(known, ["conv", "head"], "left").select(*KEY, F.col("at") + F.col("far")))
 
 
 def link(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str, Param]]) -> DataFrame:
@@ -139,8 +189,7 @@ def link(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str, Param]
     )
     r = results.filter("call_id IS NOT NULL").select("conv_id", conv.alias("conv"), "turn", "call_id", "content")
     r = r.groupBy(*KEY).agg(F.min(F.struct("turn", F.coalesce("content", F.lit("")).alias("content"))).alias("r"), F.count("*").alias("nr"), F.max("conv_id").alias("conv_r"))
-    edges = c.select(*KEY, F.explode("c.after").alias("after")).filter("after IS NOT NULL")
-    both = c.join(levels(c.select(*KEY), edges), KEY, "left").join(r, KEY, "full_outer")
+    both = levels(c.withColumn("after", F.col("c.after"))).join(r, KEY, "full_outer")
     is_call = F.col("c").isNotNull()
     errors = F.when(is_call, argument_errors(F.col("c.name"), F.col("c.arguments"), tools)).otherwise(F.array().cast("array<string>"))
     errors = F.array_compact(F.concat(errors, F.array(F.when(is_call & F.col("level").isNull(), F.lit("cycle")))))

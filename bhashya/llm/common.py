@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 
-__all__ = ["bounded", "cut", "discard", "fresh_path", "groups", "ids_and_text", "materialise", "shared_dir", "table"]
+__all__ = ["bounded", "cut", "delete_at_exit", "discard", "fresh_path", "groups", "ids_and_text", "materialise", "shared_dir", "table"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +44,11 @@ def _file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors.
 
@@ -52,8 +57,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    fs, p = _file_system(spark, path)
-    fs.deleteOnExit(p)
+    delete_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     vars(out)["kept_at"] = path
     return out

@@ -799,6 +799,24 @@ def test_levels_of_random_graphs(spark):
         assert got == plain_levels(calls)
 
 
+def test_levels_in_one_row_and_by_rounds_are_those_of_plain_python(spark, monkeypatch):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for conv, n in enumerate((9, 40, 25)):
+        calls = {f"k{i}": sorted({f"k{rng.randrange(max(0, i - 5), i)}" for _ in range(rng.choice([0, 1, 2, 3]))}) if i else [] for i in range(n)}
+        if conv == 2:  # a circle of two, with calls that wait for it
+            calls["k6"], calls["k7"], calls["k9"] = ["k7"], ["k6"], ["k7", "k1"]
+        rows += [(str(conv), k, after) for k, after in calls.items()]
+        want |= {(str(conv), k): v for k, v in plain_levels(calls).items()}
+    frame_ = spark.createDataFrame(rows, "conv string, call_id string, after array<string>")
+    by_rounds, seen = chat._by_rounds, []
+    monkeypatch.setattr(chat, "_by_rounds", lambda state: seen.append(1) or by_rounds(state))
+    for packed, rounds in (((128, 1024), 0), ((4, 1024), 1), ((0, 0), 1)):
+        monkeypatch.setattr(chat, "PACKED", packed)
+        seen.clear()
+        assert {(r["conv"], r["call_id"]): r["level"] for r in chat.levels(frame_).collect()} == want and len(seen) == rounds
+
+
 # -- extraction ---------------------------------------------------------------------------------------------
 
 
