@@ -92,3 +92,30 @@ def test_words_agree_equals_the_udf(spark):
     rng = random.Random(5)
     rows = [tuple("".join(rng.choice("ab \t \x1c") for _ in range(rng.randint(0, 5))) for _ in range(2)) for _ in range(500)]
     assert all(x["aligned"] == y for x, y in on(spark, rows, "a string, b string", M.align("a", "b"), M.words_agree("a", "b")))
+
+
+def test_python_holds_a_bounded_piece_of_a_batch():
+    """However many rows and bytes Spark puts into a batch, few of them are Python objects at a time."""
+    import pyarrow as pa
+
+    from bhashya.functions.batches import PIECE, by_row, pieces
+
+    rows = ["x" * 1000, None, "é" * 700, ""] * 2000 + ["y" * (3 * PIECE), "z"]
+    whole = (pa.array(rows), pa.array(rows[::-1]))
+    cut = list(pieces(whole))
+    assert all(len(p[0]) == 1 or sum(c.nbytes for c in p) <= PIECE for p in cut) and len(cut) > 5
+    assert [r for p in cut for r in p[0].to_pylist()] == rows and [r for p in cut for r in p[1].to_pylist()] == rows[::-1]
+    got = list(by_row(lambda a, b: float(len(a) - len(b)), iter([whole]), pa.float64()))
+    assert len(got) == len(cut) and [v for g in got for v in g.to_pylist()] == [None if a is None or b is None else float(len(a) - len(b)) for a, b in zip(rows, rows[::-1])]
+    assert [list(map(len, by_row(str, iter([pa.array([], pa.string())]), pa.string())))] == [[0]]
+
+
+def test_functions_yield_pieces_of_a_batch(spark):
+    import pyarrow as pa
+
+    from bhashya.functions import normalize as N
+
+    batch = pa.array(["nकितना ३" * 200] * 2000)
+    for udf, columns in ((N._fold_udf("devanagari"), batch), (N._translit_udf("devanagari"), batch)):
+        out = list(udf.func(iter([columns])))
+        assert len(out) > 3 and sum(map(len, out)) == 2000
