@@ -116,6 +116,6 @@ def test_functions_yield_pieces_of_a_batch(spark):
     from bhashya.functions import normalize as N
 
     batch = pa.array(["nकितना ३" * 200] * 2000)
-    for udf, columns in ((N._fold_udf("devanagari"), batch), (N._translit_udf("devanagari"), batch)):
+    for udf, columns in ((N._fold_udf("devanagari"), batch), (N._translit_udf("devanagari"), batch), (M._f1, (batch, batch))):
         out = list(udf.func(iter([columns])))
         assert len(out) > 3 and sum(map(len, out)) == 2000
